@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyhouse.checks import report_queries
+from tallyhouse.checks import job_queries, operator_queries, report_queries
 from tallyhouse.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+_PARTS = (report_queries, job_queries, operator_queries)
+
 
 def _tuned(query: Query) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
@@ -20,8 +22,8 @@ def _tuned(query: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return {name: _tuned(query) for name, query in report_queries.QUERIES.items()}
+    return {name: _tuned(query) for part in _PARTS for name, query in part.QUERIES.items()}
 
 
 def oracles() -> dict[str, str]:
-    return dict(report_queries.ORACLES)
+    return {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}

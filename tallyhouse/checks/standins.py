@@ -261,6 +261,18 @@ _CUSTOMER_TIME = "cast(1550073600 + (c_custkey * 1368787) % 6000000 as bigint) a
 _EVENT_TIME = "EPOCH(ts) as req_time"
 
 REQUESTS |= {
+    "req_application_approval": f"""
+        select c_custkey as req_id, {_phone('c_custkey * 3 % 1000')} as id, cast(case when c_custkey % 5 = 0 then c_custkey % 3 else 3 end as int) as state,
+            case c_custkey % 4 when 0 then '' when 1 then null else concat('note ', cast(c_custkey as string)) end as state_msg,
+            {_CUSTOMER_TIME}
+        from customer where c_custkey % 7 <> 0
+    """,
+    "req_company_admin_swap": f"""
+        select c_custkey as req_id, concat('F', cast(c_custkey % 12 as string)) as factory_id,
+            case when c_custkey % 37 = 0 then '' else {_phone('c_custkey * 5 % 48')} end as administrators,
+            {_phone('c_custkey * 11 % 48')} as new_administrators, split('7,3,7', ',') as permission, {_CUSTOMER_TIME}
+        from customer
+    """,
     "req_app_new": f"""
         select p_partkey as req_id, p_name as name,
             case when p_partkey % 15 = 0 then '' when p_partkey % 35 = 0 then 'no payload' else {_upload('p_name')} end as icon,
@@ -420,7 +432,9 @@ def with_standins(sql: str) -> str:
     """DuckDB text with a CTE for every ``fx_<name>`` it reads."""
     names = sorted(set(re.findall(r"\bfx_(\w+)\b", sql)))
     ctes = ", ".join(f"fx_{n} as ({sql_text(n, 'duckdb')})" for n in names)
-    body = " ".join(sql.split()) if "'" not in sql else sql.strip()
-    if body.lower().startswith("with "):
-        return f"with {ctes}, {body[5:]}"
+    body = sql.strip()
+    if body.startswith("with recursive "):
+        return f"with recursive {ctes}, {body.removeprefix('with recursive ')}"
+    if body.startswith("with "):
+        return f"with {ctes}, {body.removeprefix('with ')}"
     return f"with {ctes} {body}" if ctes else body

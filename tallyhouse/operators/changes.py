@@ -85,7 +85,7 @@ def update(state: DataFrame, changes: DataFrame, keys: Sequence[str], values: Ma
     hit = F.col("change").isNotNull()
     return joined.select(
         *[
-            F.when(hit, values[c]).otherwise(F.col(c)).cast(state.schema[c].dataType).alias(c)
+            F.when(hit, values[c]).otherwise(F.col(c)).cast(state.schema[c].dataType.simpleString()).alias(c)
             if c in values
             else F.col(c)
             for c in state.columns

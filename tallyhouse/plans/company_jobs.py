@@ -25,7 +25,7 @@ from tallyhouse.operators.changes import (
     update,
 )
 from tallyhouse.operators.settle import settle
-from tallyhouse.plans.jobs import ORDER, JobResult, Pin, lazily
+from tallyhouse.plans.jobs import JobResult, Pin, lazily, request_order
 from tallyhouse.plans.lookups import Tables
 
 
@@ -48,12 +48,12 @@ def add_admin_accounts(t: Tables, requests: DataFrame, pin: Pin = lazily) -> Job
     )
     allowed = (c("_by_phone") + c("_by_name")) > 0
     able = is_phone(c("phone")) & (c("_used") == 0) & allowed
-    first = earliest(ranked.where(able), ["phone"], ORDER).withColumnRenamed("phone", "_first_phone")
+    first = earliest(ranked.where(able), ["phone"], request_order()).withColumnRenamed("phone", "_first_phone")
     checked = pin(
         judged(
             ranked.join(first, ranked["phone"] == first["_first_phone"], "left"),
             ("bad phone", ~is_phone(c("phone"))),
-            ("phone in use", (c("_used") > 0) | F.coalesce(c("_first") < ORDER, F.lit(False))),
+            ("phone in use", (c("_used") > 0) | F.coalesce(c("_first") < request_order(), F.lit(False))),
             ("not allowed", ~allowed),
         )
     )
@@ -85,7 +85,7 @@ def delete_admin_accounts(t: Tables, requests: DataFrame, pin: Pin = lazily) ->
     asked = requests.withColumn("_by_phone", is_phone(c("phone")))
     found = asked.join(
         keyed, (asked["_by_phone"] == keyed["_phone_key"]) & (asked["actor"] == keyed["_key"]), "left"
-    ).withColumn("_order", ORDER)
+    ).withColumn("_order", request_order())
     able = found.where(c("super_phone").isNotNull() & c("phone").isNotNull())
 
     # Only deletions of super accounts matter to others, and of equal ones only the first.
@@ -112,7 +112,7 @@ def delete_admin_accounts(t: Tables, requests: DataFrame, pin: Pin = lazily) ->
 def rename_admin_accounts(t: Tables, requests: DataFrame, pin: Pin = lazily) -> JobResult:
     """(req_id, phone, new_name, req_time): no checks, unknown phones change nothing."""
     c = F.col
-    last = latest(requests.withColumn("new_name", blank(c("new_name"))), ["phone"], ORDER, "new_name")
+    last = latest(requests.withColumn("new_name", blank(c("new_name"))), ["phone"], request_order(), "new_name")
     return JobResult(
         "rename_admin_accounts", requests, requests, rejected(judged(requests)),
         replaced={"bg_user": update(t["bg_user"], last, ["phone"], {"name": c("change.new_name")})},
@@ -148,7 +148,7 @@ def add_companies(t: Tables, requests: DataFrame, pin: Pin = lazily) -> JobResul
     known = count_matches(known, "company_name", t["factorys"], "title", "_titles")
     standing = pin(
         judged(
-            known.withColumn("_order", ORDER),
+            known.withColumn("_order", request_order()),
             ("missing parameter", ~(given(c("company_name")) & given(c("contact")) & given(c("administrators")))),
             ("bad phone", ~is_phone(c("administrators"))),
             ("phone belongs to a company", (c("_admin_of") > 0) | (c("_member_of") > 0)),
@@ -247,7 +247,7 @@ def add_company_admins(t: Tables, requests: DataFrame, pin: Pin = lazily) -> Job
     valid = given(c("factory_id")) & given(c("new_administrators")) & given_list(c("permission")) & is_phone(
         c("new_administrators")
     )
-    first = earliest(known.where(valid), ["new_administrators"], ORDER).withColumnRenamed(
+    first = earliest(known.where(valid), ["new_administrators"], request_order()).withColumnRenamed(
         "new_administrators", "_first_phone"
     )
     checked = pin(
@@ -258,7 +258,7 @@ def add_company_admins(t: Tables, requests: DataFrame, pin: Pin = lazily) -> Job
                 ~(given(c("factory_id")) & given(c("new_administrators")) & given_list(c("permission"))),
             ),
             ("bad phone", ~is_phone(c("new_administrators"))),
-            ("phone in use", (c("_member_of") == 1) | ((c("_member_of") == 0) & (c("_first") < ORDER))),
+            ("phone in use", (c("_member_of") == 1) | ((c("_member_of") == 0) & (c("_first") < request_order()))),
         )
     )
     ok = accepted(checked)
@@ -293,14 +293,14 @@ def change_company_admins(t: Tables, requests: DataFrame, pin: Pin = lazily) ->
     )
     ok = accepted(checked)
     removed = ok.groupBy(c("factory_id").alias("_gone_factory"), c("administrators").alias("_gone_phone")).agg(
-        F.max(ORDER).alias("_gone_at")
+        F.max(request_order()).alias("_gone_at")
     )
     made = _user_names(t, ok, "administrators")
     lasting = made.join(
         removed,
         (made["factory_id"] == removed["_gone_factory"]) & (made["new_administrators"] == removed["_gone_phone"]),
         "left",
-    ).where(c("_gone_at").isNull() | (c("_gone_at") <= ORDER))
+    ).where(c("_gone_at").isNull() | (c("_gone_at") <= request_order()))
     rows = lasting.select(
         c("new_administrators").alias("phone"), c("user_name").alias("name"),
         distinct_list(c("permission")).alias("rights"), c("factory_id").alias("factory"), c("req_time").alias("time"),
@@ -318,7 +318,7 @@ def remove_company_admins(t: Tables, requests: DataFrame, pin: Pin = lazily) ->
     members = cut_to(
         t["factory_users"].select("factory", c("phone").alias("_phone")), "factory", requests, "factory_id"
     ).distinct()
-    first = earliest(requests, pair, ORDER).select(
+    first = earliest(requests, pair, request_order()).select(
         c("factory_id").alias("_ff"), c("administrators").alias("_fp"), "_first"
     )
     seen = requests.join(
@@ -328,7 +328,7 @@ def remove_company_admins(t: Tables, requests: DataFrame, pin: Pin = lazily) ->
         judged(
             seen,
             ("missing parameter", ~(given(c("factory_id")) & given(c("administrators")))),
-            ("not a member", c("_phone").isNull() | (c("_first") < ORDER)),
+            ("not a member", c("_phone").isNull() | (c("_first") < request_order())),
         )
     )
     ok = accepted(checked)

@@ -19,7 +19,7 @@ from tallyhouse.operators.changes import (
     rejected,
     update,
 )
-from tallyhouse.plans.jobs import ORDER, JobResult, Pin, lazily
+from tallyhouse.plans.jobs import JobResult, Pin, lazily, request_order
 from tallyhouse.plans.lookups import Tables
 
 
@@ -66,8 +66,8 @@ def modify_apps(t: Tables, requests: DataFrame, pin: Pin = lazily) -> JobResult:
     )
     fields = ("name", "slogan", "dsd_val", "url", "descs", "images")
     last = prepared.groupBy("id").agg(
-        F.max_by(F.struct(*fields), ORDER).alias("set"),
-        F.max_by("icon", F.when(c("icon").isNotNull(), ORDER)).alias("icon"),
+        F.max_by(F.struct(*fields), request_order()).alias("set"),
+        F.max_by("icon", F.when(c("icon").isNotNull(), request_order())).alias("icon"),
     )
     values = {f: c(f"change.set.{f}") for f in fields}
     values["icon"] = F.coalesce(c("change.icon"), c("icon"))
@@ -90,7 +90,7 @@ def _set_state(name: str, table: str, t: Tables, requests: DataFrame, pin: Pin)
         )
     )
     ok = accepted(checked)
-    last = latest(ok, ["id"], ORDER, "state")
+    last = latest(ok, ["id"], request_order(), "state")
     return JobResult(
         name, requests, ok.select(*requests.columns), rejected(checked),
         replaced={table: update(t[table], last, ["id"], {"state": c("change.state")})},
@@ -183,8 +183,8 @@ def modify_banners(t: Tables, requests: DataFrame, pin: Pin = lazily) -> JobResu
     )
     ok = accepted(checked)
     last = ok.groupBy("id").agg(
-        F.max_by("state", F.when(c("state").isNotNull(), ORDER)).alias("state"),
-        F.max_by("image_id", F.when(c("image_id").isNotNull(), ORDER)).alias("image"),
+        F.max_by("state", F.when(c("state").isNotNull(), request_order())).alias("state"),
+        F.max_by("image_id", F.when(c("image_id").isNotNull(), request_order())).alias("image"),
     )
     new = ok.where(c("image_id").isNotNull()).select("id", "image_id")
     final = last.where(c("image").isNotNull()).select(c("id").alias("final_id"), c("image").alias("final_image"))
@@ -209,11 +209,11 @@ def delete_banners(t: Tables, requests: DataFrame, pin: Pin = lazily) -> JobResu
     """(req_id, id, req_time): the first request per banner deletes it, later ones find nothing."""
     c = F.col
     known = count_matches(requests, "id", t["bg_banner"], "id", "_rows")
-    first = earliest(requests, ["id"], ORDER).withColumnRenamed("id", "_first_id")
+    first = earliest(requests, ["id"], request_order()).withColumnRenamed("id", "_first_id")
     checked = pin(
         judged(
             known.join(first, known["id"] == first["_first_id"], "left"),
-            ("unknown banner", (c("_rows") == 0) | (c("_first") < ORDER)),
+            ("unknown banner", (c("_rows") == 0) | (c("_first") < request_order())),
         )
     )
     ok = accepted(checked)

@@ -5,20 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.operators.changes import append, order_of
+from tallyhouse.operators.changes import append, cut_to, order_of
 from tallyhouse.plans.lookups import Tables
 from tallyhouse.sources.store import CHANGE_MESSAGES, REQUEST_LOG, Snapshot, TableStore
 
-# Requests of a batch count in this order.
-ORDER = order_of("req_time", "req_id")
-
 # Fixes an intermediate result that several outputs of a job share; batch runs write it, single reads need not.
 Pin = Callable[[DataFrame], DataFrame]
 
 
+def request_order() -> Column:
+    """Requests of a batch count in this order."""
+    return order_of("req_time", "req_id")
+
+
 def lazily(df: DataFrame) -> DataFrame:
     return df
 
@@ -63,6 +65,10 @@ def commit(store: TableStore, base: Snapshot, result: JobResult, source: str = "
 
 
 def fresh(requests: DataFrame, log: DataFrame, job: str) -> DataFrame:
-    """Requests that this job has not decided before, so a repeated delivery changes nothing."""
-    seen = log.where(F.col("job") == job).select(F.col("req_id").alias("_seen"))
-    return requests.join(seen, F.col("req_id").cast("string") == seen["_seen"], "left_anti")
+    """Requests that this job has not decided before, so a repeated delivery changes nothing.
+
+    The log keeps growing, so it is cut to the ids asked for before it meets the requests.
+    """
+    asked = requests.withColumn("_asked_id", F.col("req_id").cast("string"))
+    seen = cut_to(log.where(F.col("job") == job).select(F.col("req_id").alias("_seen")), "_seen", asked, "_asked_id")
+    return asked.join(seen, asked["_asked_id"] == seen["_seen"], "left_anti").drop("_asked_id")

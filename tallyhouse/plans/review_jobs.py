@@ -18,7 +18,7 @@ from tallyhouse.operators.changes import (
     rejected,
     update,
 )
-from tallyhouse.plans.jobs import ORDER, JobResult, Pin, lazily
+from tallyhouse.plans.jobs import JobResult, Pin, lazily, request_order
 from tallyhouse.plans.lookups import Tables
 
 
@@ -37,7 +37,7 @@ def review_identity(t: Tables, requests: DataFrame, pin: Pin = lazily) -> JobRes
     ok = accepted(checked)
     note = F.when(c("state") == "3", REVIEW_PASSED).otherwise(c("note"))
     effective = ok.where(c("state").isin("2", "3")).withColumn("auth_msg", note)
-    last = latest(effective, ["phone"], ORDER, "state", "auth_msg")
+    last = latest(effective, ["phone"], request_order(), "state", "auth_msg")
     return JobResult(
         "review_identity", requests, ok.select(*requests.columns), rejected(checked),
         replaced={
@@ -89,7 +89,7 @@ def reply_feedback(t: Tables, requests: DataFrame, pin: Pin = lazily) -> JobResu
         )
     )
     ok = accepted(checked)
-    last = latest(ok, ["id"], ORDER, "msg")
+    last = latest(ok, ["id"], request_order(), "msg")
     doubled = F.replace(c("msg"), F.lit("'"), F.lit("''"))
     sent = F.replace(F.replace(doubled, F.lit("\\'"), F.lit("'")), F.lit('\\"'), F.lit('"'))
     return JobResult(
@@ -125,8 +125,8 @@ def decide_applications(t: Tables, requests: DataFrame, pin: Pin = lazily) -> Jo
     note = F.when(given(c("state_msg")), c("state_msg"))
     # ``max_by`` passes over rows whose ordering is NULL, so notes left out do not count.
     outcome = ok.groupBy("id").agg(
-        F.max_by("state", ORDER).alias("state"),
-        F.max_by(note, F.when(note.isNotNull(), ORDER)).alias("note"),
+        F.max_by("state", request_order()).alias("state"),
+        F.max_by(note, F.when(note.isNotNull(), request_order())).alias("note"),
     )
     approved = ok.where(c("state") == 3).withColumn("company_id", short_id("decide_applications", c("req_id")))
     contacts = cut_to(
@@ -175,7 +175,7 @@ def review_image_tags(t: Tables, requests: DataFrame, pin: Pin = lazily) -> JobR
         judged(requests, ("missing id", c("id").isNull()), ("bad res", ~one_of(c("res"), ("0", "1"))))
     )
     ok = accepted(checked).withColumn("err_reason", blank(c("err_reason")))
-    last = latest(ok, ["id"], ORDER, "res", "err_reason")
+    last = latest(ok, ["id"], request_order(), "res", "err_reason")
     return JobResult(
         "review_image_tags", requests, ok, rejected(checked),
         replaced={
