@@ -79,19 +79,25 @@ def _round(undecided: DataFrame, done: DataFrame, members: DataFrame, admins: Da
     """``undecided`` with ``ok``: decided in this round, or NULL."""
     c = F.col
     taken = done.join(undecided.select(c("x").alias("ux")).distinct(), c("x") == c("ux"), "left_semi").select("x", "f").distinct()
-    touched = (
-        admins.select("x", "f", F.lit(True).alias("at_start"))
-        .unionByName(taken.select("x", "f", F.lit(False).alias("at_start")))
-        .groupBy(c("x").alias("gx"), c("f").alias("g")).agg(F.max("at_start").alias("at_start"))
-    )
     lead = undecided.groupBy(c("x").alias("lx")).agg(F.min(F.struct("o", "f")).alias("l")).select(
         "lx", c("l.o").alias("lo"), c("l.f").alias("lf")
     )
+    # Companies the phone administers or has administered, and the one it asks for: what happens there does not bear on
+    # this request unless it is one of the former, but it does on the requests that follow.
+    touched = (
+        admins.select("x", "f", F.lit(True).alias("at_start"), F.lit(True).alias("in_play"))
+        .unionByName(taken.select("x", "f", F.lit(False).alias("at_start"), F.lit(True).alias("in_play")))
+        .unionByName(
+            lead.select(c("lx").alias("x"), c("lf").alias("f"), F.lit(False).alias("at_start"), F.lit(False).alias("in_play"))
+        )
+        .groupBy(c("x").alias("gx"), c("f").alias("g"))
+        .agg(F.max("at_start").alias("at_start"), F.max("in_play").alias("in_play"))
+    )
     other_company = (
         undecided.join(lead, c("x") == c("lx")).where(c("f") != c("lf")).groupBy(c("x").alias("dx")).agg(F.min("o").alias("elsewhere"))
     )
 
-    # What others have asked (undecided) or achieved (done) on the companies the phone administers or has administered.
+    # What others have asked (undecided) or achieved (done) on those companies.
     mine = touched.join(lead, c("gx") == c("lx"))
     waiting = mine.join(_first_of_others(undecided), c("g") == c("uf"), "left")
     events = done.select(c("f").alias("ef"), c("o").alias("eo"), c("x").alias("ex"))
@@ -99,6 +105,7 @@ def _round(undecided: DataFrame, done: DataFrame, members: DataFrame, admins: Da
         F.max(F.when(c("eo") < c("lo"), F.struct("eo", "ex"))).alias("before"),
         F.min(F.when((c("eo") > c("lo")) & (c("ex") != c("gx")), c("eo"))).alias("next_done"),
     )
+    asked_by_others = F.when(c("u1_x") != c("gx"), c("u1")).otherwise(c("u2"))
     holds = F.when(c("before").isNull(), c("at_start")).otherwise(c("before.ex") == c("gx"))
     counted = (
         waiting.join(history, (c("gx") == c("hx")) & (c("g") == c("hg")), "left")
@@ -106,7 +113,8 @@ def _round(undecided: DataFrame, done: DataFrame, members: DataFrame, admins: Da
         .agg(
             F.sum(F.when(holds, 1).otherwise(0)).alias("led_now"),
             F.max(F.when(holds & (c("g") == c("lf")), True).otherwise(False)).alias("leads_it"),
-            F.min(F.when(c("u1_x") != c("gx"), c("u1")).otherwise(c("u2"))).alias("next_asked"),
+            F.min(F.when(c("in_play"), asked_by_others)).alias("in_the_way"),
+            F.min(asked_by_others).alias("next_asked"),
             F.min("next_done").alias("next_done"),
         )
     )
@@ -120,7 +128,7 @@ def _round(undecided: DataFrame, done: DataFrame, members: DataFrame, admins: Da
         .join(joined_since, c("lx") == c("jx"), "left")
         .join(at_home, (c("lx") == c("ax")) & (c("lf") == c("af")), "left")
         .select(
-            "lx", "lo", "lf", "elsewhere", "next_asked", "next_done",
+            "lx", "lo", "lf", "elsewhere", "in_the_way", "next_asked", "next_done",
             F.coalesce("led_now", F.lit(0)).alias("led_now"), F.coalesce("leads_it", F.lit(False)).alias("leads_it"),
             F.coalesce("joined", F.lit(0)).alias("joined"), F.coalesce("is_home", F.lit(False)).alias("is_home"),
         )
@@ -129,7 +137,7 @@ def _round(undecided: DataFrame, done: DataFrame, members: DataFrame, admins: Da
     wins = (c("led_now") <= 1) & (held <= 1)
     held_after = held + F.when(wins & ~c("is_home"), 1).otherwise(0)
     led_after = c("led_now") + F.when(wins & ~c("leads_it"), 1).otherwise(0)
-    waits = F.coalesce(c("next_asked") < c("lo"), F.lit(False))
+    waits = F.coalesce(c("in_the_way") < c("lo"), F.lit(False))
     unchanged = (c("next_asked").isNull() | (c("o") < c("next_asked"))) & (
         c("next_done").isNull() | (c("o") < c("next_done"))
     )
