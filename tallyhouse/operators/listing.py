@@ -64,13 +64,13 @@ class Lookup:
         right = self.right if right is None else right
         return left.join(right, self._match(left, right), "left")
 
-    def attach_for(self, head: DataFrame) -> DataFrame:
-        """Attach to a pinned head of at most ``DEEP_PAGE`` rows, reading only the keys it holds.
+    def attach_for(self, head: DataFrame, fixed: DataFrame) -> DataFrame:
+        """Attach to a head of at most ``DEEP_PAGE`` rows, reading only the keys that ``fixed``, its pinned part, holds.
 
         The broadcast side is the head's keys, whose number the page bounds whatever the tables hold.
         """
         names = [f"_key{i}" for i in range(len(self.needs))]
-        keys = head.select(*[F.col(c).alias(n) for c, n in zip(self.needs, names, strict=True)])
+        keys = fixed.select(*[F.col(c).alias(n) for c, n in zip(self.needs, names, strict=True)])
         for n in names:
             keys = keys.where(F.col(n).isNotNull())
         table = self.right if self.build is None else self.source
@@ -114,14 +114,12 @@ class ListReport:
         order = self.order.columns()
         if self.where is not None or not self.lookups:
             return first_page_rows(self.joined(), order, upto)
-        first = pinned(first_page_rows(self.base, (self.base_order or self.order).columns(), upto))
-        head, fixed = first, set(first.columns)
+        head = fixed = pinned(first_page_rows(self.base, (self.base_order or self.order).columns(), upto))
         for lookup in self.lookups:
-            if not fixed.issuperset(lookup.needs):
+            if not set(fixed.columns).issuperset(lookup.needs):
                 # Its keys come from an earlier lookup: fix that result, or its table would be read twice.
-                head = pinned(head)
-                fixed = set(head.columns)
-            head = lookup.attach_for(head)
+                head = fixed = pinned(head)
+            head = lookup.attach_for(head, fixed)
         return first_page_rows(head, order, upto)
 
     def page(self, page: int = 1, row: int = 10) -> DataFrame:

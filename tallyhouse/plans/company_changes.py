@@ -37,7 +37,7 @@ from tallyhouse.operators.changes import (
     update,
 )
 from tallyhouse.operators.scratch import written
-from tallyhouse.plans.jobs import JobResult, Pin, lazily, request_order
+from tallyhouse.plans.jobs import JobResult, request_order
 from tallyhouse.plans.lookups import Tables
 
 _COMPACT_EVERY = 16
@@ -174,12 +174,12 @@ def _file_id(column: str) -> Column:
     return F.when(~given(value), "").when(F.length(value) == 18, value).otherwise(upload)
 
 
-def modify_companies(t: Tables, requests: DataFrame, pin: Pin = lazily) -> JobResult:
+def modify_companies(t: Tables, requests: DataFrame) -> JobResult:
     """(req_id, factory_id, company_name, contact, administrators, company_area, company_category, auth_file,
     business_licence, req_time). A former administrator keeps the membership."""
     c = F.col
     known = count_matches(requests, "factory_id", t["factorys"], "id", "_rows")
-    standing = pin(
+    standing = written(
         judged(
             known.withColumn("_order", request_order()),
             ("missing company id", ~given(c("factory_id"))),
@@ -196,7 +196,7 @@ def modify_companies(t: Tables, requests: DataFrame, pin: Pin = lazily) -> JobRe
     sole = t["factorys"].where(F.size("administrators") == 1).select(c("administrators")[0].alias("x"), c("id").alias("f"))
     admins = written(cut_to(sole, "x", asked, "x"))
     decided = _decide(asked, members, admins)
-    checked = pin(
+    checked = written(
         standing.join(decided, standing["_order"] == decided["o"], "left").withColumn(
             "reason", F.coalesce("reason", F.when(~c("ok"), "phone belongs to other companies"))
         )

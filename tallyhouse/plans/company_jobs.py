@@ -25,7 +25,8 @@ from tallyhouse.operators.changes import (
     update,
 )
 from tallyhouse.operators.settle import settle
-from tallyhouse.plans.jobs import JobResult, Pin, lazily, request_order
+from tallyhouse.operators.scratch import written
+from tallyhouse.plans.jobs import JobResult, request_order
 from tallyhouse.plans.lookups import Tables
 
 
@@ -33,7 +34,7 @@ def _super_accounts(t: Tables) -> DataFrame:
     return t["bg_user"].where(F.col("rights") == "0")
 
 
-def add_admin_accounts(t: Tables, requests: DataFrame, pin: Pin = lazily) -> JobResult:
+def add_admin_accounts(t: Tables, requests: DataFrame) -> JobResult:
     """(req_id, actor, phone, name, req_time). The actor signs in by phone when it is 11 digits, else by user name."""
     c = F.col
     used = count_matches(requests, "phone", t["bg_user"], "phone", "_used")
@@ -49,7 +50,7 @@ def add_admin_accounts(t: Tables, requests: DataFrame, pin: Pin = lazily) -> Job
     allowed = (c("_by_phone") + c("_by_name")) > 0
     able = is_phone(c("phone")) & (c("_used") == 0) & allowed
     first = earliest(ranked.where(able), ["phone"], request_order()).withColumnRenamed("phone", "_first_phone")
-    checked = pin(
+    checked = written(
         judged(
             ranked.join(first, ranked["phone"] == first["_first_phone"], "left"),
             ("bad phone", ~is_phone(c("phone"))),
@@ -67,7 +68,7 @@ def add_admin_accounts(t: Tables, requests: DataFrame, pin: Pin = lazily) -> Job
     )
 
 
-def delete_admin_accounts(t: Tables, requests: DataFrame, pin: Pin = lazily) -> JobResult:
+def delete_admin_accounts(t: Tables, requests: DataFrame) -> JobResult:
     """(req_id, actor, phone, req_time). How the actor is looked up depends on the *target*: a valid target phone means
     by phone, anything else by user name.
 
@@ -95,7 +96,7 @@ def delete_admin_accounts(t: Tables, requests: DataFrame, pin: Pin = lazily) ->
     )
     settled = settle(first_of_pair, "_order", blocks=["target"], blocked_by=["actor_phone"])
     gone = settled.where("accepted").groupBy(c("target").alias("_gone")).agg(F.min("_order").alias("_gone_at"))
-    checked = pin(
+    checked = written(
         judged(
             found.join(gone, found["super_phone"] == gone["_gone"], "left"),
             ("missing phone", c("phone").isNull()),
@@ -109,7 +110,7 @@ def delete_admin_accounts(t: Tables, requests: DataFrame, pin: Pin = lazily) ->
     )
 
 
-def rename_admin_accounts(t: Tables, requests: DataFrame, pin: Pin = lazily) -> JobResult:
+def rename_admin_accounts(t: Tables, requests: DataFrame) -> JobResult:
     """(req_id, phone, new_name, req_time): no checks, unknown phones change nothing."""
     c = F.col
     last = latest(requests.withColumn("new_name", blank(c("new_name"))), ["phone"], request_order(), "new_name")
@@ -131,7 +132,7 @@ def _optional_upload(column: str, job: str) -> Column:
     return F.when(given(payload), uploaded_id(payload, f"{job}.{column}", F.col("req_id"))).otherwise("")
 
 
-def add_companies(t: Tables, requests: DataFrame, pin: Pin = lazily) -> JobResult:
+def add_companies(t: Tables, requests: DataFrame) -> JobResult:
     """(req_id, company_name, contact, administrators, company_area, company_category, auth_file, business_licence,
     req_time); the two files may be left out of the batch.
 
@@ -146,7 +147,7 @@ def add_companies(t: Tables, requests: DataFrame, pin: Pin = lazily) -> JobResul
     known = count_matches(asked, "administrators", _sole_admins(t), "sole_admin", "_admin_of")
     known = count_matches(known, "administrators", t["factory_users"], "phone", "_member_of")
     known = count_matches(known, "company_name", t["factorys"], "title", "_titles")
-    standing = pin(
+    standing = written(
         judged(
             known.withColumn("_order", request_order()),
             ("missing parameter", ~(given(c("company_name")) & given(c("contact")) & given(c("administrators")))),
@@ -173,7 +174,7 @@ def add_companies(t: Tables, requests: DataFrame, pin: Pin = lazily) -> JobResul
     lost = F.when(c("_won") < c("_order"), "phone belongs to a company").when(
         c("_won").isNull() | (c("_won") > c("_order")), "company name in use"
     )
-    checked = pin(won.withColumn("reason", F.coalesce("reason", lost)))
+    checked = written(won.withColumn("reason", F.coalesce("reason", lost)))
     ok = accepted(checked).select(*asked.columns)
     made = ok.withColumn("company_id", short_id("add_companies", c("req_id")))
     return JobResult(
@@ -199,13 +200,13 @@ def add_companies(t: Tables, requests: DataFrame, pin: Pin = lazily) -> JobResul
     )
 
 
-def delete_companies(t: Tables, requests: DataFrame, pin: Pin = lazily) -> JobResult:
+def delete_companies(t: Tables, requests: DataFrame) -> JobResult:
     """(req_id, id): the company with its apps, app orders and members, and the applications of its administrators."""
     c = F.col
     order = F.struct(*[n for n in ("req_time", "req_id") if n in requests.columns])
     known = count_matches(requests, "id", t["factorys"], "id", "_rows")
     first = earliest(requests, ["id"], order).withColumnRenamed("id", "_first_id")
-    checked = pin(
+    checked = written(
         judged(
             known.join(first, known["id"] == first["_first_id"], "left"),
             ("missing id", ~given(c("id"))),
@@ -237,7 +238,7 @@ def _user_names(t: Tables, requests: DataFrame, phone: str) -> DataFrame:
     )
 
 
-def add_company_admins(t: Tables, requests: DataFrame, pin: Pin = lazily) -> JobResult:
+def add_company_admins(t: Tables, requests: DataFrame) -> JobResult:
     """(req_id, factory_id, new_administrators, permission, req_time): refused when the phone has exactly one membership.
 
     So a phone without any gets one (its first request), a phone with one gets none, and a phone with several gets all.
@@ -250,7 +251,7 @@ def add_company_admins(t: Tables, requests: DataFrame, pin: Pin = lazily) -> Job
     first = earliest(known.where(valid), ["new_administrators"], request_order()).withColumnRenamed(
         "new_administrators", "_first_phone"
     )
-    checked = pin(
+    checked = written(
         judged(
             known.join(first, known["new_administrators"] == first["_first_phone"], "left"),
             (
@@ -271,7 +272,7 @@ def add_company_admins(t: Tables, requests: DataFrame, pin: Pin = lazily) -> Job
     )
 
 
-def change_company_admins(t: Tables, requests: DataFrame, pin: Pin = lazily) -> JobResult:
+def change_company_admins(t: Tables, requests: DataFrame) -> JobResult:
     """(req_id, factory_id, administrators, new_administrators, permission, req_time): the old membership goes, the new
     phone joins under the old phone's name.
 
@@ -279,7 +280,7 @@ def change_company_admins(t: Tables, requests: DataFrame, pin: Pin = lazily) ->
     company, which the last removal per (company, phone) tells.
     """
     c = F.col
-    checked = pin(
+    checked = written(
         judged(
             requests,
             (
@@ -311,7 +312,7 @@ def change_company_admins(t: Tables, requests: DataFrame, pin: Pin = lazily) ->
     )
 
 
-def remove_company_admins(t: Tables, requests: DataFrame, pin: Pin = lazily) -> JobResult:
+def remove_company_admins(t: Tables, requests: DataFrame) -> JobResult:
     """(req_id, factory_id, administrators, req_time): must be a member; the first request per membership removes it."""
     c = F.col
     pair = ["factory_id", "administrators"]
@@ -324,7 +325,7 @@ def remove_company_admins(t: Tables, requests: DataFrame, pin: Pin = lazily) ->
     seen = requests.join(
         members, (requests["factory_id"] == members["factory"]) & (requests["administrators"] == members["_phone"]), "left"
     ).join(first, (c("factory_id") == c("_ff")) & (c("administrators") == c("_fp")), "left")
-    checked = pin(
+    checked = written(
         judged(
             seen,
             ("missing parameter", ~(given(c("factory_id")) & given(c("administrators")))),

@@ -19,14 +19,15 @@ from tallyhouse.operators.changes import (
     rejected,
     update,
 )
-from tallyhouse.plans.jobs import JobResult, Pin, lazily, request_order
+from tallyhouse.operators.scratch import written
+from tallyhouse.plans.jobs import JobResult, request_order
 from tallyhouse.plans.lookups import Tables
 
 
-def add_apps(t: Tables, requests: DataFrame, pin: Pin = lazily) -> JobResult:
+def add_apps(t: Tables, requests: DataFrame) -> JobResult:
     """(req_id, name, icon, slogan, descs, images, dsd_val, url, req_time): icon required, bad screenshots left out."""
     c = F.col
-    checked = pin(
+    checked = written(
         judged(
             requests.withColumn("icon_id", uploaded_id(c("icon"), "add_apps.icon", c("req_id"))),
             ("missing icon", ~given(c("icon"))),
@@ -44,13 +45,13 @@ def add_apps(t: Tables, requests: DataFrame, pin: Pin = lazily) -> JobResult:
     return JobResult("add_apps", requests, ok.select(*requests.columns), rejected(checked), appended={"tp_apps": rows})
 
 
-def modify_apps(t: Tables, requests: DataFrame, pin: Pin = lazily) -> JobResult:
+def modify_apps(t: Tables, requests: DataFrame) -> JobResult:
     """(req_id, id, name, icon, slogan, descs, images, dsd_val, url, req_time).
 
     The icon changes only when one is sent; a screenshot entry is a new upload or, when it does not decode, a kept id.
     """
     c = F.col
-    checked = pin(
+    checked = written(
         judged(requests, ("missing id", ~given(c("id"))), ("bad value", c("dsd_val").isNull()))
     )
     ok = accepted(checked)
@@ -77,10 +78,10 @@ def modify_apps(t: Tables, requests: DataFrame, pin: Pin = lazily) -> JobResult:
     )
 
 
-def _set_state(name: str, table: str, t: Tables, requests: DataFrame, pin: Pin) -> JobResult:
+def _set_state(name: str, table: str, t: Tables, requests: DataFrame) -> JobResult:
     c = F.col
     known = count_matches(requests, "id", t[table], "id", "_rows")
-    checked = pin(
+    checked = written(
         judged(
             known,
             ("missing id", ~given(c("id").cast("string"))),
@@ -97,20 +98,20 @@ def _set_state(name: str, table: str, t: Tables, requests: DataFrame, pin: Pin)
     )
 
 
-def set_app_states(t: Tables, requests: DataFrame, pin: Pin = lazily) -> JobResult:
+def set_app_states(t: Tables, requests: DataFrame) -> JobResult:
     """(req_id, id, state, req_time): 0 hides, 1 shows."""
-    return _set_state("set_app_states", "tp_apps", t, requests, pin)
+    return _set_state("set_app_states", "tp_apps", t, requests)
 
 
-def set_learn_task_states(t: Tables, requests: DataFrame, pin: Pin = lazily) -> JobResult:
+def set_learn_task_states(t: Tables, requests: DataFrame) -> JobResult:
     """(req_id, id, state, req_time)."""
-    return _set_state("set_learn_task_states", "xd_learn_task", t, requests, pin)
+    return _set_state("set_learn_task_states", "xd_learn_task", t, requests)
 
 
-def add_learn_tasks(t: Tables, requests: DataFrame, pin: Pin = lazily) -> JobResult:
+def add_learn_tasks(t: Tables, requests: DataFrame) -> JobResult:
     """(req_id, title, descr, keywords, images, req_time): keywords without repeats, bad images left out."""
     c = F.col
-    checked = pin(judged(requests, ("missing parameter", c("keywords").isNull() | c("images").isNull())))
+    checked = written(judged(requests, ("missing parameter", c("keywords").isNull() | c("images").isNull())))
     ok = accepted(checked)
     rows = ok.select(
         number_id("add_learn_tasks", c("req_id")).alias("id"), blank(c("title")).alias("title"),
@@ -121,13 +122,13 @@ def add_learn_tasks(t: Tables, requests: DataFrame, pin: Pin = lazily) -> JobRes
     return JobResult("add_learn_tasks", requests, ok, rejected(checked), appended={"xd_learn_task": rows})
 
 
-def add_tag_keywords(t: Tables, requests: DataFrame, pin: Pin = lazily) -> JobResult:
+def add_tag_keywords(t: Tables, requests: DataFrame) -> JobResult:
     """(req_id, type, name, image, req_time): type 0 opens a first level, else it names the parent, whose level counts."""
     c = F.col
     wanted = cut_to(t["xd_image_keyword"].select("id", "level"), "id", requests, "type")
     parents = wanted.select(c("id").alias("parent_id"), c("level").alias("parent_level"))
     kind = F.coalesce("type", F.lit(0))
-    checked = pin(
+    checked = written(
         judged(
             requests.join(parents, requests["type"] == parents["parent_id"], "left"),
             ("unknown parent", (kind != 0) & c("parent_id").isNull()),
@@ -147,10 +148,10 @@ def add_tag_keywords(t: Tables, requests: DataFrame, pin: Pin = lazily) -> JobRe
     )
 
 
-def add_banners(t: Tables, requests: DataFrame, pin: Pin = lazily) -> JobResult:
+def add_banners(t: Tables, requests: DataFrame) -> JobResult:
     """(req_id, image, req_time): shown at once."""
     c = F.col
-    checked = pin(
+    checked = written(
         judged(
             requests.withColumn("image_id", uploaded_id(c("image"), "add_banners.image", c("req_id"))),
             ("bad image", c("image_id").isNull()),
@@ -164,7 +165,7 @@ def add_banners(t: Tables, requests: DataFrame, pin: Pin = lazily) -> JobResult:
     return JobResult("add_banners", requests, ok.select(*requests.columns), rejected(checked), appended={"bg_banner": rows})
 
 
-def modify_banners(t: Tables, requests: DataFrame, pin: Pin = lazily) -> JobResult:
+def modify_banners(t: Tables, requests: DataFrame) -> JobResult:
     """(req_id, id, state, image, req_time): a state wins over an image; an image that is a link changes nothing.
 
     Every image that gives way is listed in ``discarded``: the stored one and all new ones but the last.
@@ -173,7 +174,7 @@ def modify_banners(t: Tables, requests: DataFrame, pin: Pin = lazily) -> JobResu
     known = count_matches(requests, "id", t["bg_banner"], "id", "_rows")
     link = c("image").contains("https://")
     by_image = c("state").isNull() & c("image").isNotNull() & ~link
-    checked = pin(
+    checked = written(
         judged(
             known.withColumn("image_id", F.when(by_image, uploaded_id(c("image"), "modify_banners.image", c("req_id")))),
             ("nothing to change", c("state").isNull() & c("image").isNull()),
@@ -205,12 +206,12 @@ def modify_banners(t: Tables, requests: DataFrame, pin: Pin = lazily) -> JobResu
     )
 
 
-def delete_banners(t: Tables, requests: DataFrame, pin: Pin = lazily) -> JobResult:
+def delete_banners(t: Tables, requests: DataFrame) -> JobResult:
     """(req_id, id, req_time): the first request per banner deletes it, later ones find nothing."""
     c = F.col
     known = count_matches(requests, "id", t["bg_banner"], "id", "_rows")
     first = earliest(requests, ["id"], request_order()).withColumnRenamed("id", "_first_id")
-    checked = pin(
+    checked = written(
         judged(
             known.join(first, known["id"] == first["_first_id"], "left"),
             ("unknown banner", (c("_rows") == 0) | (c("_first") < request_order())),

@@ -1,8 +1,13 @@
-"""What every change job gives back, and how it is put into the store."""
+"""What every change job gives back, and how it is put into the store.
+
+A job writes its judged requests to the shared folder before it uses them. They are batch-sized, several outputs read
+them, and as files they have a true size: Spark then broadcasts a small batch into a large state table on its own and
+leaves the state unshuffled, or shuffles both when the batch is large.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -12,19 +17,11 @@ from tallyhouse.operators.changes import append, cut_to, order_of
 from tallyhouse.plans.lookups import Tables
 from tallyhouse.sources.store import CHANGE_MESSAGES, REQUEST_LOG, Snapshot, TableStore
 
-# Fixes an intermediate result that several outputs of a job share; batch runs write it, single reads need not.
-Pin = Callable[[DataFrame], DataFrame]
-
-
 def request_order() -> Column:
     """Requests of a batch count in this order."""
     return order_of("req_time", "req_id")
 
 
-def lazily(df: DataFrame) -> DataFrame:
-    return df
-
-
 @dataclass(frozen=True)
 class JobResult:
     """``replaced`` tables get new content, ``appended`` ones only more rows; both leave the old state as it is."""

@@ -18,15 +18,16 @@ from tallyhouse.operators.changes import (
     rejected,
     update,
 )
-from tallyhouse.plans.jobs import JobResult, Pin, lazily, request_order
+from tallyhouse.operators.scratch import written
+from tallyhouse.plans.jobs import JobResult, request_order
 from tallyhouse.plans.lookups import Tables
 
 
-def review_identity(t: Tables, requests: DataFrame, pin: Pin = lazily) -> JobResult:
+def review_identity(t: Tables, requests: DataFrame) -> JobResult:
     """(req_id, phone, state, msg, req_time): 2 fails, 3 passes, 0 only sends the message."""
     c = F.col
     known = count_matches(requests, "phone", t["user_info"], "phone", "_users")
-    checked = pin(
+    checked = written(
         judged(
             known,
             ("missing id", ~given(c("phone"))),
@@ -48,11 +49,11 @@ def review_identity(t: Tables, requests: DataFrame, pin: Pin = lazily) -> JobRes
     )
 
 
-def grant_coins(t: Tables, requests: DataFrame, pin: Pin = lazily) -> JobResult:
+def grant_coins(t: Tables, requests: DataFrame) -> JobResult:
     """(req_id, phone, dsd_val, req_time): a ledger row and a higher balance for each valid grant."""
     c = F.col
     known = count_matches(requests, "phone", t["user_info"], "phone", "_users")
-    checked = pin(
+    checked = written(
         judged(
             known,
             ("bad phone", ~is_phone(c("phone"))),
@@ -78,10 +79,10 @@ def grant_coins(t: Tables, requests: DataFrame, pin: Pin = lazily) -> JobResult:
     )
 
 
-def reply_feedback(t: Tables, requests: DataFrame, pin: Pin = lazily) -> JobResult:
+def reply_feedback(t: Tables, requests: DataFrame) -> JobResult:
     """(req_id, id, msg, req_time). The message carries the text with doubled quotes and bare escaped quotes."""
     c = F.col
-    checked = pin(
+    checked = written(
         judged(
             requests,
             ("missing id", ~given(c("id").cast("string"))),
@@ -101,7 +102,7 @@ def reply_feedback(t: Tables, requests: DataFrame, pin: Pin = lazily) -> JobResu
     )
 
 
-def decide_applications(t: Tables, requests: DataFrame, pin: Pin = lazily) -> JobResult:
+def decide_applications(t: Tables, requests: DataFrame) -> JobResult:
     """(req_id, id, state int, state_msg, req_time). State 3 also founds a company, its super admin and a client row.
 
     Each approval founds its own company, also when the same application is approved twice.
@@ -113,7 +114,7 @@ def decide_applications(t: Tables, requests: DataFrame, pin: Pin = lazily) -> Jo
         F.min(F.struct("name", "industry", "region", "contact")).alias("form")
     )
     found = requests.join(forms, requests["id"] == forms["_form_id"], "left").drop("_form_id")
-    checked = pin(
+    checked = written(
         judged(
             found,
             ("missing id", ~given(c("id"))),
@@ -168,10 +169,10 @@ def decide_applications(t: Tables, requests: DataFrame, pin: Pin = lazily) -> Jo
     )
 
 
-def review_image_tags(t: Tables, requests: DataFrame, pin: Pin = lazily) -> JobResult:
+def review_image_tags(t: Tables, requests: DataFrame) -> JobResult:
     """(req_id, id, res, err_reason, req_time): '1' passes (state 2), '0' fails (state 1)."""
     c = F.col
-    checked = pin(
+    checked = written(
         judged(requests, ("missing id", c("id").isNull()), ("bad res", ~one_of(c("res"), ("0", "1"))))
     )
     ok = accepted(checked).withColumn("err_reason", blank(c("err_reason")))
@@ -193,9 +194,9 @@ def review_image_tags(t: Tables, requests: DataFrame, pin: Pin = lazily) -> JobR
     )
 
 
-def delete_image_tags(t: Tables, requests: DataFrame, pin: Pin = lazily) -> JobResult:
+def delete_image_tags(t: Tables, requests: DataFrame) -> JobResult:
     """(req_id, id, req_time)."""
-    checked = pin(judged(requests, ("missing id", F.col("id").isNull())))
+    checked = written(judged(requests, ("missing id", F.col("id").isNull())))
     ok = accepted(checked)
     return JobResult(
         "delete_image_tags", requests, ok, rejected(checked),

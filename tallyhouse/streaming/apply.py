@@ -21,7 +21,7 @@ def apply_requests(store: TableStore, requests: DataFrame, job: Callable[..., Jo
         return
     base = store.snapshot()
     todo = written(fresh(requests.dropDuplicates(["req_id"]), base[REQUEST_LOG], job.__name__))
-    commit(store, base, job(base, todo, pin=written), source, batch)
+    commit(store, base, job(base, todo), source, batch)
 
 
 def apply_stream(store: TableStore, requests: DataFrame, job: Callable[..., JobResult], checkpoint: str) -> StreamingQuery:
