@@ -181,7 +181,7 @@ register_filtered(
 
 def _page_lines(t: Tables) -> DataFrame:
     report = operations.order_sales(t)
-    return operations.order_lines(t, report.page(1, 10), bounded=True)
+    return operations.order_lines(t, report.page(1, 10))
 
 
 _LINES = """select l.order_id, p.name as product_name, l.product_count, p.unit as product_unit
@@ -251,7 +251,7 @@ register(
 )
 register(
     "r13_page_items",
-    lambda t: operations.stock_items(t, operations.stock_ledger(t).page(2, 20), bounded=True).select(
+    lambda t: operations.stock_items(t, operations.stock_ledger(t).page(2, 20), few=True).select(
         "rn", "category", "inout", "pos", "name", "number"
     ),
     o.stock_items(page=(2, 20)),

@@ -62,13 +62,16 @@ def payload_bytes(payload: Column) -> Column:
     Characters outside the base64 alphabet are skipped and anything after the padding is ignored.
     """
     tail = F.regexp_replace(F.substring_index(payload, ",", -1), r"[^A-Za-z0-9+/=]", "")
-    whole = F.regexp_extract(
-        tail, r"^((?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?)", 1
+    body = F.substring_index(tail, "=", 1)
+    pad = F.substr(tail, F.length(body) + 1)
+    over = F.length(body) % 4
+    # Two or three characters over need their padding, none over may have any; one over is never complete.
+    whole = (
+        F.when((over == 0) & (F.replace(pad, F.lit("="), F.lit("")) == ""), body)
+        .when((over == 2) & pad.startswith("=="), F.concat(body, F.lit("==")))
+        .when((over == 3) & pad.startswith("="), F.concat(body, F.lit("=")))
     )
-    rest = F.substr(tail, F.length(whole) + 1)
-    complete = whole.endswith("=") | rest.rlike("^=*$")
-    usable = payload.contains(",") & complete & (whole != "")
-    return F.when(usable, F.try_to_binary(whole, F.lit("base64")))
+    return F.when(payload.contains(",") & (whole != ""), F.try_to_binary(whole, F.lit("base64")))
 
 
 def uploaded_id(payload: Column, job: str, *parts: Column) -> Column:

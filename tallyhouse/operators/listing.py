@@ -27,6 +27,7 @@ from tallyhouse.operators.paging import (
     page_bounds,
 )
 from tallyhouse.operators.scratch import pinned
+from tallyhouse.operators.spread import SPREAD_BYTES, estimated_bytes, spread_join
 
 Names = str | tuple[str, ...]
 
@@ -44,6 +45,8 @@ class Lookup:
     right_on: Names
     # The right key is declared unique, so the join never multiplies rows.
     unique: bool = False
+    # No two rows of ``right`` are equal.
+    distinct: bool = False
     # For lookups built by an aggregate: makes ``right`` from ``source`` already cut to the wanted ``source_on`` keys.
     build: Callable[[DataFrame], DataFrame] | None = None
     source: DataFrame | None = None
@@ -64,6 +67,16 @@ class Lookup:
         right = self.right if right is None else right
         return left.join(right, self._match(left, right), "left")
 
+    def attach_all(self, left: DataFrame) -> DataFrame:
+        """Attach to a left side of any size.
+
+        AQE splits a hot key of the left side. It cannot split the right side of a left join, so a large table that may
+        hold many rows of one key is spread by ``spread_join``.
+        """
+        if self.unique or estimated_bytes(self.right) < SPREAD_BYTES:
+            return self.attach(left)
+        return spread_join(left, self.right, self.needs, self.keys, self.distinct)
+
     def attach_for(self, head: DataFrame, fixed: DataFrame) -> DataFrame:
         """Attach to a head of at most ``DEEP_PAGE`` rows, reading only the keys that ``fixed``, its pinned part, holds.
 
@@ -96,7 +109,7 @@ class ListReport:
     def joined(self) -> DataFrame:
         df = self.base
         for lookup in self.lookups:
-            df = lookup.attach(df)
+            df = lookup.attach_all(df)
         return df if self.where is None else df.where(self.where)
 
     def rows(self) -> DataFrame:

@@ -68,17 +68,15 @@ def order_sales(t: Tables, id: str = "", name: str = "", company_name: str = "")
 LINE_FIELDS = ("product_name", "product_count", "product_unit")
 
 
-def order_lines(t: Tables, orders: DataFrame, bounded: bool = False) -> DataFrame:
+def order_lines(t: Tables, orders: DataFrame) -> DataFrame:
     """The product lines of ``orders`` (any frame with ``order_id``) as flat rows.
 
-    Flat on purpose: one order may hold any share of all lines. ``bounded`` says ``orders`` is a page, so its ids are
-    broadcast and neither the lines nor the products move.
+    Flat on purpose: one order may hold any share of all lines. A page's size is known from its limit, so Spark
+    broadcasts its ids by itself and leaves the lines where they are.
     """
     ids = orders.select(F.col("order_id").alias("_wanted")).distinct()
     source = t["order_products"].select("order_id", "product_id", "product_count")
-    lines = source.join(
-        F.broadcast(ids) if bounded else ids, source["order_id"] == ids["_wanted"], "left_semi"
-    )
+    lines = source.join(ids, source["order_id"] == ids["_wanted"], "left_semi")
     products = picked(t["products"], "product_", "id", "name", "unit").withColumnRenamed("product_id", "_product")
     return lines.join(products, lines["product_id"] == products["_product"], "left").select(
         "order_id", "product_name", "product_count", "product_unit"
@@ -104,7 +102,7 @@ def finance_flow(t: Tables, id: str = "", name: str = "", company_name: str = ""
     return ListReport(
         base=t["finance_logs"],
         lookups=[
-            Lookup(_event_side(events), "use_id", "event_id"),
+            Lookup(_event_side(events), "use_id", "event_id", distinct=True),
             user(t, "event_creator"),
             company(t, "factory"),
         ],
@@ -248,10 +246,11 @@ def stock_shown_total(t: Tables) -> DataFrame:
     return stock_ledger(t).total()
 
 
-def stock_items(t: Tables, movements: DataFrame, bounded: bool = False) -> DataFrame:
+def stock_items(t: Tables, movements: DataFrame, few: bool = False) -> DataFrame:
     """The items of ``movements`` as flat rows with their names, '' for unknown ones.
 
-    Keeps every column of ``movements`` but the pairs. ``bounded`` says ``movements`` is a page.
+    Keeps every column of ``movements`` but the pairs. With ``few``, as for a page, the names are first cut to those
+    asked for.
     """
     kept = [col for col in movements.columns if col != "pairs"]
     flat = movements.select(*kept, F.posexplode("pairs").alias("pos", "pair")).select(
@@ -269,10 +268,10 @@ def stock_items(t: Tables, movements: DataFrame, bounded: bool = False) -> DataF
             for kind, table in (("m", "material_types"), ("p", "products"))
         ],
     )
-    if bounded:
+    if few:
         asked = flat.select(F.col("_kind").alias("_k"), F.col("_item").alias("_i")).distinct()
         names = names.join(
-            F.broadcast(asked), (names["_name_kind"] == asked["_k"]) & (names["_name_id"] == asked["_i"]), "left_semi"
+            asked, (names["_name_kind"] == asked["_k"]) & (names["_name_id"] == asked["_i"]), "left_semi"
         )
     matched = flat.join(
         names, (flat["_kind"] == names["_name_kind"]) & (flat["_item"] == names["_name_id"]), "left"

@@ -136,6 +136,11 @@ def partition_by_day(df: DataFrame, epoch: str, path: str, tz: str) -> None:
     with_day.repartition("day", spread).write.partitionBy("day").parquet(path)
 
 
+def write_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> None:
+    """A catalog table hashed and sorted by ``key``: joins of such tables on their keys need no shuffle at all."""
+    df.write.bucketBy(buckets, key).sortBy(key).mode("overwrite").saveAsTable(name)
+
+
 def merge_rows(target: str, rows: DataFrame, key: str, order: str | None = None) -> None:
     """Upsert into a table whose format supports ``MERGE INTO``; the last row per key counts."""
     fresh = rows

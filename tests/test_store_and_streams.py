@@ -150,7 +150,7 @@ def test_page_sink_and_nested_lists(spark, tmp_path):
     sinks.write_page(page, report.total(), f"{tmp_path}/page")
     assert spark.read.json(f"{tmp_path}/page/data").count() == 5
     assert spark.read.json(f"{tmp_path}/page/total").first()["total"] == t["orders"].count()
-    lines = operations.order_lines(t, page, bounded=True)
+    lines = operations.order_lines(t, page)
     nest = dict(key="order_id", name="product", fields=operations.LINE_FIELDS, position=operations.LINE_FIELDS)
     nested = sinks.nested(page, lines, **nest)
     assert sum(len(r["product"] or []) for r in nested.collect()) == lines.count()

@@ -273,7 +273,7 @@ def test_stock_branches_follow_each_other_whatever_their_times(spark):
     rows = ledger.page(1, 10).collect()
     assert [(r["id"], r["rn"], r["time"]) for r in rows] == [(1, 1, 11), (1, 2, 12), (2, 3, 0), (3, 4, 0), (4, 5, 0), (5, 6, 0)]
     assert [r["pairs"] is None for r in rows] == [False, False, True, False, True, True]
-    items = operations.stock_items(t, ledger.page(1, 10), bounded=True).orderBy("rn", "pos").collect()
+    items = operations.stock_items(t, ledger.page(1, 10), few=True).orderBy("rn", "pos").collect()
     assert [(r["rn"], r["name"], r["number"]) for r in items] == [(1, "steel", "10"), (2, "steel", "10"), (4, "", "3")]
     assert ledger.total().first()["total"] == 6
 
