@@ -3,9 +3,9 @@
 ``ListReport`` holds DataFrames and columns only; it decides *where* joins and limits go, Spark decides how they run.
 
 * ``rows``: the whole relation, lookups as plain left joins (Catalyst turns the filtered ones into inner joins).
-* ``page``: without a filter on looked-up columns every base row yields at least one result row, so the first ``n``
-  result rows come from the first ``n`` base rows. The base is scanned once and cut to those before any join, and each
-  lookup table is cut to the few keys on them, so a page shuffles nothing but the page.
+* ``page``: a lookup that no filter reads gives every row at least one result row, so the first ``n`` result rows come
+  from the first ``n`` rows without it. The base is scanned once, joined only to what the filters read (usually
+  nothing) and cut; the other lookup tables are then cut to the few keys on it, so they are not shuffled at all.
 * ``total``: base and lookups are first counted per join key and the counts multiplied. Hot keys shrink to one row per
   task before they are shuffled, and lookups on a declared unique key that nothing else needs are left out.
 """
@@ -18,6 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyhouse.functions.predicates import all_of, keep
 from tallyhouse.operators.paging import (
     DEEP_PAGE,
     Order,
@@ -36,7 +37,7 @@ def _tuple(names: Names) -> tuple[str, ...]:
     return (names,) if isinstance(names, str) else names
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class Lookup:
     """A left join of ``right`` on ``left_on == right_on``; all column names differ from those already present."""
 
@@ -94,23 +95,42 @@ class Lookup:
         return self.attach(head, cut if self.build is None else self.build(cut))
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class ListReport:
     base: DataFrame
     order: Order
     output: Sequence[Column]
     lookups: Sequence[Lookup] = ()
-    where: Column | None = None
-    # Names of the columns ``where`` reads.
-    where_uses: Sequence[str] = ()
+    # Filters on looked-up columns: the column each one reads, and the condition or None.
+    tests: Sequence[tuple[str, Column | None]] = ()
     # The part of ``order`` that reads base columns only, ending in the base key; None = all of it.
     base_order: Order | None = None
 
-    def joined(self) -> DataFrame:
+    @property
+    def where(self) -> Column | None:
+        return all_of(*[condition for _, condition in self.tests])
+
+    def _tested(self) -> set[str]:
+        return {name for name, condition in self.tests if condition is not None}
+
+    def _for_tests(self) -> list[Lookup]:
+        """The lookups the filters read, with those they hang on."""
+        found: list[Lookup] = []
+        wanted = self._tested()
+        for lookup in reversed(self.lookups):
+            if wanted.intersection(lookup.right.columns):
+                found.insert(0, lookup)
+                wanted.update(lookup.needs)
+        return found
+
+    def _joined(self, lookups: Sequence[Lookup]) -> DataFrame:
         df = self.base
-        for lookup in self.lookups:
+        for lookup in lookups:
             df = lookup.attach_all(df)
-        return df if self.where is None else df.where(self.where)
+        return keep(df, self.where)
+
+    def joined(self) -> DataFrame:
+        return self._joined(self.lookups)
 
     def rows(self) -> DataFrame:
         """Every row, unnumbered: needs no sort at all."""
@@ -125,10 +145,12 @@ class ListReport:
     def _head(self, upto: int) -> DataFrame:
         """The first ``upto`` joined rows with all their columns, for ``upto <= DEEP_PAGE``."""
         order = self.order.columns()
-        if self.where is not None or not self.lookups:
+        first = self._for_tests()
+        later = [lookup for lookup in self.lookups if lookup not in first]
+        if not later or not all(lookup.unique for lookup in first):
             return first_page_rows(self.joined(), order, upto)
-        head = fixed = pinned(first_page_rows(self.base, (self.base_order or self.order).columns(), upto))
-        for lookup in self.lookups:
+        head = fixed = pinned(first_page_rows(self._joined(first), (self.base_order or self.order).columns(), upto))
+        for lookup in later:
             if not set(fixed.columns).issuperset(lookup.needs):
                 # Its keys come from an earlier lookup: fix that result, or its table would be read twice.
                 head = fixed = pinned(head)
@@ -144,14 +166,14 @@ class ListReport:
         return numbered.select(*self.output, "rn").orderBy("rn")
 
     def total(self) -> DataFrame:
+        tested = self._tested()
         kept: list[Lookup] = []
-        tested = set(self.where_uses) if self.where is not None else set()
         wanted = set(tested)
         for lookup in reversed(self.lookups):
-            if not lookup.unique or wanted & set(lookup.right.columns):
+            if not lookup.unique or wanted.intersection(lookup.right.columns):
                 kept.insert(0, lookup)
                 wanted.update(lookup.needs)
-        if not kept and self.where is None:
+        if not kept:
             return self.base.agg(F.count(F.lit(1)).alias("total"))
 
         base_keys = [c for c in self.base.columns if c in wanted]
@@ -165,6 +187,4 @@ class ListReport:
             if i + 1 < len(kept):
                 keys = [c for c in weighted.columns if c in later]
                 weighted = weighted.groupBy(*keys).agg(F.sum("_n").alias("_n"))
-        if self.where is not None:
-            weighted = weighted.where(self.where)
-        return weighted.agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("total"))
+        return keep(weighted, self.where).agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("total"))

@@ -143,7 +143,7 @@ class CompanyAdmins:
 
     def _filtered(self) -> ListReport:
         lst = self._list
-        return ListReport(lst.base, lst.order, lst.output, lst.lookups, self._named, ("user_name",))
+        return ListReport(lst.base, lst.order, lst.output, lst.lookups, [("user_name", self._named)])
 
     def rows(self) -> DataFrame:
         return self._filtered().rows()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.constants import IMAGE_BASE, MATERIAL, PRODUCT, STOCK_IN, STOCK_OUT
 from tallyhouse.functions.arrays import zip_shortest
-from tallyhouse.functions.predicates import all_of, contains, equals, keep
+from tallyhouse.functions.predicates import contains, equals, keep
 from tallyhouse.functions.values import blank, flow_label, image_url, image_urls, money
 from tallyhouse.operators.listing import ListReport, Lookup
 from tallyhouse.operators.paging import newest_first, row_total
@@ -51,8 +51,9 @@ def order_sales(t: Tables, id: str = "", name: str = "", company_name: str = "")
             ),
             company(t, "factory"),
         ],
-        where=all_of(contains(c("user_name"), name), contains(c("company_name"), company_name)),
-        where_uses=("user_name", "company_name"),
+        tests=[
+            ("user_name", contains(c("user_name"), name)), ("company_name", contains(c("company_name"), company_name)),
+        ],
         order=newest_first("time", "id"),
         output=[
             c("id").alias("order_id"),
@@ -106,10 +107,10 @@ def finance_flow(t: Tables, id: str = "", name: str = "", company_name: str = ""
             user(t, "event_creator"),
             company(t, "factory"),
         ],
-        where=all_of(
-            contains(c("user_phone"), id), contains(c("user_name"), name), contains(c("company_name"), company_name)
-        ),
-        where_uses=("user_phone", "user_name", "company_name"),
+        tests=[
+            ("user_phone", contains(c("user_phone"), id)), ("user_name", contains(c("user_name"), name)),
+            ("company_name", contains(c("company_name"), company_name)),
+        ],
         base_order=newest_first("time", "log_key"),
         order=newest_first("time", "log_key", "event_time", "event_creator"),
         output=[
@@ -137,8 +138,9 @@ def purchases(t: Tables, id: str = "", name: str = "", company_name: str = "") -
             membership(t, "creator"),
             Lookup(buyers.where(c("buyer_name").isNotNull()), "buyer", "buyer_name"),
         ],
-        where=all_of(contains(c("buyer_phone"), id), contains(c("company_name"), company_name)),
-        where_uses=("buyer_phone", "company_name"),
+        tests=[
+            ("buyer_phone", contains(c("buyer_phone"), id)), ("company_name", contains(c("company_name"), company_name)),
+        ],
         order=newest_first("time", "id"),
         output=[
             c("material_count").alias("num"),
@@ -159,10 +161,10 @@ def production(t: Tables, id: str = "", name: str = "", company_name: str = "")
         lookups=[
             named(t, "products", "product_id", "made_", "name"), company(t, "factory"), user(t, "creator"),
         ],
-        where=all_of(
-            contains(c("user_phone"), id), contains(c("user_name"), name), contains(c("company_title"), company_name)
-        ),
-        where_uses=("user_phone", "user_name", "company_title"),
+        tests=[
+            ("user_phone", contains(c("user_phone"), id)), ("user_name", contains(c("user_name"), name)),
+            ("company_title", contains(c("company_title"), company_name)),
+        ],
         order=newest_first("time", "id"),
         output=[
             c("made_name").alias("product"),
@@ -224,10 +226,10 @@ def stock_ledger(t: Tables, id: str = "", name: str = "", company_name: str = ""
             user(t, "creator_id"), company(t, "factory"),
             Lookup(_movement_logs(t), ("log_table", "id"), ("log_name", "log_use_id")),
         ],
-        where=all_of(
-            contains(c("user_phone"), id), contains(c("user_name"), name), contains(c("company_title"), company_name)
-        ),
-        where_uses=("user_phone", "user_name", "company_title"),
+        tests=[
+            ("user_phone", contains(c("user_phone"), id)), ("user_name", contains(c("user_name"), name)),
+            ("company_title", contains(c("company_title"), company_name)),
+        ],
         base_order=newest_first("time", "id", lead=("branch",)),
         order=newest_first("time", "id", "log_time", lead=("branch",)),
         output=[
@@ -322,8 +324,7 @@ def image_tags(
             contains(c("phone"), phone), equals(c("state"), state), equals(c("keyword_id"), keyword),
         ),
         lookups=[named(t, "xd_image_keyword", "keyword_id", "word_", "keyword", "image"), user(t, "phone")],
-        where=contains(c("user_name"), name, always=True),
-        where_uses=("user_name",),
+        tests=[("user_name", contains(c("user_name"), name, always=True))],
         order=newest_first("time", "id"),
         output=[
             c("id"), c("phone"),

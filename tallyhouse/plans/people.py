@@ -41,8 +41,10 @@ def identity_reviews(
     return ListReport(
         base=base,
         lookups=[user(t, "phone")],
-        where=all_of(contains(c("user_name"), username), equals(c("user_auth_state"), int(state) if state else None)),
-        where_uses=("user_name", "user_auth_state"),
+        tests=[
+            ("user_name", contains(c("user_name"), username)),
+            ("user_auth_state", equals(c("user_auth_state"), int(state) if state else None)),
+        ],
         order=newest_first("time", "phone"),
         output=[
             blank(c("phone")).alias("id"),
@@ -78,8 +80,7 @@ def users(
     return ListReport(
         base=base,
         lookups=[membership(t, "phone"), company(t, "member_factory")],
-        where=equals(c("company_id"), factory_id),
-        where_uses=("company_id",),
+        tests=[("company_id", equals(c("company_id"), factory_id))],
         base_order=newest_first("time", "phone"),
         order=newest_first("time", "phone", "company_title"),
         output=[
@@ -132,8 +133,9 @@ def coin_ledger(
     return ListReport(
         base=base,
         lookups=[user(t, "user_id"), membership(t, "user_phone"), company(t, "member_factory")],
-        where=all_of(contains(c("user_name"), name), equals(c("company_id"), factory_id)),
-        where_uses=(*(("user_name",) if name else ()), *(("company_id",) if factory_id else ())),
+        tests=[
+            ("user_name", contains(c("user_name"), name)), ("company_id", equals(c("company_id"), factory_id)),
+        ],
         base_order=newest_first("time", "id"),
         order=newest_first("time", "id", "company_name"),
         output=[
@@ -168,8 +170,9 @@ def coin_ledger_shown_total(
     return ListReport(
         base=_coin_records(t, id, type, sdsd, edsd),
         lookups=[Lookup(members, "user_id", "member_phone"), company(t, "member_factory")],
-        where=all_of(contains(c("member_name"), name), equals(c("company_id"), factory_id)),
-        where_uses=(*(("member_name",) if name else ()), *(("company_id",) if factory_id else ())),
+        tests=[
+            ("member_name", contains(c("member_name"), name)), ("company_id", equals(c("company_id"), factory_id)),
+        ],
         order=newest_first("time", "id"),
         output=[],
     ).total()
@@ -185,8 +188,7 @@ def feedback(
     return ListReport(
         base=base,
         lookups=[user(t, "phone")],
-        where=contains(c("user_name"), name),
-        where_uses=("user_name",),
+        tests=[("user_name", contains(c("user_name"), name))],
         order=newest_first("time", "id"),
         output=[
             c("id"), c("phone"),
@@ -222,8 +224,7 @@ def invited_companies(t: Tables, invite_phone: str = "", admin_phone: str = "")
         lookups=[
             user(t, "applicant_invitor_id", "inviter_"), membership(t, "id"), company(t, "member_factory"),
         ],
-        where=contains(admins, admin_phone),
-        where_uses=("company_administrators",),
+        tests=[("company_administrators", contains(admins, admin_phone))],
         base_order=newest_first("applicant_time", "id", "time"),
         order=newest_first("applicant_time", "id", "time", "company_id"),
         output=[
