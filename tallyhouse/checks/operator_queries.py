@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from decimal import Decimal
 
@@ -15,9 +16,13 @@ from tallyhouse.checks.standins import StandIns, with_standins
 from tallyhouse.functions import arrays, days, predicates, values
 from tallyhouse.operators import changes
 from tallyhouse.operators.paging import newest_first, number_rows, row_total
-from tallyhouse.plans import operations, review_jobs
+from tallyhouse.operators.scratch import checkpoint_dir
+from tallyhouse.plans import operations, people, review_jobs
 from tallyhouse.plans.lookups import Tables
+from tallyhouse.sources import sinks
+from tallyhouse.sources.store import TableStore
 from tallyhouse.streaming import messages
+from tallyhouse.streaming.apply import apply_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -100,6 +105,66 @@ register(
         group by company_name having count(*) > 1""",
 )
 
+
+
+def _folder(t: StandIns) -> str:
+    return f"{checkpoint_dir(t.spark).rstrip('/')}/tallyhouse/{uuid.uuid4().hex}"
+
+
+def _page_sink(t: StandIns, part: str) -> DataFrame:
+    folder = _folder(t)
+    report = people.users(t)
+    page, total = report.page(2, 50), report.total()
+    sinks.write_page(page, total, folder)
+    return t.spark.read.schema((page if part == "data" else total).schema).json(f"{folder}/{part}")
+
+
+register("s3_page_data", lambda t: _page_sink(t, "data"), o.users().page_body(2, 50))
+register(
+    "s3_page_total", lambda t: _page_sink(t, "total"), f"select count(*) as total from {o.users().source}"
+)
+
+
+def _published(t: StandIns) -> DataFrame:
+    folder = _folder(t)
+    sinks.publish(review_jobs.review_image_tags(t, t["req_image_tag_review"]).messages, folder)
+    return t.spark.read.text(folder)
+
+
+register(
+    "s8_published", _published,
+    """select cast(json_object('resource', 'BgXDImagesTag', 'type', 'PUT', 'params',
+        json_object('id', cast(id as varchar), 'res', res, 'err_reason', err_reason)) as varchar) as value
+        from fx_req_image_tag_review where res in ('0', '1')""",
+)
+
+
+# Requests arriving in files, applied by a stream that ends when they are used up.
+def _streamed(t: StandIns, table: str) -> DataFrame:
+    folder = _folder(t)
+    arriving = t["req_coin_grant"]
+    for part in range(3):
+        arriving.where(c("req_id") % 3 == part).write.mode("append").parquet(f"{folder}/arriving")
+    store = TableStore(t.spark, f"{folder}/store")
+    store.commit(store.snapshot(), replaced={name: t[name] for name in ("user_info", "coin_records")})
+    stream = t.spark.readStream.schema(arriving.schema).option("maxFilesPerTrigger", 8).parquet(f"{folder}/arriving")
+    apply_stream(store, stream, review_jobs.grant_coins, f"{folder}/checkpoint").awaitTermination()
+    return store.snapshot()[table]
+
+
+_GRANTED = f"""select * from fx_req_coin_grant where {phone_ok('phone')} and dsd_val > 0
+    and phone in (select phone from fx_user_info)"""
+register(
+    "m3_stream_users", lambda t: _streamed(t, "user_info"),
+    f"""select u.* replace (cast(u.coin + coalesce(g.s, 0) as decimal(18, 2)) as coin) from fx_user_info u
+        left join (select phone, sum(dsd_val) as s from ({_GRANTED}) x group by phone) g on u.phone = g.phone""",
+)
+register(
+    "m3_stream_ledger", lambda t: _streamed(t, "coin_records"),
+    f"""select id, user_id, val, from_type, time from fx_coin_records union all
+        select req_id, phone, dsd_val, 'system', req_time from ({_GRANTED}) x""",
+)
+
 # Predicates.
 register(
     "p1_contains", lambda t: predicates.keep(t["user_info"], predicates.contains(c("name"), "00")).select("phone"),

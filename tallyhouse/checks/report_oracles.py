@@ -46,9 +46,12 @@ class Body:
     def every(self) -> str:
         return with_standins(self.numbered())
 
-    def page(self, page: int = 1, row: int = 10) -> str:
+    def page_body(self, page: int = 1, row: int = 10) -> str:
         low, high = (page - 1) * row, page * row
-        return with_standins(f"select * from ({self.numbered()}) numbered where rn > {low} and rn <= {high}")
+        return f"select * from ({self.numbered()}) numbered where rn > {low} and rn <= {high}"
+
+    def page(self, page: int = 1, row: int = 10) -> str:
+        return with_standins(self.page_body(page, row))
 
     def total(self) -> str:
         return with_standins(f"select cast(count(*) as bigint) as total from {self.source}")

@@ -411,7 +411,7 @@ class StandIns(Mapping[str, DataFrame]):
     """Table access like the other sources, over the driver tables in a folder."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
-        self._spark = spark
+        self.spark = spark
         self._folder = folder.rstrip("/")
 
     def __getitem__(self, name: str) -> DataFrame:
@@ -419,7 +419,7 @@ class StandIns(Mapping[str, DataFrame]):
             raise KeyError(name)
         text = sql_text(name, "spark")
         text = re.sub(r" from (\w+)( where |$)", rf" from parquet.`{self._folder}/\1.parquet`\2", text)
-        return self._spark.sql(text)
+        return self.spark.sql(text)
 
     def __iter__(self) -> Iterator[str]:
         return iter([*STATE, *REQUESTS])

@@ -96,14 +96,17 @@ def users(
 
 def user_figures(t: Tables, as_of: int, tz: str = TIME_ZONE) -> DataFrame:
     """Total and new users, activity of the last seven days, and their ratio."""
-    total = t["user_info"].agg(F.count("phone").alias("total_users"))
-    new = t["user_info"].where(F.col("time") > day_start(as_of, 0, tz)).agg(F.count("phone").alias("new_users"))
-    log = t["user_activity_log"].where(F.col("time") > day_start(as_of, 6, tz))
-    active = log.agg(F.count("phone").alias("active_users"))
-    # Each side is a global aggregate, so exactly one row.
-    return total.join(new).join(active).select(
-        "total_users", "new_users", "active_users",
-        percent(F.col("active_users"), F.col("total_users")).alias("active_rate"),
+    c = F.col
+    is_new = c("time") > day_start(as_of, 0, tz)
+    people = t["user_info"].agg(
+        F.count("phone").alias("total_users"), F.count(F.when(is_new, c("phone"))).alias("new_users")
+    )
+    log = t["user_activity_log"].where(c("time") > day_start(as_of, 6, tz)).agg(F.count("phone").alias("active_users"))
+    # One pass over each table, the two single rows laid over each other.
+    figures = people.unionByName(log, allowMissingColumns=True)
+    names = ("total_users", "new_users", "active_users")
+    return figures.agg(*[F.coalesce(F.max(n), F.lit(0)).alias(n) for n in names]).select(
+        *names, percent(c("active_users"), c("total_users")).alias("active_rate")
     )
 
 

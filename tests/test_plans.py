@@ -53,6 +53,7 @@ def test_no_python_functions_anywhere(spark):
         if name in jobs.values() or name.endswith(("_all", "_total")) or name[0] in "pfu":
             text = plan(query(spark, SF))
             assert "Python" not in text and "ArrowEval" not in text, name
+            assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text, name
 
 
 @pytest.fixture(scope="module")
