@@ -61,7 +61,11 @@ def payload_bytes(payload: Column) -> Column:
 
     Characters outside the base64 alphabet are skipped and anything after the padding is ignored.
     """
-    tail = F.regexp_replace(F.substring_index(payload, ",", -1), r"[^A-Za-z0-9+/=]", "")
+    raw = F.substring_index(payload, ",", -1)
+    # Line ends are the usual strangers; with them gone most texts pass one possessive match and need no rewriting.
+    lines = F.replace(F.replace(raw, F.lit("\r"), F.lit("")), F.lit("\n"), F.lit(""))
+    strange = F.regexp_replace(lines, "[^A-Za-z0-9+/=]", "")
+    tail = F.when(lines.rlike("^[A-Za-z0-9+/=]*+$"), lines).otherwise(strange)
     body = F.substring_index(tail, "=", 1)
     pad = F.substr(tail, F.length(body) + 1)
     over = F.length(body) % 4
