@@ -77,7 +77,7 @@ def users(where: str = "true", base: str = "true") -> Body:
             coalesce(f.title, '') as factory""",
         f"""(select * from fx_user_info where phone is not null and name is not null and time >= 0 and {base}) u
             left join fx_factory_users m on u.phone = m.phone left join fx_factorys f on m.factory = f.id where {where}""",
-        "u.time desc nulls first, u.phone, f.title nulls first",
+        "u.time desc nulls first, u.phone, m.factory nulls first",
     )
 
 
@@ -88,7 +88,7 @@ def coin_ledger(where: str = "true", base: str = "true") -> Body:
         f"""(select * from fx_coin_records where user_id is not null and {base}) r
             left join fx_user_info u on r.user_id = u.phone left join fx_factory_users m on u.phone = m.phone
             left join fx_factorys f on m.factory = f.id where {where}""",
-        "r.time desc nulls first, r.id, f.name nulls first",
+        "r.time desc nulls first, r.id, m.factory nulls first",
     )
 
 
@@ -319,7 +319,7 @@ def invited_companies(where: str = "true") -> Body:
         f"""fx_bg_examine e left join fx_user_info a on e.id = a.phone left join fx_user_info i on a.invitor_id = i.phone
             left join fx_factory_users m on e.id = m.phone left join fx_factorys f on m.factory = f.id
             where a.invitor_id is not null and {where}""",
-        "a.time desc nulls first, e.id, e.time nulls first, f.id nulls first",
+        "a.time desc nulls first, e.id, e.time nulls first, m.factory nulls first",
     )
 
 

@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tallyhouse.functions.predicates import all_of, keep
 from tallyhouse.operators.paging import (
@@ -78,8 +79,10 @@ class Lookup:
             return self.attach(left)
         return spread_join(left, self.right, self.needs, self.keys, self.distinct)
 
-    def attach_for(self, head: DataFrame, fixed: DataFrame) -> DataFrame:
-        """Attach to a head of at most ``DEEP_PAGE`` rows, reading only the keys that ``fixed``, its pinned part, holds.
+    def attach_for(
+        self, head: DataFrame, fixed: DataFrame, upto: int, order: Sequence[str] | None
+    ) -> DataFrame:
+        """Attach to a head of ``upto <= DEEP_PAGE`` rows, reading only the keys that ``fixed``, its pinned part, holds.
 
         The broadcast side is the head's keys, whose number the page bounds whatever the tables hold.
         """
@@ -92,7 +95,12 @@ class Lookup:
         cut = table.join(
             F.broadcast(keys), [table[k] == keys[n] for k, n in zip(on, names, strict=True)], "left_semi"
         )
-        return self.attach(head, cut if self.build is None else self.build(cut))
+        right = cut if self.build is None else self.build(cut)
+        if not self.unique and order is not None:
+            # A page shows at most ``upto`` of the rows one key has; tasks drop the others before they shuffle.
+            first = Window.partitionBy(*self.keys).orderBy(*[F.asc_nulls_first(c) for c in order or self.keys])
+            right = right.withColumn("_nth", F.row_number().over(first)).where(F.col("_nth") <= upto).drop("_nth")
+        return self.attach(head, right)
 
 
 @dataclass(frozen=True, eq=False)
@@ -142,6 +150,15 @@ class ListReport:
         shown = self.joined().select(*self.output, *[F.col(c).alias(f"_sort_{c}") for c in self.order.names])
         return number_rows(shown, order.columns(), partitions).drop(*order.names)
 
+    def _own_ties(self, lookup: Lookup) -> list[str] | None:
+        """The tie-breaks that order the rows of one key of ``lookup``; None when a later lookup on it has a say."""
+        hanging = set(lookup.right.columns)
+        for later in self.lookups:
+            if later is not lookup and hanging.intersection(later.needs):
+                hanging.update(later.right.columns)
+        ties = [c for c in self.order.ties if c in hanging]
+        return ties if set(ties) <= set(lookup.right.columns) else None
+
     def _head(self, upto: int) -> DataFrame:
         """The first ``upto`` joined rows with all their columns, for ``upto <= DEEP_PAGE``."""
         order = self.order.columns()
@@ -154,7 +171,7 @@ class ListReport:
             if not set(fixed.columns).issuperset(lookup.needs):
                 # Its keys come from an earlier lookup: fix that result, or its table would be read twice.
                 head = fixed = pinned(head)
-            head = lookup.attach_for(head, fixed)
+            head = lookup.attach_for(head, fixed, upto, self._own_ties(lookup))
         return first_page_rows(head, order, upto)
 
     def page(self, page: int = 1, row: int = 10) -> DataFrame:

@@ -82,7 +82,7 @@ def users(
         lookups=[membership(t, "phone"), company(t, "member_factory")],
         tests=[("company_id", equals(c("company_id"), factory_id))],
         base_order=newest_first("time", "phone"),
-        order=newest_first("time", "phone", "company_title"),
+        order=newest_first("time", "phone", "member_factory"),
         output=[
             c("phone"), c("name"),
             image_url(c("image"), image_base).alias("image"),
@@ -140,7 +140,7 @@ def coin_ledger(
             ("user_name", contains(c("user_name"), name)), ("company_id", equals(c("company_id"), factory_id)),
         ],
         base_order=newest_first("time", "id"),
-        order=newest_first("time", "id", "company_name"),
+        order=newest_first("time", "id", "member_factory"),
         output=[
             c("user_phone").alias("phone"),
             c("user_name").alias("name"),
@@ -229,7 +229,7 @@ def invited_companies(t: Tables, invite_phone: str = "", admin_phone: str = "")
         ],
         tests=[("company_administrators", contains(admins, admin_phone))],
         base_order=newest_first("applicant_time", "id", "time"),
-        order=newest_first("applicant_time", "id", "time", "company_id"),
+        order=newest_first("applicant_time", "id", "time", "member_factory"),
         output=[
             c("applicant_invitor_id").alias("invite_phone"),
             c("name").alias("factory"),

@@ -13,6 +13,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a hot join key even where that costs one more exchange further up.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Pages keep the first rows per key before the shuffle, up to the deepest page that one task may number.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
 }
 
 

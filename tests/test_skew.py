@@ -91,3 +91,27 @@ def test_bucketed_tables_join_without_a_shuffle(spark, no_broadcast, tmp_path):
         assert joined.count() == 90
     finally:
         spark.sql("drop database bucketed cascade")
+
+
+@pytest.mark.parametrize("report", [people.coin_ledger, people.users, operations.purchases, operations.stock_ledger])
+def test_pages_over_hot_lookups(spark, report):
+    """A page takes only the first rows of a key that has many, and they are the right ones."""
+    t = dict(hot_tables(spark).items())
+    t["factory_users"] = spark.range(300).select(
+        F.lit("hot").alias("phone"), F.lit("m").alias("name"), F.array(F.lit("3")).alias("rights"),
+        F.concat(F.lit("F"), F.lpad((F.col("id") * 7 % 300).cast("string"), 3, "0")).alias("factory"), F.lit(1).cast("bigint").alias("time"),
+    )
+    t["factorys"] = t["factory_users"].select(
+        F.col("factory").alias("id"), F.concat(F.lit("n"), "factory").alias("name"), F.concat(F.lit("t"), "factory").alias("title"),
+        F.array("phone").alias("administrators"), "time",
+    )
+    t["user_info"] = t["user_info"].withColumn("time", F.lit(5).cast("bigint")).withColumn("coin", F.lit(1).cast("decimal(18,2)"))
+    t["material_incoming"] = t["material_incoming"].unionByName(
+        spark.createDataFrame([(i, "F001", ["1"], ["2"], i, "hot") for i in range(5)], t["material_incoming"].schema)
+    )
+    t["materials_log"] = spark.range(200).select((F.col("id") % 2).alias("use_id"), (F.col("id") * 13 % 200).alias("time"))
+    lst = report(t)
+    numbered = [tuple(r) for r in lst.numbered(partitions=3).orderBy("rn").collect()]
+    for page, row in ((1, 10), (4, 25), (2, 150)):
+        want = numbered[(page - 1) * row:page * row]
+        assert [tuple(r) for r in lst.page(page, row).collect()] == want
