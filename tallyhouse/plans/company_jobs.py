@@ -24,8 +24,8 @@ from tallyhouse.operators.changes import (
     rejected,
     update,
 )
-from tallyhouse.operators.settle import settle
 from tallyhouse.operators.scratch import written
+from tallyhouse.operators.settle import settle
 from tallyhouse.plans.jobs import JobResult, request_order
 from tallyhouse.plans.lookups import Tables
 
@@ -38,7 +38,7 @@ def add_admin_accounts(t: Tables, requests: DataFrame) -> JobResult:
     """(req_id, actor, phone, name, req_time). The actor signs in by phone when it is 11 digits, else by user name."""
     c = F.col
     used = count_matches(requests, "phone", t["bg_user"], "phone", "_used")
-    # isdigit() and len == 11
+    # Eleven digits are taken for a phone, whatever they start with.
     by_phone = c("actor").rlike(r"^\d{11}$")
     actors = used.withColumn("_as_phone", F.when(by_phone, c("actor"))).withColumn(
         "_as_name", F.when(~by_phone, c("actor"))
