@@ -5,11 +5,12 @@ scrambles the shingles, the second, shifted circularly by k, gives coordinate k.
 documents into buckets; the number of bands follows from the threshold, so that a pair at the threshold is missed with a
 probability below ``MISS``.
 
-Documents with equal sets form one class before banding. A bucket never emits all its pairs at first: its members are
-compared with one of them, the pivot, chosen as the member with most company over all its buckets, so that a large group
-of near copies costs one comparison per member. Pairs left over (same bucket, not yet connected, not ruled out by the
-triangle inequality of the Jaccard distance) go through further pivots and are then compared one by one. No bucket is
-capped. Links are decided on full sets only.
+Documents with equal sets form one class before banding. A bucket never emits all its pairs: its members are compared with
+one of them, the pivot, chosen as the member with most company over all its buckets, so that a large group of near copies
+costs one comparison per member. Two members x and y that the pivot p does not connect are then looked for by what sets them
+apart from p: were they linked, their differences from p would largely agree, so a short prefix of the ordered difference
+sets has to meet in an inverted index (prefix and position filter of set similarity joins; exact). No bucket is capped and
+links are decided on full sets only.
 """
 
 from __future__ import annotations
@@ -20,17 +21,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.llm.common import ascii_words, components, pieces_of, splitmix, text_bytes, written
 
 ROWS = 4
 MISS = 1e-9
-# After so many pivots per bucket the pairs that are still open are compared one by one.
-PIVOTS = 4
-# Open pairs per open bucket entry below which no further pivot is worth a round.
-FEW = 4
 
 
 def bands_for(percent: int) -> int:
@@ -131,28 +128,41 @@ def sets_of(documents: DataFrame, words: int) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "node long, shingles array<long>")
 
 
-def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, common, together): sizes of intersection and union of the full sets of each pair."""
+def compared(pairs: DataFrame, sets: DataFrame, percent: int, with_rest: bool = False) -> DataFrame:
+    """(a, b, common, n_a, n_b) for pairs of nodes, from their full sets; with ``rest``, what sets a apart from b.
+
+    ``rest`` lists the differences in one order for all nodes, additions before removals, as far as the prefix filter needs.
+    """
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
+    # The most that two linked sets of which one has n elements can differ by.
+    reach = (100 - percent) / percent
+    schema = "a long, b long, common long, n_a long, n_b long" + ", rest array<long>" * with_rest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             one, two = batch.column("of_a"), batch.column("of_b")
-            common, together = [], []
+            common, rest, n_a, n_b = [], [], [], []
             for i in range(batch.num_rows):
                 x, y = one[i].values.to_numpy(), two[i].values.to_numpy()
-                merged = np.sort(np.concatenate([x, y]))
-                same = int(np.count_nonzero(merged[1:] == merged[:-1]))
-                common.append(same)
-                together.append(len(merged) - same)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("a"), batch.column("b"), pa.array(common, pa.int64()), pa.array(together, pa.int64())],
-                names=["a", "b", "common", "together"],
-            )
+                merged = np.concatenate([x, y])
+                merged.sort()
+                common.append(int(np.count_nonzero(merged[1:] == merged[:-1])))
+                n_a.append(len(x))
+                n_b.append(len(y))
+                if with_rest:
+                    added = np.sort(np.setdiff1d(x, y, assume_unique=True))
+                    gone = np.sort(np.setdiff1d(y, x, assume_unique=True)) ^ np.int64(0x5555555555555555)
+                    rest.append(np.concatenate([added, gone])[: int(reach * len(x)) + 1])
+            columns = [batch.column("a"), batch.column("b"), *(pa.array(c, pa.int64()) for c in (common, n_a, n_b))]
+            names = ["a", "b", "common", "n_a", "n_b"]
+            if with_rest:
+                columns.append(pa.array(rest, pa.list_(pa.int64())))
+                names.append("rest")
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b")
-    return joined.mapInArrow(run, "a long, b long, common long, together long")
+    return joined.mapInArrow(run, schema)
 
 
 def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -184,7 +194,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
     once = of_wanted.groupBy("doc_id").agg(F.collect_set("text").alias("texts"))
     once = once.select("doc_id", F.explode("texts").alias("text"))
     sets = written(sets_of(once, words))
-    links, group = _settled(crowded, sets, links, percent)
+    group = written(_settled(crowded, sets, links, percent))
 
     found = named.join(group.withColumnRenamed("component", "grouped"), "node", "left")
     found = found.select("doc_id", *key, F.coalesce("grouped", "node").alias("component_id"))
@@ -197,61 +207,58 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
     )
 
 
-def _settled(crowded: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """All links needed for the components of the nodes in ``crowded``, and the components."""
-    away = 1 - percent / 100 + 1e-9
-    open_ = crowded.withColumn("from_pivot", F.lit(None).cast("double"))
-    done = None
-    for turn in range(PIVOTS + 1):
-        if turn:
-            parts = open_.join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            counts = parts.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-            mixed = counts.groupBy("bucket").agg(
-                F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares")
-            ).where("parts > 1")
-            open_ = written(
-                parts.join(mixed.select("bucket", "n", "squares"), "bucket").select(
-                    "bucket", "node", "size", "from_pivot", "component", "n", "squares"
-                )
-            )
-            row = open_.agg(
-                F.count(F.lit(1)).alias("rows"), F.sum((F.col("n") - F.col("squares") / F.col("n")) / 2).alias("pairs")
-            ).first()
-            if not row["rows"]:
-                break
-            if turn == PIVOTS or row["pairs"] <= FEW * row["rows"]:
-                done_pairs = done.select("a", "b")
-                one = open_.select("bucket", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("from_pivot").alias("da"))
-                two = open_.select("bucket", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("from_pivot").alias("db"))
-                near = F.coalesce(F.abs(F.col("da") - F.col("db")) <= away, F.lit(True))
-                rest = one.join(two, "bucket").where((F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & near)
-                rest = rest.select("a", "b").distinct().join(done_pairs, ["a", "b"], "left_anti")
-                checked = written(compared(rest, sets))
-                links = links.unionByName(checked.where(_linked(percent)).select("a", "b"))
-                group = written(components(links))
-                break
-            open_ = open_.drop("component", "n", "squares")
-        company = open_.groupBy("node").agg(F.sum("size").alias("company"))
-        pivots = open_.join(company, "node").groupBy("bucket").agg(
-            F.max_by("node", F.struct("company", -F.col("node"))).alias("pivot")
-        )
-        seen = written(open_.join(pivots, "bucket").where("node <> pivot"))
-        ends = seen.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
-        if done is not None:
-            ends = ends.join(done.select("a", "b"), ["a", "b"], "left_anti")
-        checked = written(compared(ends, sets))
-        done = checked if done is None else done.unionByName(checked)
-        links = links.unionByName(checked.where(_linked(percent)).select("a", "b"))
-        group = written(components(links))
-        distance = done.select(
-            F.col("a"), F.col("b"), (1 - F.col("common") / F.col("together")).alias("now")
-        )
-        open_ = seen.withColumns({"a": F.greatest("node", "pivot"), "b": F.least("node", "pivot")}).join(
-            distance, ["a", "b"], "left"
-        )
-        open_ = written(open_.select("bucket", "node", "size", F.col("now").alias("from_pivot")))
-    return links, group
-
-
-def _linked(percent: int) -> F.Column:
-    return 100 * F.col("common") >= percent * F.col("together")
+def _settled(crowded: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """(node, component) of all nodes that have a link."""
+    company = crowded.groupBy("node").agg(F.sum("size").alias("company"))
+    pivots = crowded.join(company, "node").groupBy("bucket").agg(
+        F.max_by("node", F.struct("company", -F.col("node"))).alias("pivot")
+    )
+    pairs = crowded.join(pivots, "bucket").where("node <> pivot")
+    pairs = pairs.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    near = written(compared(pairs, sets, percent, with_rest=True))
+    first = written(components(links.unionByName(near.where(_linked(percent)).select("a", "b"))))
+
+    rest = written(compared(_left_over(near, first, percent), sets, percent)).where(_linked(percent)).select("a", "b")
+    for end in ("a", "b"):
+        named = first.select(F.col("node").alias(end), F.col("component").alias(f"c_{end}"))
+        rest = rest.join(named, end, "left").withColumn(f"c_{end}", F.coalesce(f"c_{end}", end))
+    second = components(rest.select(F.col("c_a").alias("a"), F.col("c_b").alias("b")))
+    second = written(second.select(F.col("node").alias("component"), F.col("component").alias("joined")))
+    old = first.join(second, "component", "left").select("node", F.coalesce("joined", "component").alias("component"))
+    alone = second.select(F.col("component").alias("node"), F.col("joined").alias("component"))
+    return old.unionByName(alone.join(first.select("node"), "node", "left_anti"))
+
+
+def _left_over(near: DataFrame, group: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of one pivot, in different components, whose differences from the pivot could agree enough.
+
+    With D_x the number of differences of x from the pivot and T the most that two linked sets of these sizes differ by,
+    linked x and y share at least (D_x + D_y - T) / 2 differences; sharing none would make both linked to the pivot. So the
+    prefixes that leave out all but that many less one share an element, at a place within both prefixes.
+    """
+    spread = (100 - percent) / (100 + percent)
+    members = near
+    for end in ("a", "b"):
+        named = group.select(F.col("node").alias(end), F.col("component").alias(f"c_{end}"))
+        members = members.join(named, end, "left").withColumn(f"c_{end}", F.coalesce(f"c_{end}", end))
+    members = written(members)
+    mixed = members.where("c_a <> c_b").select("b").distinct()
+    listed = members.join(mixed, "b").select(
+        "b", F.col("a").alias("x"), F.col("c_a").alias("c"), F.col("n_a").alias("n"),
+        (F.col("n_a") + F.col("n_b") - 2 * F.col("common")).alias("d"), F.posexplode("rest").alias("pos", "element"),
+    )
+    half = (100 - percent) / percent / 2
+    one = listed.select("b", "element", *[F.col(c).alias(f"{c}1") for c in ("x", "c", "n", "d", "pos")])
+    two = listed.where(F.col("pos") <= half * F.col("n") + 1).select(
+        "b", "element", *[F.col(c).alias(f"{c}2") for c in ("x", "c", "n", "d", "pos")]
+    )
+    needed = (F.col("d1") + F.col("d2") - spread * (F.col("n1") + F.col("n2"))) / 2 - 1e-6
+    ordered = (F.col("d1") > F.col("d2")) | ((F.col("d1") == F.col("d2")) & (F.col("x1") > F.col("x2")))
+    fits = (F.col("pos1") <= F.col("d1") - needed) & (F.col("pos2") <= F.col("d2") - needed) & (needed <= F.col("d2"))
+    sized = F.least("n1", "n2") * 100 >= percent * F.greatest("n1", "n2")
+    met = one.join(two, ["b", "element"]).where((F.col("c1") != F.col("c2")) & ordered & fits & sized)
+    return met.select(F.greatest("x1", "x2").alias("a"), F.least("x1", "x2").alias("b")).distinct()
+
+
+def _linked(percent: int) -> Column:
+    return 100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common"))
