@@ -1,25 +1,68 @@
-"""The corpus pipeline: documents go through the operators stage by stage, each stage's rows written as Parquet."""
+"""The corpus pipeline: documents go through five operators, each stage's rows written as Parquet and read by the next.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows it is given. All but the last return the columns of
+``documents``; the last returns token pieces with their places in training sequences.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.llm.common import written
+from tallyhouse.llm.mixing import mixed_documents
 from tallyhouse.llm.near_dedup import near_duplicates
-from tallyhouse.llm.queries import table
+from tallyhouse.llm.packing import packed_documents
+from tallyhouse.llm.queries import prepared, table
+from tallyhouse.llm.suffix_dedup import without_repeats
+from tallyhouse.llm.toxicity import fit_severity, graded
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the severity model holds toxic go; the model learns from the labels of the documents at hand."""
+    prepared(spark)
+    model = fit_severity(docs, table(spark, sf_dir, "labels"))
+    judged = graded(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text"), model)
+    return judged.where(~F.col("toxic")).select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the smallest doc_id."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    once = docs.join(kept.where("doc_id is not null"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(docs.where(F.col("doc_id").isNull())).select(docs.columns)
+    """Of each group of near duplicates the document with the smallest doc_id stays, once; rows without a doc_id all stay."""
+    prepared(spark)
+    kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    once = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(row).alias("row"))
+    return once.select("row.*").unionByName(docs.where("doc_id is null"))
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that repeat go from every text that has them; the documents stay."""
+    prepared(spark)
+    return without_repeats(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of the sources: documents come once for each pass over their source that takes words of them."""
+    prepared(spark)
+    return mixed_documents(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of the mix in training sequences."""
+    prepared(spark)
+    return packed_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [("near_dedup", near_dedup)]
+STAGES = [
+    ("toxicity", toxicity),
+    ("near_dedup", near_dedup),
+    ("suffix_dedup", suffix_dedup),
+    ("mixing", mixing),
+    ("best_fit_packing", packing),
+]
 
-# Hash permutations, trained models and tokens have no counterpart in SQL.
+# Trained models, hash permutations, connected components and token ids have no counterpart in SQL.
 ORACLE_SQL = None
 
 
