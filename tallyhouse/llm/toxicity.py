@@ -1,6 +1,6 @@
 """Toxicity severity by cumulative-link ordinal regression over sparse text features.
 
-Features are the distinct lower-cased words of a text and the first five letters of longer ones. From a bounded sample of
+Features are the distinct lower-cased words of a text and the first four and five letters of longer ones. From a bounded sample of
 labelled documents (``SAMPLE`` rows) Spark counts the features per label and the ones that tell the labels apart best are
 kept (``FEATURES`` of them at most). One weight per feature is shared by all ordered thresholds:
 ``P(grade <= j) = logistic(threshold_j - weights . features)``. The model is small and travels in the task; every document
@@ -25,13 +25,13 @@ FEATURES = 2048
 LEAST = 5  # labelled documents that a feature is in at least
 TELLING = 4.0  # standard errors between the shares of toxic and other documents that have the feature
 WORD = re.compile(r"[^\W_]+")
-PREFIX = 5
+PREFIXES = (4, 5)
 
 
 def features(text: str | None) -> set[str]:
     """Distinct words and, marked by a star, beginnings of long words; nothing for null and empty texts."""
     words = set(WORD.findall(text.lower())) if text else set()
-    return words | {w[:PREFIX] + "*" for w in words if len(w) > PREFIX}
+    return words | {w[:n] + "*" for n in PREFIXES for w in words if len(w) > n}
 
 
 @dataclass
@@ -49,7 +49,7 @@ class Severity:
 
 def fit_ordinal(
     rows: np.ndarray, columns: np.ndarray, n_columns: int, grades: np.ndarray, n_grades: int,
-    penalty: float = 1e-4, turns: int = 500,
+    penalty: float = 0.2, turns: int = 1500,
 ) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds of the proportional-odds model; ``rows`` and ``columns`` are the places of ones.
 
@@ -73,14 +73,14 @@ def fit_ordinal(
         lower = np.where(grades == 0, 0.0, logistic(limits[grades] - score))
         chance = np.maximum(upper - lower, 1e-12)
         by_upper, by_lower = upper * (1 - upper) / chance, lower * (1 - lower) / chance
-        slope = np.bincount(columns, (by_upper - by_lower)[rows], n_columns) / n + penalty * weights
+        slope = np.bincount(columns, (by_upper - by_lower)[rows], n_columns) / n + penalty / n * weights
         on_limit = np.array(
             [by_lower[grades == j + 1].sum() - by_upper[grades == j].sum() for j in range(n_grades - 1)]
         ) / n
         on_steps = np.array([on_limit[j + 1 :].sum() for j in range(n_grades - 2)]) * tail
         gradient = np.concatenate([slope, [on_limit.sum()], on_steps])
         first, second = 0.9 * first + 0.1 * gradient, 0.999 * second + 0.001 * gradient**2
-        at -= 0.05 * (first / (1 - 0.9**turn)) / (np.sqrt(second / (1 - 0.999**turn)) + 1e-8)
+        at -= 0.05 * min(1.0, 2 - 2 * turn / turns) * (first / (1 - 0.9**turn)) / (np.sqrt(second / (1 - 0.999**turn)) + 1e-8)
     return at[:n_columns], at[n_columns] + np.concatenate([[0.0], np.cumsum(np.exp(at[n_columns + 1 :]))])
 
 
