@@ -21,7 +21,7 @@ import numpy as np
 from tallyhouse.llm.common import powers
 
 RUN = 1 << 16  # entries taken from the queue at a time at most
-FEW = 1 << 18  # a sequence of names of at most this length is ordered by doubling: the end of the recursion
+FEW = 1 << 19  # a sequence of names of at most this length is ordered by doubling: the end of the recursion
 IN_MEMORY = 1 << 20  # slots below which no file is made
 
 
