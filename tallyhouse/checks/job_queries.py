@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyhouse.checks.report_queries import flat
 from tallyhouse.checks.standins import StandIns, with_standins
@@ -30,7 +31,7 @@ def register_job(prefix: str, job: Callable[..., JobResult], batch: str, checked
             result = job(t, t[batch])
             frames = {
                 "rejects": result.rejected, "messages": result.messages, "discarded": result.discarded,
-                "accepted": result.accepted.select("req_id"),
+                "accepted": result.accepted.select("req_id"), "uploads": stored(result.uploads),
             }
             return flat(frames[what] if what in frames else result.table(t, what))
 
@@ -39,6 +40,11 @@ def register_job(prefix: str, job: Callable[..., JobResult], batch: str, checked
         ORACLES[name] = with_standins(f"with {checked} {sql}")
 
 
+def stored(uploads: DataFrame | None) -> DataFrame | None:
+    """Uploads with a digest in place of their bytes."""
+    return uploads and uploads.select("image_id", "size", F.sha2("content", 256).alias("digest"))
+
+
 def phone_ok(x: str) -> str:
     return f"coalesce(regexp_matches({x}, '{PHONE_PATTERN}'), false)"
 
@@ -83,6 +89,16 @@ def uploaded_list(x: str, job: str) -> str:
     return f"list_filter(list_transform({x}, lambda p, i: {inner}), lambda z: z is not null)"
 
 
+def upload_rows(x: str, job: str, where: str = "reason is null", many: bool = False) -> str:
+    """What the accepted requests store of one payload column."""
+    source = f"(select *, {x} as p from r where {where})"
+    if many:
+        source = f"(select *, unnest({x}) as p, generate_subscripts({x}, 1) - 1 as i from r where {where})"
+    content = f"from_base64({_WHOLE.format(_TAIL.format('p'))})"
+    return f"""select {short_id(job, 'req_id', *(['i'] if many else []))} as image_id,
+        cast(octet_length({content}) as bigint) as size, sha256({content}) as digest from {source} z where {payload_ok('p')}"""
+
+
 def latest(keys: str, where: str = "reason is null", source: str = "r") -> str:
     return (
         f"select * from {source} where {where} "
@@ -121,8 +137,8 @@ register_job(
     "j02", review_jobs.grant_coins, "req_coin_grant", _J02,
     ledger=(
         "coin_records",
-        """select id, user_id, val, from_type, time from fx_coin_records union all
-            select req_id, phone, dsd_val, 'system', req_time from r where reason is null""",
+        f"""select id, user_id, val, from_type, time from fx_coin_records union all
+            select {number_id('grant_coins', 'req_id')}, phone, dsd_val, 'system', req_time from r where reason is null""",
     ),
     users=(
         "user_info",
@@ -187,11 +203,22 @@ for _prefix, _batch in (("j04", "req_application_decision"), ("j04_approvals", "
         _prefix, review_jobs.decide_applications, _batch, _J04.replace("req_application_decision", _batch), **_J04_OUTPUTS
     )
 
+# J02: after the grants every ledger row has an id of its own.
+def _ledger_ids(spark: SparkSession, folder: str) -> DataFrame:
+    t = StandIns(spark, folder)
+    ledger = review_jobs.grant_coins(t, t["req_coin_grant"]).table(t, "coin_records")
+    return ledger.groupBy("id").agg(F.count(F.lit(1)).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("ids"))
+
+
+QUERIES["j02_ledger_ids"] = _ledger_ids
+ORACLES["j02_ledger_ids"] = ORACLES["j02_ledger"].replace("select id, user_id", "select cast(1 as bigint) as n, cast(count(*) as bigint) as ids from (select id, user_id", 1) + ") z"
+
 # J05
 _J05 = f"""r as (select *, case when icon is null or icon = '' then 'missing icon' when not {payload_ok('icon')} then 'bad icon'
     when images is null or descs is null or dsd_val is null then 'missing parameter' end as reason from fx_req_app_new)"""
 register_job(
     "j05", content_jobs.add_apps, "req_app_new", _J05,
+    uploads=f"{upload_rows('icon', 'add_apps.icon')} union all {upload_rows('images', 'add_apps.image', many=True)}",
     apps=(
         "tp_apps",
         f"""select id, name, slogan, dsd_val, url, icon, {lst('descs')} as descs, {lst('images')} as images, state, time from fx_tp_apps
@@ -211,6 +238,7 @@ _J06 = f"""r as (select *, case when id is null or id = '' then 'missing id' whe
         qualify row_number() over (partition by id order by req_time desc, req_id desc) = 1)"""
 register_job(
     "j06", content_jobs.modify_apps, "req_app_modify", _J06,
+    uploads=f"{upload_rows('icon', 'modify_apps.icon')} union all {upload_rows('images', 'modify_apps.image', many=True)}",
     apps=(
         "tp_apps",
         f"""select a.id, case when l.id is null then a.name else l.name end as name,
@@ -255,6 +283,7 @@ _J08 = """r as (select *, case when keywords is null or images is null then 'mis
     from fx_req_learn_task_new)"""
 register_job(
     "j08", content_jobs.add_learn_tasks, "req_learn_task_new", _J08,
+    uploads=upload_rows("images", "add_learn_tasks.image", many=True),
     tasks=(
         "xd_learn_task",
         f"""select id, title, descr, {lst('keyword_ids')} as keyword_ids, {lst('images')} as images, state, time from fx_xd_learn_task
@@ -270,6 +299,7 @@ _J10 = """r as (select q.*, p.level as parent_level,
     from fx_req_keyword_new q left join fx_xd_image_keyword p on q.type = p.id)"""
 register_job(
     "j10", content_jobs.add_tag_keywords, "req_keyword_new", _J10,
+    uploads=upload_rows("image", "add_tag_keywords.image"),
     keywords=(
         "xd_image_keyword",
         f"""select id, keyword, image, level, parent, time from fx_xd_image_keyword union all
@@ -356,6 +386,10 @@ register_job(
 )
 del QUERIES["j15_rejects"], ORACLES["j15_rejects"]
 
+def new_file(x: str) -> str:
+    return f"case when coalesce({x}, '') = '' then '' else {uploaded_id(x, f'add_companies.{x}', 'req_id')} end"
+
+
 # J16: one request after the other, keeping the administrators and titles already taken.
 _J16 = f"""recursive q as (select a.*, case when coalesce(company_name, '') = '' or coalesce(contact, '') = '' or coalesce(administrators, '') = ''
             then 'missing parameter' when not {phone_ok('administrators')} then 'bad phone'
@@ -379,6 +413,7 @@ _J16 = f"""recursive q as (select a.*, case when coalesce(company_name, '') = ''
         from q left join run on q.req_id = run.req_id)"""
 register_job(
     "j16", company_jobs.add_companies, "req_company_new", _J16,
+    uploads=" union all ".join(upload_rows(x, f"add_companies.{x}") for x in ("auth_file", "business_licence")),
     companies=(
         "factorys",
         f"""select id, name, title, {lst('administrators')} as administrators, time from fx_factorys union all
@@ -391,9 +426,9 @@ register_job(
     ),
     applications=(
         "bg_examine",
-        """select id, name, industry, region, contact, image1, image2, state, state_msg, time from fx_bg_examine union all
+        f"""select id, name, industry, region, contact, image1, image2, state, state_msg, time from fx_bg_examine union all
             select administrators, company_name, coalesce(company_category, ''), coalesce(company_area, ''), administrators,
-            '', '', null, null, req_time from r where reason is null""",
+            {new_file('auth_file')}, {new_file('business_licence')}, null, null, req_time from r where reason is null""",
     ),
 )
 
@@ -445,6 +480,9 @@ _J18 = f"""recursive q as (select a.*, case when coalesce(factory_id, '') = '' t
     fc as ({latest('factory_id')}), pr as ({latest('factory_id, administrators')}), fm as ({latest('administrators')})"""
 register_job(
     "j18", company_changes.modify_companies, "req_company_modify", _J18,
+    uploads=" union all ".join(
+        upload_rows(x, f"modify_companies.{x}", f"reason is null and length({x}) <> 18") for x in ("auth_file", "business_licence")
+    ),
     companies=(
         "factorys",
         f"""select f.id, case when c.req_id is null then f.name else c.contact end as name,
@@ -531,6 +569,7 @@ register_job(
 _J22 = f"r as (select *, case when not {payload_ok('image')} then 'bad image' end as reason from fx_req_banner_new)"
 register_job(
     "j22", content_jobs.add_banners, "req_banner_new", _J22,
+    uploads=upload_rows("image", "add_banners.image"),
     banners=(
         "bg_banner",
         f"""select id, image, state, time from fx_bg_banner union all
@@ -549,6 +588,7 @@ _J23 = f"""q as (select *, state is null and image is not null and not contains(
     im as ({latest('id', 'reason is null and pic')})"""
 register_job(
     "j23", content_jobs.modify_banners, "req_banner_modify", _J23,
+    uploads=upload_rows("image", "modify_banners.image", "reason is null and pic"),
     banners=(
         "bg_banner",
         """select b.* replace (coalesce(st.state, b.state) as state, coalesce(im.new_image, b.image) as image)

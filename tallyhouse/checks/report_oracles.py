@@ -116,7 +116,7 @@ def company_applications(user: str = "true", base: str = "true") -> Body:
             e.state, e.state_msg, e.time, u.name as username, {url('u.image')} as user_image""",
         f"""(select * from fx_bg_examine where id in (select phone from fx_user_info where name is not null and {user})
             and name is not null and time >= 0 and {base}) e left join fx_user_info u on e.id = u.phone""",
-        "e.time desc nulls first, e.id, e.name",
+        "e.time desc nulls first, e.id, " + ", ".join(f"e.{x} nulls first" for x in ("name", "industry", "region", "contact", "image1", "image2", "state", "state_msg")),
     )
 
 
@@ -253,7 +253,7 @@ def companies(where: str = "true") -> Body:
         f"""(select * from fx_factorys where {where}) f left join fx_bg_examine e on {text('f.administrators')} = e.id
             left join (select factory, count(phone) as plain from fx_factory_users where rights <> ['1'] group by factory) n
             on n.factory = f.id""",
-        "f.time desc nulls first, f.id, e.image1 nulls first",
+        "f.time desc nulls first, f.id, e.image1 nulls first, e.image2 nulls first, e.industry nulls first, e.region nulls first",
     )
 
 
@@ -264,7 +264,7 @@ def _company_admins(factory: str, base: str) -> str:
     return f"""select cast(row_number() over (order by m.time desc nulls first, m.phone, {text('m.rights')}) as bigint) as rn,
         coalesce(m.phone, '') as phone,
         array_to_string(list_filter(list_transform(m.rights, lambda r: {_RIGHTS}), lambda x: x is not null), ',') as permission,
-        coalesce(f.id, '') as factory_id, coalesce(f.title, '') as company,
+        coalesce(m.factory, '') as factory_id, coalesce(f.title, '') as company,
         case when list_contains(f.administrators, m.phone) then '超级管理员' else '普通管理员' end as role,
         coalesce(u.name, '') as username, {url('u.image')} as avatar, u.name as raw_name
         from (select * from fx_factory_users where factory = '{factory}' and rights <> ['1'] and {base}) m

@@ -287,6 +287,8 @@ register_filtered(
 )
 # R19
 register("r19_page", lambda t: companies.company_admins(t, "F7").page(1, 5), o.company_admins_page("F7", 1, 5))
+# Members of a company that has no row of its own.
+register("r19_no_company_page", lambda t: companies.company_admins(t, "F105").page(1, 5), o.company_admins_page("F105", 1, 5))
 register("r19_total", lambda t: companies.company_admins(t, "F7").total(), o.company_admins_total("F7"))
 register(
     "r19_named_page", lambda t: companies.company_admins(t, "F7", username="12", phone="138").page(1, 3),

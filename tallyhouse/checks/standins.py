@@ -14,6 +14,13 @@ from collections.abc import Iterator, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
+_UPLOAD = "concat('data:image/png;base64,', B64({0}))"
+
+
+def _upload(column: str) -> str:
+    return _UPLOAD.format(column)
+
+
 STATE: dict[str, str] = {
     "user_info": """
         select concat('138', lpad(cast(c_custkey as string), 8, '0')) as phone, case when c_custkey % 17 = 0 then null
@@ -227,11 +234,13 @@ REQUESTS: dict[str, str] = {
         select event_id as req_id, event_id as id, case event_id % 3 when 0 then '0' when 1 then '1' else 'x' end as
         res, 'r' as err_reason, EPOCH(ts) as req_time from events where event_type = 'click'
     """,
-    "req_company_new": """
+    "req_company_new": f"""
         select c_custkey as req_id, concat('Company ', cast(c_custkey % 700 as string)) as company_name, c_name as
         contact, concat('138', lpad(cast(c_custkey % 1100 as string), 8, '0')) as administrators, concat('R',
         cast(c_nationkey as string)) as company_area, c_mktsegment as company_category, cast(1550073600 + (c_custkey *
-        1368787) % 6000000 as bigint) as req_time from customer where c_custkey % 2 = 1
+        1368787) % 6000000 as bigint) as req_time,
+        case c_custkey % 3 when 0 then '' when 1 then 'no,!!' else {_upload('c_name')} end as auth_file,
+        case when c_custkey % 4 = 1 then null else {_upload('c_mktsegment')} end as business_licence from customer where c_custkey % 2 = 1
     """,
     "req_company_delete": """
         select s_suppkey as req_id, concat('F', cast(s_suppkey * 2 as string)) as id from supplier where s_suppkey % 3
@@ -245,14 +254,9 @@ REQUESTS: dict[str, str] = {
     """,
 }
 
-_UPLOAD = "concat('data:image/png;base64,', B64({0}))"
 _PHONE = "concat('138', lpad(cast({0} as string), 8, '0'))"
 
 
-def _upload(column: str) -> str:
-    return _UPLOAD.format(column)
-
-
 def _phone(number: str) -> str:
     return _PHONE.format(number)
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Mapping
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.constants import EXPENSE, IMAGE_BASE, INCOME
@@ -89,6 +92,27 @@ def uploaded_ids(payloads: Column, job: str, *parts: Column) -> Column:
     return F.filter(ids, lambda x: x.isNotNull())
 
 
+def uploads(rows: DataFrame, one: Mapping[str, str] | None = None, many: Mapping[str, str] | None = None) -> DataFrame:
+    """(image_id, content, size) of what the payloads in ``rows`` store, under the ids the rows get from them.
+
+    ``one`` names payload columns and ``many`` list columns, each with the job part of its ids; requests are told apart by
+    ``req_id`` as there. Payloads that do not decode store nothing.
+    """
+    found = [
+        rows.select(short_id(job, F.col("req_id")).alias("image_id"), payload_bytes(F.col(name)).alias("content"))
+        for name, job in (one or {}).items()
+    ]
+    for name, job in (many or {}).items():
+        items = rows.select("req_id", F.posexplode(name).alias("_at", "_payload"))
+        found.append(
+            items.select(
+                short_id(job, F.col("req_id"), F.col("_at")).alias("image_id"), payload_bytes(F.col("_payload")).alias("content")
+            )
+        )
+    stored = reduce(DataFrame.unionByName, found).where(F.col("content").isNotNull())
+    return stored.withColumn("size", F.octet_length("content").cast("bigint"))
+
+
 def message(resource: str, kind: str, **params: Column) -> Column:
     """One change message as JSON text."""
     body = F.struct(*[value.alias(name) for name, value in params.items()])

@@ -34,7 +34,10 @@ def company_applications(
     return ListReport(
         base=asked.join(applicants, c("id") == c("applicant_phone"), "left_semi"),
         lookups=[user(t, "id")],
-        order=newest_first("time", "id", "name"),
+        # Applications of one user that tie in all shown columns are the same row.
+        order=newest_first(
+            "time", "id", "name", "industry", "region", "contact", "image1", "image2", "state", "state_msg"
+        ),
         output=[
             c("id"), c("name"), c("industry"), c("region"), c("contact"),
             image_url(c("image1"), image_base).alias("image1"),
@@ -87,7 +90,8 @@ def companies(
             ),
         ],
         base_order=newest_first("time", "id"),
-        order=newest_first("time", "id", "app_image1"),
+        # Applications that tie in all of these show the same row.
+        order=newest_first("time", "id", "app_image1", "app_image2", "app_industry", "app_region"),
         output=[
             c("id").alias("factory_id"),
             blank(c("name")).alias("contact"),
@@ -131,7 +135,7 @@ class CompanyAdmins:
             output=[
                 blank(c("phone")).alias("phone"),
                 right_labels(c("rights")).alias("permission"),
-                blank(c("company_id")).alias("factory_id"),
+                blank(c("factory")).alias("factory_id"),
                 blank(c("company_title")).alias("company"),
                 F.when(
                     F.coalesce(F.array_contains(c("company_administrators"), c("phone")), F.lit(False)), SUPER_ADMIN

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.predicates import given, is_phone
-from tallyhouse.functions.values import blank, message, uploaded_id
+from tallyhouse.functions.values import blank, message, uploaded_id, uploads
 from tallyhouse.operators.changes import (
     accepted,
     append,
@@ -226,6 +226,13 @@ def modify_companies(t: Tables, requests: DataFrame) -> JobResult:
 
     return JobResult(
         "modify_companies", requests, ok, rejected(checked),
+        uploads=uploads(
+            ok.select(
+                "req_id",
+                *[F.when(F.length(x) != 18, c(x)).alias(x) for x in ("auth_file", "business_licence")],
+            ),
+            one={x: f"modify_companies.{x}" for x in ("auth_file", "business_licence")},
+        ),
         replaced={
             "factorys": update(
                 t["factorys"], company.withColumnRenamed("factory_id", "id"), ["id"],

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.functions.arrays import distinct_list
 from tallyhouse.functions.predicates import given, given_list, is_phone
-from tallyhouse.functions.values import blank, short_id, uploaded_id
+from tallyhouse.functions.values import blank, short_id, uploaded_id, uploads
 from tallyhouse.operators.changes import (
     accepted,
     append,
@@ -197,6 +197,7 @@ def add_companies(t: Tables, requests: DataFrame) -> JobResult:
                 c("req_time").alias("time"),
             ),
         },
+        uploads=uploads(made, one={x: f"add_companies.{x}" for x in ("auth_file", "business_licence")}),
     )
 
 

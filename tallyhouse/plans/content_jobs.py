@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.functions.arrays import distinct_list
 from tallyhouse.functions.predicates import given, one_of
-from tallyhouse.functions.values import blank, number_id, payload_bytes, short_id, uploaded_id, uploaded_ids
+from tallyhouse.functions.values import blank, number_id, payload_bytes, short_id, uploaded_id, uploaded_ids, uploads
 from tallyhouse.operators.changes import (
     accepted,
     count_matches,
@@ -42,7 +42,10 @@ def add_apps(t: Tables, requests: DataFrame) -> JobResult:
         uploaded_ids(c("images"), "add_apps.image", c("req_id")).alias("images"), F.lit("0").alias("state"),
         c("req_time").alias("time"),
     )
-    return JobResult("add_apps", requests, ok.select(*requests.columns), rejected(checked), appended={"tp_apps": rows})
+    return JobResult(
+        "add_apps", requests, ok.select(*requests.columns), rejected(checked), appended={"tp_apps": rows},
+        uploads=uploads(ok, one={"icon": "add_apps.icon"}, many={"images": "add_apps.image"}),
+    )
 
 
 def modify_apps(t: Tables, requests: DataFrame) -> JobResult:
@@ -75,6 +78,7 @@ def modify_apps(t: Tables, requests: DataFrame) -> JobResult:
     return JobResult(
         "modify_apps", requests, ok, rejected(checked),
         replaced={"tp_apps": update(t["tp_apps"], last, ["id"], values)},
+        uploads=uploads(ok, one={"icon": "modify_apps.icon"}, many={"images": "modify_apps.image"}),
     )
 
 
@@ -119,7 +123,10 @@ def add_learn_tasks(t: Tables, requests: DataFrame) -> JobResult:
         uploaded_ids(c("images"), "add_learn_tasks.image", c("req_id")).alias("images"),
         c("req_time").alias("time"),
     )
-    return JobResult("add_learn_tasks", requests, ok, rejected(checked), appended={"xd_learn_task": rows})
+    return JobResult(
+        "add_learn_tasks", requests, ok, rejected(checked), appended={"xd_learn_task": rows},
+        uploads=uploads(ok, many={"images": "add_learn_tasks.image"}),
+    )
 
 
 def add_tag_keywords(t: Tables, requests: DataFrame) -> JobResult:
@@ -145,6 +152,7 @@ def add_tag_keywords(t: Tables, requests: DataFrame) -> JobResult:
     return JobResult(
         "add_tag_keywords", requests, ok.select(*requests.columns), rejected(checked),
         appended={"xd_image_keyword": rows},
+        uploads=uploads(ok, one={"image": "add_tag_keywords.image"}),
     )
 
 
@@ -162,7 +170,10 @@ def add_banners(t: Tables, requests: DataFrame) -> JobResult:
         short_id("add_banners", c("req_id")).alias("id"), c("image_id").alias("image"), F.lit("1").alias("state"),
         c("req_time").alias("time"),
     )
-    return JobResult("add_banners", requests, ok.select(*requests.columns), rejected(checked), appended={"bg_banner": rows})
+    return JobResult(
+        "add_banners", requests, ok.select(*requests.columns), rejected(checked), appended={"bg_banner": rows},
+        uploads=uploads(ok, one={"image": "add_banners.image"}),
+    )
 
 
 def modify_banners(t: Tables, requests: DataFrame) -> JobResult:
@@ -203,6 +214,7 @@ def modify_banners(t: Tables, requests: DataFrame) -> JobResult:
             )
         },
         discarded=stored.unionByName(passed_over),
+        uploads=uploads(ok.where(c("image_id").isNotNull()), one={"image": "modify_banners.image"}),
     )
 
 
@@ -225,13 +237,16 @@ def delete_banners(t: Tables, requests: DataFrame) -> JobResult:
     )
 
 
-def decode_image_payloads(requests: DataFrame, owner: str, payload: str) -> DataFrame:
-    """(owner, image_id, content, size) of uploads; all three are NULL for what does not decode."""
+def decode_image_payloads(requests: DataFrame, owner: str, payload: str, job: str = "image") -> DataFrame:
+    """(owner, image_id, content, size) of uploads; all three are NULL for what does not decode.
+
+    With the ``job`` part of a change job's ids the ids are that job's.
+    """
     content = payload_bytes(F.col(payload))
     decoded = requests.select(F.col(owner).alias("owner"), content.alias("content"))
     return decoded.select(
         "owner",
-        F.when(F.col("content").isNotNull(), short_id("image", F.col("owner"))).alias("image_id"),
+        F.when(F.col("content").isNotNull(), short_id(job, F.col("owner"))).alias("image_id"),
         "content", F.octet_length("content").cast("bigint").alias("size"),
     )
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.operators.changes import append, cut_to, order_of
 from tallyhouse.plans.lookups import Tables
-from tallyhouse.sources.store import CHANGE_MESSAGES, REQUEST_LOG, Snapshot, TableStore
+from tallyhouse.sources.store import CHANGE_MESSAGES, REQUEST_LOG, UPLOADS, Snapshot, TableStore
 
 def request_order() -> Column:
     """Requests of a batch count in this order."""
@@ -36,6 +36,8 @@ class JobResult:
     messages: DataFrame | None = None
     # Image ids no table refers to any more.
     discarded: DataFrame | None = None
+    # (image_id, content, size): what the accepted requests upload, under the ids the tables hold.
+    uploads: DataFrame | None = None
 
     def table(self, t: Tables, name: str) -> DataFrame:
         """A table as it is after the job."""
@@ -58,6 +60,8 @@ def commit(store: TableStore, base: Snapshot, result: JobResult, source: str = "
     appended[REQUEST_LOG] = log_rows(result)
     if result.messages is not None:
         appended[CHANGE_MESSAGES] = result.messages
+    if result.uploads is not None:
+        appended[UPLOADS] = result.uploads
     return store.commit(base, replaced, appended, source, batch)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.constants import REVIEW_FAILED, REVIEW_PASSED
 from tallyhouse.functions.predicates import given, is_phone, one_of
-from tallyhouse.functions.values import blank, message, short_id
+from tallyhouse.functions.values import blank, message, number_id, short_id
 from tallyhouse.operators.changes import (
     accepted,
     count_matches,
@@ -65,7 +65,7 @@ def grant_coins(t: Tables, requests: DataFrame) -> JobResult:
     # Summed per task before the shuffle: an account with any share of the grants is one row per task.
     sums = ok.groupBy("phone").agg(F.sum("dsd_val").alias("granted"))
     ledger = ok.select(
-        c("req_id").cast("bigint").alias("id"), c("phone").alias("user_id"), c("dsd_val").alias("val"),
+        number_id("grant_coins", c("req_id")).alias("id"), c("phone").alias("user_id"), c("dsd_val").alias("val"),
         F.lit("system").alias("from_type"), c("req_time").alias("time"),
     )
     return JobResult(

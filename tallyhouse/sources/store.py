@@ -39,7 +39,17 @@ LOG_SCHEMA = T.StructType(
 CHANGE_MESSAGES = "change_messages"
 MESSAGE_SCHEMA = T.StructType([T.StructField("req_id", T.StringType()), T.StructField("value", T.StringType())])
 
-SCHEMAS = {**TABLES, REQUEST_LOG: LOG_SCHEMA, CHANGE_MESSAGES: MESSAGE_SCHEMA}
+# Bytes of uploaded images under the ids that the tables hold.
+UPLOADS = "uploads"
+UPLOAD_SCHEMA = T.StructType(
+    [
+        T.StructField("image_id", T.StringType()),
+        T.StructField("content", T.BinaryType()),
+        T.StructField("size", T.LongType()),
+    ]
+)
+
+SCHEMAS = {**TABLES, REQUEST_LOG: LOG_SCHEMA, CHANGE_MESSAGES: MESSAGE_SCHEMA, UPLOADS: UPLOAD_SCHEMA}
 
 
 class Snapshot(Mapping[str, DataFrame]):
