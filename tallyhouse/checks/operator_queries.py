@@ -10,14 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.checks import report_oracles as o
-from tallyhouse.checks.job_queries import phone_ok, short_id
+from tallyhouse.checks.job_queries import _J01, _J03, _J04, _J18, phone_ok, short_id
 from tallyhouse.checks.report_queries import flat
 from tallyhouse.checks.standins import StandIns, with_standins
 from tallyhouse.functions import arrays, days, predicates, values
 from tallyhouse.operators import changes
 from tallyhouse.operators.paging import newest_first, number_rows, row_total
 from tallyhouse.operators.scratch import checkpoint_dir
-from tallyhouse.plans import operations, people, review_jobs
+from tallyhouse.plans import company_changes, operations, people, review_jobs
 from tallyhouse.plans.lookups import Tables
 from tallyhouse.sources import sinks
 from tallyhouse.sources.store import TableStore
@@ -322,3 +322,75 @@ register(
 register(
     "m2_rejects", lambda t: messages.rejects(_sent(t)), "select content as value from fx_user_feedback",
 )
+
+
+def _kind(job: Callable, batch: str, kind: str) -> Callable[[Tables], DataFrame]:
+    """The messages of one job among texts that are none, read back."""
+    def read(t: Tables) -> DataFrame:
+        noise = t["user_feedback"].select(c("content").alias("value"))
+        return messages.params_of(messages.parsed(job(t, t[batch]).messages.select("value").unionByName(noise)), kind)
+
+    return read
+
+
+register(
+    "m2_auth", _kind(review_jobs.review_identity, "req_identity_review", "BgAuth"),
+    f"with {_J01} select 'POST' as type, phone as id, state, note as msg from r where reason is null",
+)
+register(
+    "m2_feedback", _kind(review_jobs.reply_feedback, "req_feedback_reply", "BgFeedbackResp"),
+    f"""with {_J03} select 'POST' as type, cast(id as varchar) as id,
+        replace(replace(replace(msg, '''', ''''''), '\\''', ''''), '\\"', '"') as msg from r where reason is null""",
+)
+register(
+    "m2_examine", _kind(review_jobs.decide_applications, "req_application_decision", "BgExamine"),
+    f"with {_J04} select 'POST' as type, id, cast(state as integer) as state, coalesce(state_msg, '') as state_msg from a",
+)
+register(
+    "m2_company", _kind(company_changes.modify_companies, "req_company_modify", "BgFacsModify"),
+    f"""with {_J18} select 'POST' as type, factory_id as id, contact as name, company_name as title, administrators
+        from r where reason is null""",
+)
+
+# Nested lists of reports, in chunks.
+register(
+    "r09_documents",
+    lambda t: _shown(
+        sinks.documents(
+            operations.order_lines(t, operations.order_sales(t).rows()), ["order_id"], operations.LINE_FIELDS,
+            operations.LINE_FIELDS, chunk=3,
+        ),
+        "order_id", *operations.LINE_FIELDS,
+    ),
+    """select order_id, (n - 1) // 3 as chunk, string_agg(concat_ws(':', coalesce(product_name, '*'),
+            coalesce(cast(product_count as varchar), '*'), coalesce(product_unit, '*')), ',' order by n) as items
+        from (select *, row_number() over (partition by order_id
+                order by product_name nulls first, product_count nulls first, product_unit nulls first) as n
+            from (select l.order_id, p.name as product_name, l.product_count, p.unit as product_unit
+                from fx_order_products l left join fx_products p on l.product_id = p.id
+                where l.order_id in (select id from fx_orders)) x) y
+        group by order_id, chunk""",
+)
+register(
+    "r13_documents",
+    lambda t: _shown(
+        sinks.documents(
+            operations.stock_items(t, operations.stock_ledger(t).rows()), ["id", "category", "inout"], ["name", "number"],
+            ["pos", "name", "number"], chunk=2,
+        ),
+        "id", "category", "inout", "name", "number",
+    ),
+    f"""select id, category, "inout", (n - 1) // 2 as chunk, string_agg(concat_ws(':', coalesce(name, '*'),
+            coalesce(cast(number as varchar), '*')), ',' order by n) as items
+        from (select *, row_number() over (partition by id, category, "inout" order by pos, name, number) as n
+            from ({o.stock_items()}) x) y
+        group by id, category, "inout", chunk""",
+)
+
+
+def _shown(documents: DataFrame, *names: str) -> DataFrame:
+    """Documents with their items as text; the last names are the fields of an item."""
+    keys = [n for n in names if n in documents.columns]
+    fields = [n for n in names if n not in keys]
+    text = F.transform("items", lambda i: F.concat_ws(":", *[F.coalesce(i[f].cast("string"), F.lit("*")) for f in fields]))
+    return documents.select(*keys, "chunk", F.array_join(text, ",").alias("items"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from decimal import Decimal
 from functools import reduce
 from operator import and_
 from typing import Any
@@ -38,11 +39,16 @@ def equals(column: Column, value: Any) -> Column | None:
 
 def closed_range(column: Column, low: Any = None, high: Any = None) -> Column | None:
     return all_of(
-        None if low is None or low == "" else column >= F.lit(low),
-        None if high is None or high == "" else column <= F.lit(high),
+        None if low is None or low == "" else column >= F.lit(exact(low)),
+        None if high is None or high == "" else column <= F.lit(exact(high)),
     )
 
 
+def exact(limit: Any) -> Any:
+    """A float limit as the decimal it is written as, so that it meets money columns without making doubles of them."""
+    return Decimal(str(limit)) if isinstance(limit, float) else limit
+
+
 def all_of(*conditions: Column | None) -> Column | None:
     present = [c for c in conditions if c is not None]
     return reduce(and_, present) if present else None

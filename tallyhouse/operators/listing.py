@@ -29,7 +29,7 @@ from tallyhouse.operators.paging import (
     page_bounds,
 )
 from tallyhouse.operators.scratch import pinned
-from tallyhouse.operators.spread import SPREAD_BYTES, estimated_bytes, spread_join
+from tallyhouse.operators.spread import spread_join
 
 Names = str | tuple[str, ...]
 
@@ -72,10 +72,10 @@ class Lookup:
     def attach_all(self, left: DataFrame) -> DataFrame:
         """Attach to a left side of any size.
 
-        AQE splits a hot key of the left side. It cannot split the right side of a left join, so a large table that may
-        hold many rows of one key is spread by ``spread_join``.
+        AQE splits a hot key of the left side. It cannot split the right side of a left join, so a table that may hold many
+        rows of one key is spread by ``spread_join``.
         """
-        if self.unique or estimated_bytes(self.right) < SPREAD_BYTES:
+        if self.unique:
             return self.attach(left)
         return spread_join(left, self.right, self.needs, self.keys, self.distinct)
 
@@ -198,7 +198,10 @@ class ListReport:
         for i, lookup in enumerate(kept):
             later = tested.union(*[x.needs for x in kept[i + 1:]])
             carried = [c for c in lookup.right.columns if c in later and c not in lookup.keys]
-            right = lookup.right.groupBy(*lookup.keys, *carried).agg(F.count(F.lit(1)).alias("_m"))
+            if lookup.unique:
+                right = lookup.right.select(*lookup.keys, *carried, F.lit(1).cast("bigint").alias("_m"))
+            else:
+                right = lookup.right.groupBy(*lookup.keys, *carried).agg(F.count(F.lit(1)).alias("_m"))
             joined = lookup.attach(weighted, right)
             weighted = joined.withColumn("_n", F.col("_n") * F.coalesce("_m", F.lit(1))).drop("_m")
             if i + 1 < len(kept):

@@ -4,27 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Right sides estimated below this are joined as they are.
-SPREAD_BYTES = 1 << 30
 # Rows of one key that one task may join; keys with more are split into that many parts.
 HOT_ROWS = 1_000_000
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Spark's own size estimate from the plan; runs nothing."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def spread_join(
     left: DataFrame, right: DataFrame, left_on: Sequence[str], right_on: Sequence[str], distinct: bool = False
 ) -> DataFrame:
     """``left`` left join ``right``, hot keys of ``right`` split over tasks.
 
-    Each row of a hot key gets one of the key's parts, each left row of that key meets every part, so every pair is
-    formed once; all other keys join as usual. When no key is hot, AQE finds the list empty and drops that branch.
+    Each row of a hot key gets one of the key's parts, each left row of that key meets every part, so every pair is formed
+    once; rows of all other keys have part 0. Both sides are read once for the join; hot keys are counted on the key columns
+    alone. A left row of a hot key has a match in some part, so its copies without one are dropped.
     """
     names = [f"_hot{i}" for i in range(len(right_on))]
     # One row per HOT_ROWS rows of the table at most: the broadcast is a millionth of it.
@@ -35,18 +29,15 @@ def spread_join(
     )
     in_left = [left[a] == hot[n] for a, n in zip(left_on, names, strict=True)]
     in_right = [right[b] == hot[n] for b, n in zip(right_on, names, strict=True)]
-
-    def match(a: DataFrame, b: DataFrame) -> list[Column]:
-        return [a[x] == b[y] for x, y in zip(left_on, right_on, strict=True)]
-
-    cool_left, cool_right = left.join(hot, in_left, "left_anti"), right.join(hot, in_right, "left_anti")
-    cool = cool_left.join(cool_right, match(cool_left, cool_right), "left")
-
     # Equal rows of a scan are told apart by their place in it, which a retried task finds unchanged.
     placed = right.withColumn("_place", F.lit(0) if distinct else F.monotonically_increasing_id())
-    right_part = F.pmod(F.xxhash64("_place", *right.columns), F.col("_parts"))
-    parts_right = placed.join(hot, in_right).select(*right.columns, right_part.alias("_right_part"))
-    left_part = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_parts") - 1))
-    parts_left = left.join(hot, in_left).select(*left.columns, left_part.alias("_left_part"))
-    on = [*match(parts_left, parts_right), parts_left["_left_part"] == parts_right["_right_part"]]
-    return cool.unionByName(parts_left.join(parts_right, on).drop("_left_part", "_right_part"))
+    part = F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("_place", *right.columns), F.col("_parts")))
+    parted = placed.join(hot, in_right, "left").select(*right.columns, part.cast("bigint").alias("_right_part"))
+    last = F.coalesce(F.col("_parts") - 1, F.lit(0).cast("bigint"))
+    copies = left.join(hot, in_left, "left").select(
+        *left.columns, F.col("_parts").isNotNull().alias("_split"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("_left_part"),
+    )
+    on = [copies[a] == parted[b] for a, b in zip(left_on, right_on, strict=True)]
+    joined = copies.join(parted, [*on, copies["_left_part"] == parted["_right_part"]], "left")
+    return joined.where(~F.col("_split") | F.col("_right_part").isNotNull()).drop("_split", "_left_part", "_right_part")

@@ -7,8 +7,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A nested list is built in one task's memory; longer ones are written as flat rows instead.
-NEST_LIMIT = 100_000
+from tallyhouse.operators.paging import number_rows
+
+# Lines of a report's list that one row of a document holds.
+CHUNK = 1000
 
 
 def write_page(page: DataFrame, total: DataFrame, path: str, fmt: str = "json") -> None:
@@ -17,20 +19,19 @@ def write_page(page: DataFrame, total: DataFrame, path: str, fmt: str = "json")
     total.write.format(fmt).save(f"{path}/total")
 
 
-def nested(page: DataFrame, lines: DataFrame, key: str, name: str, fields: Sequence[str], position: Sequence[str]) -> DataFrame:
-    """``page`` with its lines as one sorted list column, for pages whose longest list fits ``NEST_LIMIT``.
+def documents(lines: DataFrame, key: Sequence[str], fields: Sequence[str], position: Sequence[str], chunk: int = CHUNK) -> DataFrame:
+    """(*key, chunk, items): the lines of each key as lists in the order of ``position``, ``chunk`` lines to a row.
 
-    The lengths are counted first (combined per task, so a hot key costs one row); past the limit this refuses and the
-    caller keeps ``lines`` flat, which holds the same rows without a list.
+    Lines are numbered over all keys in sorted ranges, so a key with any share of them is spread over tasks and no list
+    grows with the data. Chunks count from 0; lines that tie in ``position`` have to be equal in ``fields``.
     """
-    longest = lines.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
-    if longest > NEST_LIMIT:
-        raise ValueError(f"a list of {longest} lines is over {NEST_LIMIT}: write the flat lines instead")
-    item = F.struct(*position, F.struct(*fields).alias("_item"))
-    lists = lines.groupBy(F.col(key).alias("_key")).agg(
-        F.transform(F.array_sort(F.collect_list(item)), lambda x: x["_item"]).alias(name)
-    )
-    return page.join(lists, page[key] == lists["_key"], "left").drop("_key")
+    numbered = number_rows(lines, [F.asc_nulls_first(c) for c in (*key, *position)])
+    numbered = numbered.select(*[F.col(c).alias(f"_line_{c}") for c in key], F.struct(*fields).alias("_item"), "rn")
+    first = numbered.groupBy(*[F.col(f"_line_{c}").alias(c) for c in key]).agg(F.min("rn").alias("_first"))
+    same = [numbered[f"_line_{c}"].eqNullSafe(first[c]) for c in key]
+    placed = numbered.join(first, same).withColumn("chunk", F.floor((F.col("rn") - F.col("_first")) / chunk))
+    items = F.transform(F.array_sort(F.collect_list(F.struct("rn", "_item"))), lambda x: x["_item"])
+    return placed.groupBy(*key, "chunk").agg(items.alias("items"))
 
 
 def publish(messages: DataFrame, path: str) -> None:

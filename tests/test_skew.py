@@ -20,7 +20,6 @@ def rows_of(df):
 @pytest.fixture
 def small_limits(monkeypatch):
     monkeypatch.setattr(spread, "HOT_ROWS", 10)
-    monkeypatch.setattr(listing, "SPREAD_BYTES", 0)
 
 
 @pytest.fixture

@@ -151,15 +151,17 @@ def test_page_sink_and_nested_lists(spark, tmp_path):
     assert spark.read.json(f"{tmp_path}/page/data").count() == 5
     assert spark.read.json(f"{tmp_path}/page/total").first()["total"] == t["orders"].count()
     lines = operations.order_lines(t, page)
-    nest = dict(key="order_id", name="product", fields=operations.LINE_FIELDS, position=operations.LINE_FIELDS)
-    nested = sinks.nested(page, lines, **nest)
-    assert sum(len(r["product"] or []) for r in nested.collect()) == lines.count()
-    limit, sinks.NEST_LIMIT = sinks.NEST_LIMIT, 0
-    try:
-        with pytest.raises(ValueError):
-            sinks.nested(page, lines, **nest)
-    finally:
-        sinks.NEST_LIMIT = limit
+    nested = sinks.documents(lines, ["order_id"], operations.LINE_FIELDS, operations.LINE_FIELDS)
+    assert sum(len(r["items"]) for r in nested.collect()) == lines.count()
+
+
+def test_lists_of_any_length(spark):
+    lines = spark.range(250_000).selectExpr("id % 10 div 9 as k", "id as n")
+    rows = sinks.documents(lines.repartition(6), ["k"], ["n"], ["n"], chunk=40_000).collect()
+    for k in (0, 1):
+        own = [i["n"] for r in sorted((r for r in rows if r["k"] == k), key=lambda r: r["chunk"]) for i in r["items"]]
+        assert own == [n for n in range(250_000) if n % 10 // 9 == k]
+    assert max(len(r["items"]) for r in rows) == 40_000
 
 
 def test_day_folders_prune(spark, tmp_path):
