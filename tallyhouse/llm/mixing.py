@@ -21,6 +21,7 @@ WORD_AND_GAP = r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
 
 BLOCK = 64  # words of a block
 SHARD = 65_536  # slots of an output shard
+DEALT = 1_000_000  # slots that one task lists, about
 RANKED = 50_000  # rows of a source whose words are summed up in one window
 ROUNDS = 4
 
@@ -202,6 +203,8 @@ def _slots(spark, sources: DataFrame, seed: int) -> DataFrame:
     counts = held.select("shard", "s", "kept").unionByName(given).groupBy("shard", "s").agg(F.sum("kept").alias("n"))
     counts = counts.where("n > 0").withColumn("low", F.sum("n").over(so_far) - F.col("n"))
 
+    # A row stands for up to SHARD slots: dealt out by their number, not by the bytes of the rows.
+    counts = counts.repartition(n_slots // DEALT + 1, "shard", "s")
     number = F.explode(F.sequence(F.col("low"), F.col("low") + F.col("n") - 1)).alias("number")
     numbered = counts.select("shard", "s", number).join(sources.select("s", "n_blocks"), "s")
     numbered = numbered.withColumn("epoch", F.expr("number div n_blocks")).withColumn("i", F.expr("number % n_blocks"))
