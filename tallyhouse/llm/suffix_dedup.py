@@ -22,7 +22,7 @@ from tallyhouse.llm.common import pieces_of, powers, splitmix, text_bytes, writt
 from tallyhouse.llm.induced_sort import repeated_starts
 
 SHORT = 32  # bytes of the short strings
-SHARD = 4 << 20  # bytes of pieces in a shard, about
+SHARD = 2 << 20  # bytes of pieces in a shard, about
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
