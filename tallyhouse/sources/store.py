@@ -2,15 +2,17 @@
 
 Every table is a list of Parquet folders. A commit is one appended row naming the folders of every table; readers take
 the newest commit and keep it for the whole job, so several tables change together or not at all. Appends add a folder
-and never rewrite what is there. One writer at a time; a table format with ``MERGE INTO`` replaces all of this
+and never rewrite what is there. Of two writers that start from one commit the second fails; a table format with ``MERGE INTO`` replaces all of this
 (see ``merge_rows``).
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator, Mapping
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,6 +54,10 @@ UPLOAD_SCHEMA = T.StructType(
 SCHEMAS = {**TABLES, REQUEST_LOG: LOG_SCHEMA, CHANGE_MESSAGES: MESSAGE_SCHEMA, UPLOADS: UPLOAD_SCHEMA}
 
 
+class StaleSnapshot(RuntimeError):
+    """Another writer has committed since the snapshot was taken."""
+
+
 class Snapshot(Mapping[str, DataFrame]):
     """The tables of one commit."""
 
@@ -118,15 +124,31 @@ class TableStore:
         source: str = "batch",
         batch: int | None = None,
     ) -> Snapshot:
-        """Writes the new folders, then makes them visible with one row."""
+        """Writes the new folders, then makes them visible with one row.
+
+        Raises ``StaleSnapshot`` when ``base`` is no longer the newest commit; nothing becomes visible then.
+        """
         folders = {k: list(v) for k, v in base.folders.items()}
         for name, df in (replaced or {}).items():
             folders[name] = [self._write(name, df)]
         for name, df in (appended or {}).items():
             folders[name] = [*folders.get(name, []), self._write(name, df)]
-        row = (base.commit + 1, source, batch, folders)
-        self._spark.createDataFrame([row], _COMMIT).coalesce(1).write.mode("append").json(self._commits)
-        return Snapshot(self._spark, base.commit + 1, folders)
+        number = base.commit + 1
+        self._claim(number, {"commit": number, "source": source, "batch": batch, "folders": folders})
+        return Snapshot(self._spark, number, folders)
+
+    def _claim(self, number: int, row: Mapping[str, object]) -> None:
+        """Creates the commit's file, which only one writer can: the number is its name."""
+        path = self._spark._jvm.org.apache.hadoop.fs.Path(f"{self._commits}/{number:012d}.json")
+        files = path.getFileSystem(self._spark._jsc.hadoopConfiguration())
+        try:
+            out = files.create(path, False)
+        except Py4JJavaError as failure:
+            raise StaleSnapshot(f"commit {number} is taken: another writer was first") from failure
+        try:
+            out.write(json.dumps(row).encode())
+        finally:
+            out.close()
 
     def compact(self, base: Snapshot, *names: str) -> Snapshot:
         """Rewrites tables that many appends have split into one folder."""

@@ -15,7 +15,7 @@ from tallyhouse.plans import companies, operations, people, review_jobs
 from tallyhouse.plans.content_jobs import decode_image_payloads, write_images
 from tallyhouse.plans.jobs import commit
 from tallyhouse.sources import sinks
-from tallyhouse.sources.store import CHANGE_MESSAGES, REQUEST_LOG, TableStore, partition_by_day
+from tallyhouse.sources.store import CHANGE_MESSAGES, REQUEST_LOG, StaleSnapshot, TableStore, partition_by_day
 from tallyhouse.sources.tables import range_predicates
 from tallyhouse.streaming import messages
 from tallyhouse.streaming.apply import apply_requests, apply_stream
@@ -45,7 +45,9 @@ def test_snapshots_stay_what_they_were(spark, tmp_path):
     assert [s["bg_banner"].count() for s in (first, second, third)] == [1, 2, 1]
     assert store.snapshot().commit == 3 and [r["id"] for r in store.snapshot()["bg_banner"].collect()] == ["b"]
     assert len(second.folders["bg_banner"]) == 2
-    compacted = store.compact(second, "bg_banner")
+    fourth = store.commit(third, appended={"bg_banner": t["bg_banner"]})
+    assert len(fourth.folders["bg_banner"]) == 2
+    compacted = store.compact(fourth, "bg_banner")
     assert len(compacted.folders["bg_banner"]) == 1 and compacted["bg_banner"].count() == 2
 
 
@@ -143,6 +145,17 @@ def test_reply_message_quotes(spark):
     assert json.loads(result.messages.first()["value"])["params"]["msg"] == "it''s ''x'' \"y\""
 
 
+def test_a_stale_writer_fails(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path))
+    base = store.snapshot()
+    rows = spark.createDataFrame([("a", "1", None)], "job string, req_id string, reason string")
+    store.commit(base, appended={"request_log": rows})
+    with pytest.raises(StaleSnapshot):
+        store.commit(base, appended={"request_log": rows})
+    assert store.snapshot().commit == 1
+    assert store.snapshot()["request_log"].count() == 1
+
+
 def test_page_sink_and_nested_lists(spark, tmp_path):
     t = StandIns(spark, SF)
     report = operations.order_sales(t)
