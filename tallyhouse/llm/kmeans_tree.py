@@ -184,14 +184,18 @@ def nearest(vectors: DataFrame, queries: Column, k: int, recall: float = RECALL)
     )
 
     def search(own: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"asked": np.zeros(0, np.int64), "name": np.zeros(0, np.int64), "score": np.zeros(0)})]
+        asked, names, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         if len(own) and len(asking):
             found = _scores(
                 _wide(dense(asking["asked_v"], float), width), _wide(dense(own["v"], float), width), own["name"].to_numpy(), k + 1
             )
-            for name, (names, scores) in zip(asking["asked"], found, strict=True):
-                out.append(pd.DataFrame({"asked": name, "name": names, "score": scores}))
-        return pd.concat(out)
+            for name, (near, products) in zip(asking["asked"], found, strict=True):
+                asked.append(np.full(len(near), name))
+                names.append(near)
+                scores.append(products)
+        return pd.DataFrame(
+            {"asked": np.concatenate(asked), "name": np.concatenate(names), "score": np.concatenate(scores)}
+        )
 
     keys = ["leaf", "doc_part", "query_part"]
     found = docs.groupBy(*keys).cogroup(asks.groupBy(*keys)).applyInPandas(search, "asked long, name long, score double")
