@@ -5,6 +5,10 @@ equal windows, wherever they start, belong to the same hash. Neighbouring window
 bytes its last window reaches is a piece, and every window of the corpus is in exactly one piece. Hashes seen in one piece
 only, and once in it, can hold no repeat. Equal pieces are counted and become one. What is left goes, by hash, to shards;
 each shard orders all its suffixes and finds the windows with a common prefix of ``length`` bytes (``induced_sort``).
+
+A hash whose pieces hold more than a shard (a line that stands in very many surroundings) is not sorted: its pieces are cut
+again by the least hash of longer strings, which reach beyond the line, and so on. The longest string is the window itself;
+there equal hashes are the repeats and nothing is left to sort.
 """
 
 from __future__ import annotations
@@ -22,17 +26,17 @@ from tallyhouse.llm.common import pieces_of, powers, splitmix, text_bytes, writt
 from tallyhouse.llm.induced_sort import repeated_starts
 
 SHORT = 32  # bytes of the short strings
-SHARD = 2 << 20  # bytes of pieces in a shard, about
+SHARD = 2 << 20  # bytes of pieces in a shard, about; those of one hash are at most this
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _NOTHING = hashlib.sha256(b"").hexdigest()
 
 
-def window_runs(data: np.ndarray, length: int) -> list[np.ndarray]:
+def window_runs(data: np.ndarray, length: int, short: int = SHORT) -> list[np.ndarray]:
     """Runs of windows with the same least hash: hash, hash of the piece, first window, number of windows, and whether the
     least short string occurs more than once in the piece."""
-    n, short = len(data), min(SHORT, length)
+    n, short = len(data), min(short, length)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(n, _BASE), out=sums[1:])
     inverse = powers(n, _INVERSE)
@@ -105,6 +109,33 @@ def _cut_out(wanted: DataFrame) -> DataFrame:
     return wanted.select("text", "parts").mapInArrow(run, "h long, piece long, bytes binary")
 
 
+def _cut_again(wanted: DataFrame, length: int, short: int) -> DataFrame:
+    """The pieces in (sha, text, parts) cut by the least hash of strings of ``short`` bytes: (h, piece) of the whole, where
+    the part starts in it (at) and in the text (first), and what ``window_runs`` gives for it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in pieces_of(whole, "text"):
+                data, offsets = text_bytes(batch.column("text"))
+                texts = zip(offsets.tolist(), batch.column("sha").to_pylist(), batch.column("parts").to_pylist(), strict=False)
+                for start, sha, parts in texts:
+                    found = [window_runs(data[start + p["first"] : start + p["first"] + p["size"]], length, short) for p in parts]
+                    key, kind, at, n, again = (np.concatenate([f[i] for f in found]) for i in range(5))
+                    of = np.repeat(np.arange(len(parts)), [len(f[0]) for f in found])
+                    h, piece, first = (np.array([p[c] for p in parts], np.int64)[of] for c in ("h", "piece", "first"))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(h), pa.array(piece), pa.array([sha] * len(of), pa.string()), pa.array(at),
+                            pa.array(at + first.astype(np.int32)), pa.array(key), pa.array(kind), pa.array(n), pa.array(again),
+                        ],
+                        names=["h", "piece", "sha", "at", "first", "key", "kind", "n", "again"],
+                    )
+
+    return wanted.select("sha", "text", "parts").mapInArrow(
+        run, "h long, piece long, sha string, at int, first int, key long, kind long, n int, again boolean"
+    )
+
+
 def _sorted_shards(pieces: DataFrame, length: int, n_shards: int) -> DataFrame:
     """(h, piece, ranges): the windows of each piece, as ranges from and to, that start elsewhere in the shard too."""
 
@@ -117,6 +148,8 @@ def _sorted_shards(pieces: DataFrame, length: int, n_shards: int) -> DataFrame:
         if not texts:
             return
         starts = repeated_starts(texts, length)
+        if not len(starts):
+            return
         begins = np.cumsum([0] + [len(t) + 1 for t in texts])
         of = np.searchsorted(begins, starts, "right") - 1
         edge = np.flatnonzero((np.diff(starts, prepend=-2) != 1) | (np.diff(of, prepend=-1) != 0))
@@ -135,6 +168,64 @@ def _sorted_shards(pieces: DataFrame, length: int, n_shards: int) -> DataFrame:
     return pieces.repartition(n_shards, "h").mapInArrow(run, "h long, piece long, ranges array<array<int>>")
 
 
+def _found(once: DataFrame, chosen: DataFrame, length: int, short: int) -> DataFrame:
+    """(h, piece, ranges): the windows of each piece, as ranges from and to, that start in another place of a piece of its h.
+
+    ``chosen`` has different pieces (h, piece, sha, first, size) and the bytes of all pieces of the h; it is cut by strings
+    of ``short`` bytes.
+    """
+
+    def parts(of: DataFrame) -> DataFrame:
+        listed = of.groupBy("sha").agg(F.collect_list(F.struct("h", "piece", "first", "size")).alias("parts"))
+        return once.join(listed, "sha")
+
+    hot = F.col("bytes") > SHARD
+    small, n_hot = chosen.agg(F.sum(F.when(~hot, F.col("size"))), F.count_if(hot)).first()
+    n_shards = max(1, math.ceil((small or 0) / SHARD))
+    found = written(_sorted_shards(_cut_out(parts(chosen.where(~hot))), length, n_shards))
+    if not n_hot:
+        return found
+
+    short = length - (length - short) // 4
+    cut = written(_cut_again(parts(chosen.where(hot)), length, short))
+    whole = F.array(F.array(F.lit(0), F.col("n") - 1))
+    if short == length:  # a key is one window
+        equal = cut.groupBy("h", "key").agg(F.sum("n").alias("times")).where("times > 1")
+        told = cut.join(equal, ["h", "key"], "left_semi").withColumn("ranges", whole)
+    else:
+        kinds = _kinds(cut.withColumn("copies", F.lit(1)), ["h", "key"], "kind", length)
+        inner = kinds.where("sorted").select(
+            F.xxhash64("h", "key").alias("h"), F.col("kind").alias("piece"), "chosen.sha", "chosen.first",
+            (F.col("chosen.n") + (length - 1)).alias("size"), "bytes",
+        )
+        inner = _found(once, inner, length, short).select(
+            F.col("h").alias("mixed"), F.col("piece").alias("kind"), "ranges"
+        )
+        told = cut.join(kinds.select("h", "key", "kind", "times"), ["h", "key", "kind"])
+        told = told.withColumn("mixed", F.xxhash64("h", "key")).join(inner, ["mixed", "kind"], "left")
+        told = told.withColumn("ranges", F.when(F.col("times") > 1, whole).otherwise(F.col("ranges")))
+    moved = F.transform("ranges", lambda r: F.transform(r, lambda x: x + F.col("at")))
+    told = told.where("ranges is not null").select("h", "piece", moved.alias("ranges"))
+    told = told.groupBy("h", "piece").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))  # bounded by the piece
+    return written(found.unionByName(told))
+
+
+def _kinds(runs: DataFrame, key: list[str], piece: str, length: int) -> DataFrame:
+    """Different pieces that may hold repeats: how often each occurs, whether it has to be sorted, where it stands, and the
+    bytes of all different pieces of its key."""
+    kinds = runs.groupBy(*key, piece).agg(
+        F.sum("copies").alias("times"), F.max("again").alias("again"),
+        # Of the places of a piece one stands for all; a text without copies, if there is one.
+        F.min(F.struct(F.col("copies") > 1, "sha", "first", "n")).alias("chosen"),
+    )
+    pieces = kinds.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("kinds"), F.sum((F.col("chosen.n") + (length - 1)).cast("long")).alias("bytes")
+    )
+    kinds = kinds.join(pieces, key).withColumn("sorted", (F.col("kinds") > 1) | F.col("again"))
+    kinds = kinds.where((F.col("times") > 1) | F.col("sorted"))
+    return written(kinds.select(*key, piece, "times", "sorted", "chosen", "bytes"))
+
+
 def _without(marked: DataFrame, length: int) -> DataFrame:
     """(sha, n_removed, n_spans, kept_sha256, kept) from (sha, text, ranges of windows that repeat)."""
 
@@ -174,28 +265,19 @@ def _cuts(documents: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     texts = written(texts)
     zipped = F.explode(F.arrays_zip("h", "piece", "first", "n", "again")).alias("r")
     runs = texts.select("sha", "copies", zipped).select("sha", "copies", "r.*")
-    kinds = runs.groupBy("h", "piece").agg(
-        F.sum("copies").alias("times"), F.max("again").alias("again"),
-        # Of the places of a piece one stands for all; a text without copies, if there is one.
-        F.min(F.struct(F.col("copies") > 1, "sha", "first", "n")).alias("chosen"),
-    )
-    pieces = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"))
-    kinds = kinds.join(pieces, "h").withColumn("sorted", (F.col("kinds") > 1) | F.col("again"))
-    kinds = written(kinds.where((F.col("times") > 1) | F.col("sorted")).select("h", "piece", "times", "sorted", "chosen"))
+    kinds = _kinds(runs, ["h"], "piece", length)
     suspects = written(
         runs.where("copies = 1").join(kinds.select("h", "piece", "times"), ["h", "piece"]).select(
             "sha", "h", "piece", "first", "n", "times"
         )
     )
     chosen = kinds.where("sorted").select(
-        "h", "piece", "chosen.sha", "chosen.first", (F.col("chosen.n") + (length - 1)).alias("size")
+        "h", "piece", "chosen.sha", "chosen.first", (F.col("chosen.n") + (length - 1)).alias("size"), "bytes"
     )
-    n_shards = max(1, math.ceil((chosen.agg(F.sum("size")).first()[0] or 0) / SHARD))
     needed = suspects.select("sha").unionByName(chosen.select("sha")).distinct()
     once = named.select("sha", "text").join(needed, "sha", "left_semi").groupBy("sha").agg(F.first("text").alias("text"))
     once = written(once)
-    parts = chosen.groupBy("sha").agg(F.collect_list(F.struct("h", "piece", "first", "size")).alias("parts"))
-    found = written(_sorted_shards(_cut_out(once.join(parts, "sha")), length, n_shards))
+    found = _found(once, chosen, length, min(SHORT, length))
 
     whole = F.array(F.array(F.lit(0), F.col("n") - 1))
     told = suspects.join(found, ["h", "piece"], "left").withColumn(

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from llm.conftest import ODD, SF, documents
-from tallyhouse.llm import packing
+from tallyhouse.llm import packing, suffix_dedup
 from tallyhouse.llm.backoff_lm import scored
 from tallyhouse.llm.induced_sort import repeated_starts, suffix_order
 from tallyhouse.llm.mixing import mix, mixed_documents, taken_words
@@ -112,6 +112,46 @@ def test_removed_repeats(spark, odd, none):
     assert removed_repeats(none).collect() == []
 
 
+def least_line(rng, letters, size):
+    """A line of ``size`` bytes that holds the least hash of windows around it, whatever stands there."""
+    while True:
+        line = "".join(rng.choice(letters) for _ in range(size))
+        around = ["".join(rng.choice(letters) for _ in range(350)) + line + "".join(rng.choice(letters) for _ in range(350)) for _ in range(4)]
+        if set.intersection(*[set(suffix_dedup.window_runs(np.frombuffer(t.encode(), np.uint8), 400)[0].tolist()) for t in around]):
+            return line
+
+
+@pytest.mark.parametrize("size", [40, 380])
+def test_a_common_line_is_split_further(spark, monkeypatch, size):
+    """No hash brings more than a shard of pieces to one task, though one line stands in very many different texts."""
+    rng, letters = random.Random(size), "abcdefghijklmnopqrstuvwxyz "
+    line = least_line(rng, letters, size)
+
+    def some(n):
+        return "".join(rng.choice(letters) for _ in range(n))
+
+    rows = [(i, some(380) + line + some(380), "a") for i in range(3000)]
+    for i in range(20):  # real repeats around the line, at other places and with other neighbours
+        rows.append((5000 + i, some(30 + i) + rows[i][1][150 : 150 + 560 + i] + some(i), "a"))
+    seen, sort = [], suffix_dedup._sorted_shards
+
+    def watched(pieces, length, n_shards):
+        seen.append(pieces.groupBy("h").agg(F.sum(F.octet_length("bytes")).alias("n")).agg(F.max("n")).first()[0] or 0)
+        return sort(pieces, length, n_shards)
+
+    monkeypatch.setattr(suffix_dedup, "SHARD", 50_000)
+    monkeypatch.setattr(suffix_dedup, "_sorted_shards", watched)
+    got = Counter(map(tuple, removed_repeats(documents(spark, rows)).collect()))
+    assert len(seen) > 1 and max(seen) <= 50_000
+    assert got == repeats_brute(rows, 400)
+
+
+@pytest.mark.parametrize("shard", [300])
+def test_removed_repeats_where_all_is_split(spark, odd, none, monkeypatch, shard):
+    monkeypatch.setattr(suffix_dedup, "SHARD", shard)
+    test_removed_repeats(spark, odd, none)
+
+
 def test_texts_without_repeats(spark):
     rows = [(1, "abcdefgh-1", "a"), (2, "2-abcdefgh", "a"), (3, None, "a"), (4, "plain", "a")]
     got = without_repeats(documents(spark, rows), 8)
