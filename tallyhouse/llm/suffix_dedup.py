@@ -214,12 +214,12 @@ def _kinds(runs: DataFrame, key: list[str], piece: str, length: int) -> DataFram
     """Different pieces that may hold repeats: how often each occurs, whether it has to be sorted, where it stands, and the
     bytes of all different pieces of its key."""
     kinds = runs.groupBy(*key, piece).agg(
-        F.sum("copies").alias("times"), F.max("again").alias("again"),
+        F.sum("copies").alias("times"), F.max("again").alias("again"), F.max("n").alias("n"),  # n is part of the name
         # Of the places of a piece one stands for all; a text without copies, if there is one.
         F.min(F.struct(F.col("copies") > 1, "sha", "first", "n")).alias("chosen"),
     )
     pieces = kinds.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("kinds"), F.sum((F.col("chosen.n") + (length - 1)).cast("long")).alias("bytes")
+        F.count(F.lit(1)).alias("kinds"), F.sum((F.col("n") + (length - 1)).cast("long")).alias("bytes")
     )
     kinds = kinds.join(pieces, key).withColumn("sorted", (F.col("kinds") > 1) | F.col("again"))
     kinds = kinds.where((F.col("times") > 1) | F.col("sorted"))
