@@ -1,6 +1,6 @@
 """Stupid-backoff scores of documents from n-gram counts of the whole corpus.
 
-Texts are taken in blocks. A block's distinct n-grams with their counts go, by ranges of their 56-bit hash, to the
+Texts are taken in blocks, each of many Arrow batches where texts are short. A block's distinct n-grams with their counts go, by ranges of their 56-bit hash, to the
 partitions of the count table; a frequent n-gram is one entry per block. There the entries of all blocks are summed, and
 every block gets the corpus counts of its own n-grams back: the join of the count table with the exploded n-grams, with
 sorted arrays instead of one row per n-gram. The block then looks up each n-gram of its documents and sums per document.
@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -91,7 +92,7 @@ def _distinct(texts: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(grams[grams > 0], return_counts=True)
 
 
-def scored(documents: DataFrame, order: int = 2, backoff: float = BACKOFF) -> DataFrame:
+def scored(documents: DataFrame, order: int = 3, backoff: float = BACKOFF) -> DataFrame:
     """(doc_id, n_words, n_backed_off, log_score) of every document row.
 
     The score of a word is the held-out count of the longest n-gram (up to ``order`` words, within the document) over that of
@@ -159,9 +160,19 @@ def scored(documents: DataFrame, order: int = 2, backoff: float = BACKOFF) -> Da
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list]]:
+    texts, doc_ids, size = [], [], 0
     for whole in batches:
         for batch in pieces_of(whole, "text", BLOCK):
-            yield batch.column("text"), batch.column("doc_id").to_pylist()
+            own = batch.column("text")
+            n = pc.sum(pc.binary_length(own)).as_py() or 0
+            if texts and size + n > BLOCK:
+                yield pa.concat_arrays(texts), doc_ids
+                texts, doc_ids, size = [], [], 0
+            texts.append(own)
+            doc_ids = doc_ids + batch.column("doc_id").to_pylist()
+            size += n
+    if texts:
+        yield pa.concat_arrays(texts), doc_ids
 
 
 def _block_scores(

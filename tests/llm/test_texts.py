@@ -12,13 +12,14 @@ from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from llm.conftest import ODD, SF, documents
-from tallyhouse.llm import packing, suffix_dedup
+from tallyhouse.llm import backoff_lm, packing, queries, suffix_dedup
 from tallyhouse.llm.backoff_lm import scored
 from tallyhouse.llm.induced_sort import repeated_starts, suffix_order
 from tallyhouse.llm.mixing import mix, mixed_documents, taken_words
@@ -337,3 +338,21 @@ def test_backoff_scores(spark, odd, none, order):
         got = Counter((r.doc_id, r.n_words, r.n_backed_off, round(r.log_score, 5)) for r in scored(df, order).collect())
         assert got == backoff_brute(rows, order, 0.4)
     assert scored(none, order).collect() == []
+
+
+def test_registered_scores_count_three_words(spark):
+    got = queries.lm_scores(spark, SF).collect()
+    got = Counter((r.doc_id, r.n_words, r.n_backed_off, round(r.log_score, 5)) for r in got)
+    assert got == backoff_brute(given(spark), 3, 0.4)
+    # Every pair of the last text is common, none of its phrases is.
+    rows = [(i, t, "a") for i, t in enumerate(["a b c", "a b c", "b c a", "b c a", "c a b", "c a b"] * 3 + ["x b d b x", "d b x b d", "x b x"])]
+    rows = [*rows, (99, "a b x", "a")]
+    assert {r.doc_id: r.n_backed_off for r in scored(documents(spark, rows)).collect()}[99] == 1
+
+
+def test_blocks_go_on_over_batches(monkeypatch):
+    batches = [pa.record_batch({"text": pa.array(["ab" * 5, None]), "doc_id": pa.array([i, None])}) for i in range(7)]
+    monkeypatch.setattr(backoff_lm, "BLOCK", 30)
+    blocks = [(t.to_pylist(), i) for t, i in backoff_lm._blocks(iter(batches))]
+    assert [len(i) for _, i in blocks] == [6, 6, 2]
+    assert sum((t for t, _ in blocks), []) == ["ab" * 5, None] * 7 and sum((i for _, i in blocks), [])[::2] == list(range(7))
