@@ -170,13 +170,13 @@ STATE: dict[str, str] = {
         company_name, c_mktsegment as industry, concat('R', cast(c_nationkey as string)) as region, c_name as
         contact_name, concat('138', lpad(cast(c_custkey as string), 8, '0')) as contact_phone, 'problem' as problems,
         split('s1,s2', ',') as supplement, cast(1550073600 + (c_custkey * 1368787) % 6000000 as bigint) as time from
-        customer where c_custkey % 8 = 0
+        customer
     """,
     "industry_plus_test": """
         select concat('138', lpad(cast(c_custkey as string), 8, '0')) as phone, concat('Company ', c_name) as
         company_name, split(concat(cast(c_custkey % 5 + 1 as string), ',', cast(c_custkey % 3 + 1 as string)), ',') as
         intelligent_degree, cast(c_custkey % 100 as double) as score, cast(1550073600 + (c_custkey * 1368787) %
-        6000000 as bigint) as time from customer where c_custkey % 9 = 0
+        6000000 as bigint) as time from customer
     """,
     "tp_apps": """
         select concat('app', cast(p_partkey as string)) as id, p_name as name, p_brand as slogan, cast(p_retailprice
@@ -200,12 +200,12 @@ STATE: dict[str, str] = {
     "bg_user": """
         select concat('u', cast(c_custkey as string)) as username, concat('138', lpad(cast(c_custkey as string), 8,
         '0')) as phone, c_name as name, case when c_custkey % 50 = 0 then '0' else '1' end as rights, cast(1550073600
-        + (c_custkey * 1368787) % 6000000 as bigint) as time from customer where c_custkey % 25 = 0
+        + (c_custkey * 1368787) % 6000000 as bigint) as time from customer
     """,
     "base_clients_pool": """
         select c_name as name, c_name as contacts, concat('138', lpad(cast(c_custkey as string), 8, '0')) as phone,
         c_mktsegment as industry, cast(1550073600 + c_custkey as bigint) as create_time, concat('R', cast(c_nationkey
-        as string)) as region, '' as address from customer where c_custkey % 100 = 7
+        as string)) as region, '' as address from customer
     """,
 }
 
@@ -228,7 +228,7 @@ REQUESTS: dict[str, str] = {
     "req_application_decision": """
         select c_custkey as req_id, concat('138', lpad(cast(c_custkey as string), 8, '0')) as id, cast(c_custkey % 4
         as int) as state, case when c_custkey % 5 = 0 then '' else 'note' end as state_msg, cast(1550073600 +
-        (c_custkey * 1368787) % 6000000 + 86400 as bigint) as req_time from customer where c_custkey % 6 = 0
+        (c_custkey * 1368787) % 6000000 + 86400 as bigint) as req_time from customer
     """,
     "req_image_tag_review": """
         select event_id as req_id, event_id as id, case event_id % 3 when 0 then '0' when 1 then '1' else 'x' end as
@@ -250,7 +250,7 @@ REQUESTS: dict[str, str] = {
         select c_custkey as req_id, concat('F', cast(c_custkey % 120 as string)) as factory_id, concat('138',
         lpad(cast(c_custkey as string), 8, '0')) as administrators, concat('138', lpad(cast(c_custkey + 7000000 as
         string), 8, '0')) as new_administrators, split('3,5,3', ',') as permission, cast(1550073600 + (c_custkey *
-        1368787) % 6000000 as bigint) as req_time from customer where c_custkey % 12 = 2
+        1368787) % 6000000 as bigint) as req_time from customer
     """,
 }
 
@@ -284,7 +284,7 @@ REQUESTS |= {
             LIST({_upload('p_brand')}, 'bad', {_upload('p_type')}) as images,
             case when p_partkey % 55 = 0 then null else cast(p_retailprice as decimal(18, 2)) end as dsd_val,
             'https://example.com/new' as url, cast(1550073600 + p_partkey as bigint) as req_time
-        from part where p_partkey % 5 = 0
+        from part
     """,
     "req_app_modify": f"""
         select p_partkey as req_id, concat('app', cast(p_partkey % 1500 as string)) as id, concat('new ', p_name) as name,
@@ -306,7 +306,7 @@ REQUESTS |= {
             case when doc_id % 21 = 0 then null
                 else split(concat(cast(doc_id % 5 as string), ',', cast(doc_id % 3 as string), ',', cast(doc_id % 5 as string)), ',') end as keywords,
             LIST({_upload('source')}, 'bad', {_upload('lang')}) as images, cast(1550073600 + doc_id as bigint) as req_time
-        from documents where doc_id % 2 = 0
+        from documents
     """,
     "req_learn_task_state": """
         select doc_id as req_id, doc_id * 2 as id, case doc_id % 4 when 0 then '0' when 1 then '1' when 2 then '7' else '' end as state,
@@ -340,7 +340,7 @@ REQUESTS |= {
     "req_account_rename": f"""
         select c_custkey as req_id, {_phone('c_custkey % 90 * 25')} as phone,
             case when c_custkey % 8 = 0 then null else concat('renamed ', cast(c_custkey as string)) end as new_name, {_CUSTOMER_TIME}
-        from customer where c_custkey % 3 = 0
+        from customer
     """,
     "req_company_modify": f"""
         select c_custkey as req_id, concat('F', cast(c_custkey % 110 as string)) as factory_id,
@@ -385,7 +385,7 @@ REQUESTS |= {
     """,
     "old_accounts": """
         select case when c_custkey = 100 then 'admin' else concat('u', cast(c_custkey as string)) end as username, c_custkey as code
-        from customer where c_custkey % 25 = 0
+        from customer
     """,
 }
 

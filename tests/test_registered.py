@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 from tallyhouse.checks import registry
+from tallyhouse.checks.standins import StandIns
 
 from conftest import SF
 
@@ -43,3 +44,14 @@ def test_query_matches_oracle(spark, duck, name):
     want = Counter(repr(tuple(row[i] for i in at)) for row in expected.fetchall())
     got = Counter(repr(tuple(row[n] for n in names)) for row in df.collect())
     assert got == want
+
+
+@pytest.mark.parametrize(("source", "names"), [
+    ("customer", ["industry_plus_factorys", "industry_plus_test", "bg_user", "base_clients_pool", "old_accounts",
+                  "req_application_decision", "req_company_admin_change", "req_account_rename"]),
+    ("part", ["req_app_new"]), ("documents", ["req_learn_task_new"]),
+])
+def test_stand_ins_hold_all_rows(spark, source, names):
+    tables = StandIns(spark, SF)
+    n = spark.read.parquet(f"{SF}/{source}.parquet").count()
+    assert {name: tables[name].count() for name in names} == dict.fromkeys(names, n)
