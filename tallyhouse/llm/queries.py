@@ -13,11 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.llm.backoff_lm import scored
+from tallyhouse.llm.decontamination import contamination
 from tallyhouse.llm.kmeans_tree import nearest
+from tallyhouse.llm.manifest import tampering, verified
 from tallyhouse.llm.mixing import taken_words
 from tallyhouse.llm.near_dedup import near_duplicates
+from tallyhouse.llm.oracles import ORACLES
 from tallyhouse.llm.packing import packed_documents
 from tallyhouse.llm.site_quality import judged
+from tallyhouse.llm.spelling import variants_of_texts
 from tallyhouse.llm.suffix_dedup import removed_repeats
 from tallyhouse.llm.topk import exact_top_k
 from tallyhouse.llm.toxicity import fit_severity, graded
@@ -100,6 +104,21 @@ def suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return removed_repeats(table(spark, folder, "documents"))
 
 
+def spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return variants_of_texts(table(spark, folder, "documents"))
+
+
+def merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    found = verified(table(spark, folder, "documents"), **tampering())
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    items = F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", items, (F.col("n_hit") > 0).alias("contaminated"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_source_mixing": mixing,
     "op2_exact_top_k": exact_search,
@@ -111,23 +130,9 @@ QUERIES: dict[str, Query] = {
     "op8_near_dedup": near_dedup,
     "op9_best_fit_packing": best_fit_packing,
     "op10_suffix_dedup": suffix_dedup,
+    "op11_spelling_variants": spelling_variants,
+    "op12_merkle_manifest": merkle_manifest,
+    "op13_decontamination": decontamination,
 }
 
-# Learned models, hash permutations, token ids and connected components have no counterpart in SQL; those queries are
-# tested against brute force instead.
-ORACLES: dict[str, str] = {
-    "op2_exact_top_k": """
-        with usable as (
-            select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as terms
-            from embeddings
-            where vec_id is not null and embedding is not null
-            and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
-        ), scores as (
-            select q.vec_id as query_id, c.vec_id as vec_id,
-                cast(list_sum(list_transform(list_zip(q.terms, c.terms), lambda p: p[1] * p[2])) as bigint) as score
-            from usable q join usable c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0
-        )
-        select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score
-        from scores qualify row_number() over (partition by query_id order by score desc, vec_id) <= 5
-    """,
-}
+__all__ = ["ORACLES", "QUERIES", "prepared", "table"]
