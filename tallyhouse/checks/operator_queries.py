@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.checks import report_oracles as o
-from tallyhouse.checks.job_queries import _J01, _J03, _J04, _J18, phone_ok, short_id
+from tallyhouse.checks.job_queries import _J01, _J03, _J04, _J18, number_id, phone_ok, short_id
 from tallyhouse.checks.report_queries import flat
 from tallyhouse.checks.standins import StandIns, with_standins
 from tallyhouse.functions import arrays, days, predicates, values
@@ -162,7 +162,7 @@ register(
 register(
     "m3_stream_ledger", lambda t: _streamed(t, "coin_records"),
     f"""select id, user_id, val, from_type, time from fx_coin_records union all
-        select req_id, phone, dsd_val, 'system', req_time from ({_GRANTED}) x""",
+        select {number_id('grant_coins', 'req_id')}, phone, dsd_val, 'system', req_time from ({_GRANTED}) x""",
 )
 
 # Predicates.

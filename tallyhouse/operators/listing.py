@@ -12,7 +12,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyhouse.functions.predicates import all_of, keep
+from tallyhouse.operators import spread
+from tallyhouse.operators.hotkeys import measured
 from tallyhouse.operators.paging import (
     DEEP_PAGE,
     Order,
@@ -29,7 +31,6 @@ from tallyhouse.operators.paging import (
     page_bounds,
 )
 from tallyhouse.operators.scratch import pinned
-from tallyhouse.operators.spread import spread_join
 
 Names = str | tuple[str, ...]
 
@@ -49,6 +50,10 @@ class Lookup:
     unique: bool = False
     # No two rows of ``right`` are equal.
     distinct: bool = False
+    # Rows with the same keys that are cheaper to count than ``right``, or that have more of each key than it.
+    counted: DataFrame | None = None
+    # The hot keys from counters kept beside the table.
+    hot: Callable[[int], Mapping[int, int] | None] | None = None
     # For lookups built by an aggregate: makes ``right`` from ``source`` already cut to the wanted ``source_on`` keys.
     build: Callable[[DataFrame], DataFrame] | None = None
     source: DataFrame | None = None
@@ -77,7 +82,10 @@ class Lookup:
         """
         if self.unique:
             return self.attach(left)
-        return spread_join(left, self.right, self.needs, self.keys, self.distinct)
+        hot = self.hot(spread.HOT_ROWS) if self.hot else None
+        if hot is None:
+            hot = measured(self.right if self.counted is None else self.counted, self.keys, spread.HOT_ROWS)
+        return spread.spread_join(left, self.right, self.needs, self.keys, self.distinct, hot)
 
     def attach_for(
         self, head: DataFrame, fixed: DataFrame, upto: int, order: Sequence[str] | None

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +31,13 @@ def company(t: Tables, left_on: str, prefix: str = "company_") -> Lookup:
 def membership(t: Tables, left_on: str, prefix: str = "member_") -> Lookup:
     """People may belong to several companies, so this one multiplies rows."""
     right = picked(keep(t["factory_users"], F.col("phone").isNotNull()), prefix, "phone", "factory")
-    return Lookup(right, left_on, f"{prefix}phone")
+    return Lookup(right, left_on, f"{prefix}phone", hot=kept_counters(t, "factory_users", "phone"))
+
+
+def kept_counters(t: Tables, table: str, *keys: str) -> Callable[[int], Mapping[int, int] | None] | None:
+    """The hot keys of a table from counters beside it, where ``t`` keeps any."""
+    known = getattr(t, "hot_keys", None)
+    return known and partial(known, table, keys)
 
 
 def named(t: Tables, table: str, left_on: str, prefix: str, *columns: str) -> Lookup:

@@ -84,12 +84,16 @@ def order_lines(t: Tables, orders: DataFrame) -> DataFrame:
     )
 
 
-def money_events(t: Tables) -> DataFrame:
-    """Payments out, deliveries and purchases as one set of (id, time, creator); ids of the three may coincide."""
+def _all_money_events(t: Tables) -> DataFrame:
     out = t["finance_output"].select("id", "time", F.col("creator_id").alias("creator"))
     orders = t["orders"].select("id", F.col("deliver_time").alias("time"), "creator")
     bought = t["purchase"].select("id", F.col("buy_time").alias("time"), "creator")
-    return out.unionByName(orders).unionByName(bought).distinct()
+    return out.unionByName(orders).unionByName(bought)
+
+
+def money_events(t: Tables) -> DataFrame:
+    """Payments out, deliveries and purchases as one set of (id, time, creator); ids of the three may coincide."""
+    return _all_money_events(t).distinct()
 
 
 def _event_side(events: DataFrame) -> DataFrame:
@@ -103,7 +107,9 @@ def finance_flow(t: Tables, id: str = "", name: str = "", company_name: str = ""
     return ListReport(
         base=t["finance_logs"],
         lookups=[
-            Lookup(_event_side(events), "use_id", "event_id", distinct=True),
+            Lookup(
+                _event_side(events), "use_id", "event_id", distinct=True, counted=_event_side(_all_money_events(t)),
+            ),
             user(t, "event_creator"),
             company(t, "factory"),
         ],

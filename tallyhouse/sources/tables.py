@@ -7,6 +7,7 @@ from collections.abc import Iterator, Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyhouse.operators.hotkeys import combined, hot_keys, key_sketch
 from tallyhouse.schema import TABLES
 
 
@@ -20,6 +21,22 @@ class ParquetTables(Mapping[str, DataFrame]):
     def __getitem__(self, name: str) -> DataFrame:
         return self._spark.read.schema(TABLES[name]).parquet(f"{self._root}/{name}")
 
+    def _counters(self, name: str, keys: Sequence[str]) -> str:
+        return f"{self._root}/_key_counters/{name}/{'+'.join(keys)}"
+
+    def count_keys(self, name: str, keys: Sequence[str], rows: DataFrame | None = None) -> None:
+        """Keeps a sketch of the table's keys beside it; ``rows`` only adds that of rows about to be appended."""
+        mode = "overwrite" if rows is None else "append"
+        key_sketch(self[name] if rows is None else rows, keys).write.mode(mode).parquet(self._counters(name, keys))
+
+    def hot_keys(self, name: str, keys: Sequence[str], rows: int) -> Mapping[int, int] | None:
+        """Keys with more than ``rows`` rows by the counters beside the table; None where it has none."""
+        folder = self._counters(name, keys)
+        path = self._spark._jvm.org.apache.hadoop.fs.Path(folder)
+        if not path.getFileSystem(self._spark._jsc.hadoopConfiguration()).exists(path):
+            return None
+        return hot_keys(combined(self._spark.read.parquet(folder)), rows)
+
     def __iter__(self) -> Iterator[str]:
         return iter(TABLES)
 

@@ -5,11 +5,14 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from tallyhouse.operators import listing, spread
+from tallyhouse.checks.standins import StandIns
+from tallyhouse.operators import hotkeys, listing, spread
 from tallyhouse.operators.spread import spread_join
 from tallyhouse.plans import operations, people
 from tallyhouse.sources.store import write_bucketed
+from tallyhouse.sources.tables import ParquetTables
 
+from conftest import SF
 from tables import HandTables
 
 
@@ -64,6 +67,73 @@ def test_hot_right_keys_end_in_several_parts(spark, small_limits):
     assert "_left_part" in text and "_right_part" in text
 
 
+def test_no_hot_key_means_the_plain_join(spark):
+    """Nothing is scanned or shuffled besides what a left join of the same tables does."""
+    t = StandIns(spark, SF)
+    for report in (people.users, people.coin_ledger, operations.finance_flow, operations.purchases, operations.stock_ledger):
+        lst = report(t)
+        df = lst.base
+        for lookup in lst.lookups:
+            df = lookup.attach(df)
+        texts = [d._jdf.queryExecution().executedPlan().toString() for d in (lst.rows(), df.select(*lst.output))]
+        for node in ("FileScan", "Exchange", "Join"):
+            assert texts[0].count(node) == texts[1].count(node), (report, node)
+
+
+@pytest.mark.parametrize("distinct", [False, True])
+def test_what_the_sketch_says_changes_no_result(spark, small_limits, distinct):
+    """Wrong, outdated and colliding hot keys; keys without rows; null keys; rows repeated beyond a chunk."""
+    left = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, None), (5, "gone")], "id int, l string")
+    rows = [("a", i) for i in range(25)] + [("b", i) for i in range(3)] + [(None, 1)]
+    if not distinct:
+        rows += [("a", 7)] * 33
+    right = spark.createDataFrame(rows, "r string, v int")
+    want = rows_of(left.join(right, left["l"] == right["r"], "left"))
+    numbers = {k: right.select(hotkeys.key_hash(F.lit(k))).first()[0] for k in ("a", "b", "gone", "never")}
+    for names in ((), ("a",), ("b",), ("gone", "never"), ("a", "b", "gone")):
+        got = spread_join(left, right, ["l"], ["r"], distinct, {numbers[n]: 5 for n in names})
+        assert got.columns == ["id", "l", "r", "v"]
+        assert rows_of(got) == want
+
+
+def test_sketches_of_parts_combine(spark):
+    df = spark.range(60_000).select(
+        F.when(F.col("id") % 3 == 0, "x").when(F.col("id") % 7 == 0, "y").otherwise(F.col("id").cast("string")).alias("k"),
+        F.when(F.col("id") % 2 == 0, F.lit(1)).alias("half"),
+    )
+    whole = hotkeys.hot_keys(hotkeys.key_sketch(df, ["k"]), 1000)
+    parts = [hotkeys.key_sketch(df.where(F.spark_partition_id() % 2 == i), ["k"]) for i in (0, 1)]
+    merged = hotkeys.hot_keys(hotkeys.combined(parts[0].unionByName(parts[1])), 1000)
+    x, y = (df.select(hotkeys.key_hash(F.lit(k))).first()[0] for k in "xy")
+    assert set(whole) == set(merged) == {x, y}
+    assert abs(whole[x] - 20_000) < 200 and abs(merged[y] - 5_714) < 200
+    # Rows with a null among the keys match nothing and are not counted.
+    both = hotkeys.hot_keys(hotkeys.key_sketch(df, ["k", "half"]), 1000)
+    assert sorted(both.values()) == sorted(r[0] for r in df.where("half = 1 and k in ('x', 'y')").groupBy("k").count().select("count").collect())
+    assert hotkeys.hot_keys(hotkeys.key_sketch(df.where("false"), ["k"]), 0) == {}
+
+
+def test_counters_beside_a_table(spark, small_limits, tmp_path):
+    """Counted once, added to with the rows appended, and then the only thing a report asks."""
+    t = hot_tables(spark)
+    for name in ("coin_records", "user_info", "factory_users", "factorys"):
+        t[name].write.parquet(f"{tmp_path}/{name}")
+    stored = ParquetTables(spark, str(tmp_path))
+    assert stored.hot_keys("factory_users", ["phone"], 10) is None
+    want = rows_of(people.coin_ledger(stored).rows())
+    stored.count_keys("factory_users", ["phone"])
+    assert list(stored.hot_keys("factory_users", ["phone"], 10).values()) == [35]
+    hotkeys._known.clear()
+    assert rows_of(people.coin_ledger(stored).rows()) == want
+    assert not hotkeys._known
+    more = t["factory_users"].where("phone = 'hot'").withColumn("phone", F.lit("u3"))
+    stored.count_keys("factory_users", ["phone"], more)
+    more.write.mode("append").parquet(f"{tmp_path}/factory_users")
+    assert sorted(stored.hot_keys("factory_users", ["phone"], 10).values()) == [35, 36]
+    text = people.coin_ledger(stored).rows()._jdf.queryExecution().optimizedPlan().toString()
+    assert "_left_part" in text
+
+
 def test_hot_left_keys_are_split_at_run_time(spark, no_broadcast):
     spark.conf.set("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "2000")
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "2000")
