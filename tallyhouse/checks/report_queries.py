@@ -135,6 +135,7 @@ register(
 )
 # R05
 register_list("r05", people.coin_ledger, o.coin_ledger)
+register("r05_deep_page", lambda t: people.coin_ledger(t).page_by_rank(120, 75), o.coin_ledger().page(120, 75))
 register("r05_total_ref", people.coin_ledger_shown_total, o.coin_ledger_shown_total())
 register_filtered(
     "r05_filtered",
@@ -196,6 +197,7 @@ register(
 )
 # R10
 register_list("r10", operations.finance_flow, o.finance_flow, every=True)
+register("r10_deep_page", lambda t: operations.finance_flow(t).page_by_rank(15, 400), o.finance_flow().page(15, 400))
 register_filtered(
     "r10_filtered", lambda t: operations.finance_flow(t, id="138", name="Customer", company_name="Supp"),
     o.finance_flow("u.phone like '%138%' and u.name like '%Customer%' and f.name like '%Supp%'"),

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyhouse.functions.predicates import all_of, keep
-from tallyhouse.operators import spread
+from tallyhouse.operators import ranks, spread
 from tallyhouse.operators.hotkeys import measured
 from tallyhouse.operators.paging import (
     DEEP_PAGE,
@@ -30,7 +30,7 @@ from tallyhouse.operators.paging import (
     number_rows,
     page_bounds,
 )
-from tallyhouse.operators.scratch import pinned
+from tallyhouse.operators.scratch import pinned, written
 
 Names = str | tuple[str, ...]
 
@@ -90,12 +90,12 @@ class Lookup:
     def attach_for(
         self, head: DataFrame, fixed: DataFrame, upto: int, order: Sequence[str] | None
     ) -> DataFrame:
-        """Attach to a head of ``upto <= DEEP_PAGE`` rows, reading only the keys that ``fixed``, its pinned part, holds.
+        """Attach to a head of which ``upto`` rows count, reading only the keys that ``fixed``, its pinned part, holds.
 
-        The broadcast side is the head's keys, whose number the page bounds whatever the tables hold.
+        The broadcast side is the head's distinct keys, whose number the page bounds whatever the tables hold.
         """
         names = [f"_key{i}" for i in range(len(self.needs))]
-        keys = fixed.select(*[F.col(c).alias(n) for c, n in zip(self.needs, names, strict=True)])
+        keys = fixed.select(*[F.col(c).alias(n) for c, n in zip(self.needs, names, strict=True)]).distinct()
         for n in names:
             keys = keys.where(F.col(n).isNotNull())
         table = self.right if self.build is None else self.source
@@ -177,34 +177,84 @@ class ListReport:
         head = fixed = pinned(first_page_rows(self._joined(first), (self.base_order or self.order).columns(), upto))
         for lookup in later:
             if not set(fixed.columns).issuperset(lookup.needs):
-                # Its keys come from an earlier lookup: fix that result, or its table would be read twice.
-                head = fixed = pinned(head)
+                # Its keys come from an earlier lookup: fix that result, or its table would be read twice. Rows that lookups
+                # have multiplied are cut to the page again where their order is known by now.
+                known = self.order.names if set(self.order.names) <= set(head.columns) else ()
+                head = fixed = pinned(first_page_rows(head, order, upto) if known else head)
             head = lookup.attach_for(head, fixed, upto, self._own_ties(lookup))
         return first_page_rows(head, order, upto)
 
     def page(self, page: int = 1, row: int = 10) -> DataFrame:
         after, upto = page_bounds(page, row)
         if upto > DEEP_PAGE:
-            numbered = self.numbered()
-            return numbered.where((F.col("rn") > after) & (F.col("rn") <= upto)).orderBy("rn")
+            return self.page_by_rank(page, row)
         numbered = number_head(self._head(upto), self.order.columns(), after, upto)
         return numbered.select(*self.output, "rn").orderBy("rn")
 
-    def total(self) -> DataFrame:
-        tested = self._tested()
+    def page_by_rank(self, page: int = 1, row: int = 10) -> DataFrame:
+        """The same page by counting ranges of the sort key: its cost does not depend on how far back it lies.
+
+        Base rows are counted with the rows that lookups make of them, on narrow keys; the base rows of the page are picked
+        and only they are looked up.
+        """
+        after, upto = page_bounds(page, row)
+        first = self._for_tests()
+        later = [lookup for lookup in self.lookups if lookup not in first]
+        if all(lookup.unique for lookup in first):
+            found, skipped = self._base_rows(first, later, after, upto)
+        else:
+            # A filter reads a lookup that multiplies rows: the rows counted are those of the whole join.
+            rows = self.joined()
+            keys = rows.select(*self.order.names, F.lit(1).cast("bigint").alias("_rows"))
+            cut = ranks.cut_for(keys, self.order, after, upto)
+            found, skipped = cut.of(rows), cut.skipped
+        order = self.order.renamed("_sort_")
+        shown = found.select(*self.output, *[F.col(c).alias(f"_sort_{c}") for c in self.order.names])
+        numbered = number_rows(shown, order.columns()).withColumn("rn", (F.col("rn") + skipped).cast("bigint"))
+        return numbered.where((F.col("rn") > after) & (F.col("rn") <= upto)).drop(*order.names).orderBy("rn")
+
+    def _base_rows(self, first: list[Lookup], later: list[Lookup], after: int, upto: int) -> tuple[DataFrame, int]:
+        """The joined rows of all base rows that have rows on the page, and the number of rows in front of them."""
+        order = self.base_order or self.order
+        rows = self._joined(first)
+        kept = self._multiplying(later, set())
+        if kept:
+            needed = {c for lookup in kept for c in lookup.needs}
+            columns = dict.fromkeys([*order.names, *[c for c in rows.columns if c in needed]])
+            start = rows.select(*columns, F.lit(1).cast("bigint").alias("_n"))
+            counted = self._multiplied(start, kept, set(order.names))
+            keys = written(counted.groupBy(*order.names).agg(F.sum("_n").alias("_rows")))
+        else:
+            keys = rows.select(*order.names, F.lit(1).cast("bigint").alias("_rows"))
+        cut = ranks.cut_for(keys, order, after, upto)
+        on_page = ranks.placed(cut.of(keys), order).withColumn("_before", F.col("_before") + cut.skipped)
+        on_page = on_page.where((F.col("_before") < upto) & (F.col("_before") + F.col("_rows") > after))
+        picked = on_page.select(*[F.col(c).alias(f"_at_{c}") for c in order.names], "_before")
+        if upto - after <= DEEP_PAGE:
+            picked = F.broadcast(picked)  # the keys of a page
+        same = [F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in order.names]
+        head = fixed = pinned(cut.of(rows).join(picked, same).drop(*[f"_at_{c}" for c in order.names]))
+        skipped = fixed.agg(F.min("_before")).first()[0] or 0
+        for lookup in later:
+            if not set(fixed.columns).issuperset(lookup.needs):
+                head = fixed = pinned(head)
+            head = lookup.attach_for(head, fixed, upto - skipped, self._own_ties(lookup))
+        return head.drop("_before"), skipped
+
+    def _multiplying(self, lookups: Sequence[Lookup], wanted: set[str]) -> list[Lookup]:
+        """The lookups that decide how many rows there are: those that may multiply rows or that are read by such or by filters."""
         kept: list[Lookup] = []
-        wanted = set(tested)
-        for lookup in reversed(self.lookups):
+        wanted = set(wanted)
+        for lookup in reversed(lookups):
             if not lookup.unique or wanted.intersection(lookup.right.columns):
                 kept.insert(0, lookup)
                 wanted.update(lookup.needs)
-        if not kept:
-            return self.base.agg(F.count(F.lit(1)).alias("total"))
+        return kept
 
-        base_keys = [c for c in self.base.columns if c in wanted]
-        weighted = self.base.groupBy(*base_keys).agg(F.count(F.lit(1)).alias("_n"))
+    def _multiplied(self, weighted: DataFrame, kept: Sequence[Lookup], carried_on: set[str]) -> DataFrame:
+        """``weighted``, whose rows stand for ``_n`` rows each, after the lookups; keeps ``carried_on`` and what later ones need."""
         for i, lookup in enumerate(kept):
-            later = tested.union(*[x.needs for x in kept[i + 1:]])
+            later = carried_on.union(*[x.needs for x in kept[i + 1:]])
             carried = [c for c in lookup.right.columns if c in later and c not in lookup.keys]
             if lookup.unique:
                 right = lookup.right.select(*lookup.keys, *carried, F.lit(1).cast("bigint").alias("_m"))
@@ -215,4 +265,16 @@ class ListReport:
             if i + 1 < len(kept):
                 keys = [c for c in weighted.columns if c in later]
                 weighted = weighted.groupBy(*keys).agg(F.sum("_n").alias("_n"))
+        return weighted
+
+    def total(self) -> DataFrame:
+        tested = self._tested()
+        kept = self._multiplying(self.lookups, tested)
+        if not kept:
+            return self.base.agg(F.count(F.lit(1)).alias("total"))
+
+        wanted = tested.union(*[lookup.needs for lookup in kept])
+        base_keys = [c for c in self.base.columns if c in wanted]
+        weighted = self.base.groupBy(*base_keys).agg(F.count(F.lit(1)).alias("_n"))
+        weighted = self._multiplied(weighted, kept, tested)
         return keep(weighted, self.where).agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("total"))
