@@ -79,11 +79,11 @@ def first_choice(differing: Column) -> Column:
 
 
 def _links_of_small_groups(small: DataFrame) -> DataFrame:
-    a, b = [small.select("choice", "signature", *[F.col(c).alias(f"{s}_{c}") for c in ("word", "n", "packed")]) for s in "ab"]
-    pairs = a.join(b, ["choice", "signature"])
+    a, b = [small.select("signature", *[F.col(c).alias(f"{s}_{c}") for c in ("word", "n", "packed")]) for s in "ab"]
+    pairs = a.join(b, "signature")
     same = F.col("a_packed").bitwiseXOR(F.col("b_packed"))
     sizes = F.char_length("a_word") - F.char_length("b_word")
-    met = (F.col("a_word") < F.col("b_word")) & (F.abs(sizes) <= 1) & (first_choice(same) == F.col("choice"))
+    met = (F.col("a_word") < F.col("b_word")) & (F.abs(sizes) <= 1) & (first_choice(same) == choice_of(F.col("signature")))
     return pairs.where(met & (F.levenshtein("a_word", "b_word", 1) == 1)).select("a_word", "a_n", "b_word", "b_n")
 
 
@@ -92,29 +92,48 @@ def _links_of_large_groups(large: DataFrame) -> DataFrame:
 
     ``at`` is the place of the letter taken out, 0 for the whole word. Two words of one length that are left alike without
     the letter at the same place differ there alone; a word that is left when a longer one loses a letter is that one with a
-    letter deleted. Of equal neighbouring letters the first stands for all, so each link is found once.
+    letter deleted. Of equal neighbouring letters the first stands for all, so each link is found once. Words that are left
+    alike are at most a few for every letter of the alphabet and place; only links among them are emitted.
     """
-    hot = large.groupBy("word", "n", "packed").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), "choice")).alias("hot"))
+    chosen = F.call_function("shiftleft", F.lit(1), choice_of(F.col("signature")).cast("int"))
+    hot = large.groupBy("word", "n", "packed").agg(F.bit_or(chosen).alias("hot"))
     out = hot.select("*", F.explode(F.sequence(F.lit(0), F.char_length("word"))).alias("at"))
     left = F.when(F.col("at") == 0, F.col("word")).otherwise(without_letter(F.col("word"), F.col("at")))
     again = F.substring("word", F.col("at"), F.lit(1)) == F.substring("word", F.col("at") - 1, F.lit(1))
     out = out.withColumn("left", left).withColumn("first", (F.col("at") == 1) | ~again)
-    columns = ("word", "n", "packed", "hot", "at", "first")
-    a, b = [out.select("left", *[F.col(c).alias(f"{s}_{c}") for c in columns]) for s in "ab"]
-    replaced = (F.col("a_at") == F.col("b_at")) & (F.col("a_at") > 0) & (F.col("a_word") < F.col("b_word"))
-    deleted = (F.col("a_at") == 0) & (F.col("b_at") > 0) & F.col("b_first")
-    choice = first_choice(F.col("a_packed").bitwiseXOR(F.col("b_packed")))
-    shared = F.call_function("shiftright", "a_hot", choice).bitwiseAND(F.lit(1)) == 1
-    return a.join(b, "left").where((replaced | deleted) & shared).select("a_word", "a_n", "b_word", "b_n")
+    member = F.struct("word", "n", "packed", "hot", "at", "first")
+    alike = out.groupBy("left").agg(F.collect_list(member).alias("members")).where(F.size("members") > 1)
+    a = F.col("a")
+
+    def linked(b: Column) -> Column:
+        replaced = (a["at"] == b["at"]) & (a["at"] > 0) & (a["word"] < b["word"])
+        deleted = (a["at"] == 0) & (b["at"] > 0) & b["first"]
+        choice = first_choice(a["packed"].bitwiseXOR(b["packed"]))
+        return (replaced | deleted) & (F.call_function("shiftright", a["hot"], choice).bitwiseAND(F.lit(1)) == 1)
+
+    pairs = alike.select("members", F.explode("members").alias("a"))
+    pairs = pairs.select("a", F.explode(F.filter("members", linked)).alias("b"))
+    return pairs.select(*[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in ("word", "n")])
+
+
+def choice_of(signature: Column) -> Column:
+    return F.shiftrightunsigned(signature, BITS * PARTS)
 
 
 def near_words(words: DataFrame, group: int = GROUP) -> DataFrame:
-    """Rows (a_word, a_n, b_word, b_n): every pair of distinct words exactly one edit apart, once. Words must not repeat."""
+    """Rows (a_word, a_n, b_word, b_n): every pair of distinct words exactly one edit apart, once. Words must not repeat.
+
+    A signature is one number: the bits of the chosen partitions below, the number of the choice above them.
+    """
     vectors = words.select("word", "n", packed_vector(F.col("word")).alias("packed"))
-    choices = F.array(*[F.struct(F.lit(i).alias("choice"), F.col("packed").bitwiseAND(F.lit(m)).alias("signature"))
-                        for i, m in enumerate(MASKS)])
-    signed = vectors.select("word", "n", "packed", F.inline(choices))
-    signed = signed.withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy("choice", "signature")))
+    signatures = [
+        F.col("packed").bitwiseAND(F.lit(mask)).bitwiseOR(F.shiftleft(F.lit(i).cast("bigint"), BITS * PARTS))
+        for i, mask in enumerate(MASKS)
+    ]
+    signed = vectors.select("word", "n", "packed", F.explode(F.array(*signatures)).alias("signature"))
+    # Written out so that all readers of the signatures ask for the same shuffle, which then runs once.
+    signed = signed.where(F.col("signature").isNotNull())
+    signed = signed.withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy("signature")))
     small = _links_of_small_groups(signed.where(F.col("_size") <= group))
     return small.unionByName(_links_of_large_groups(signed.where(F.col("_size") > group)))
 
