@@ -18,9 +18,16 @@ from tallyhouse.llm.queries import prepared, table
 from tallyhouse.llm.suffix_dedup import without_repeats
 from tallyhouse.llm.toxicity import fit_severity, graded
 
+# Passages of over 50 words go. Such a passage takes 285 bytes and more in texts of European languages (5.7 a word); the
+# length is set below that, so that one which starts or ends inside a word is found as well.
+REPEAT_BYTES = 250
+
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the severity model holds toxic go; the model learns from the labels of the documents at hand."""
+    """Documents that the severity model holds toxic go; the model learns from the labels of the documents at hand.
+
+    Every row is judged by its text alone, repeated rows alike; a null text is an empty one and stays. No documents give none.
+    """
     prepared(spark)
     model = fit_severity(docs, table(spark, sf_dir, "labels"))
     judged = graded(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text"), model)
@@ -37,19 +44,25 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that repeat go from every text that has them; the documents stay."""
+    """Passages of ``REPEAT_BYTES`` bytes and more that repeat go from every text that has them; the documents stay.
+
+    Null and empty texts stay as they are, repeated rows lose their whole text, ids play no part; no documents give none.
+    """
     prepared(spark)
-    return without_repeats(docs)
+    return without_repeats(docs, REPEAT_BYTES)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of the sources: documents come once for each pass over their source that takes words of them."""
+    """The mix of the sources: documents come once for each pass over their source that takes words of them.
+
+    Documents without words are never taken; a null source is one of its own. No documents give none.
+    """
     prepared(spark)
     return mixed_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of the mix in training sequences."""
+    """Token pieces of the mix in training sequences; a null text is an empty document. No documents give none."""
     prepared(spark)
     return packed_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
