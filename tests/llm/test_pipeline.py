@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import random
 from collections import Counter
 
 import corpus_pipeline
 import pytest
 
-from llm.conftest import ODD, SF
+from llm.conftest import ODD, SF, documents
 from llm.test_texts import near_brute, repeats_brute, words
 
 
@@ -45,7 +46,7 @@ def test_one_document_of_each_group_stays(stages):
 def test_repeats_go(stages):
     _, docs, rows = stages[2]
     before = [(r.doc_id, r.text, r.source) for r in docs.collect()]
-    want = {i: n - gone for i, n, gone, _, _ in repeats_brute(before, 400)}
+    want = {i: n - gone for i, n, gone, _, _ in repeats_brute(before, corpus_pipeline.REPEAT_BYTES)}
     for r in rows.collect():
         assert abs(len((r.text or "").encode()) - want[r.doc_id]) <= 6
 
@@ -73,3 +74,19 @@ def test_odd_rows_go_through(spark, odd, none):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_passages_of_over_fifty_words_go(spark):
+    """A passage of 51 words that two clean texts share goes from both, whatever stands around it."""
+    rng = random.Random(51)
+    def prose(n):
+        return " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 9))) for _ in range(n))
+
+    for _ in range(3):
+        passage, own = prose(51), [prose(60) for _ in range(4)]
+        rows = [(1, f"{own[0]} {passage} {own[1]}", "a"), (2, f"{own[2]} {passage}. {own[3]}", "b"), (3, prose(200), "a")]
+        got = {r.doc_id: r.text for r in corpus_pipeline.suffix_dedup(spark, documents(spark, rows), SF).collect()}
+        assert got[3] == rows[2][1]
+        for i, (before, after) in ((1, own[:2]), (2, own[2:])):
+            assert got[i].startswith(before[:-1]) and got[i].endswith(after)
+            assert len(got[i]) <= len(before) + len(after) + 3
