@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.functions.predicates import given, is_phone
 from tallyhouse.functions.values import blank, message, uploaded_id, uploads
+from tallyhouse.operators.asof import around
 from tallyhouse.operators.changes import (
     accepted,
     append,
@@ -100,13 +101,12 @@ def _round(undecided: DataFrame, done: DataFrame, members: DataFrame, admins: Da
     # What others have asked (undecided) or achieved (done) on those companies.
     mine = touched.join(lead, c("gx") == c("lx"))
     waiting = mine.join(_first_of_others(undecided), c("g") == c("uf"), "left")
-    events = done.select(c("f").alias("ef"), c("o").alias("eo"), c("x").alias("ex"))
-    history = mine.join(events, c("g") == c("ef")).groupBy(c("gx").alias("hx"), c("g").alias("hg")).agg(
-        F.max(F.when(c("eo") < c("lo"), F.struct("eo", "ex"))).alias("before"),
-        F.min(F.when((c("eo") > c("lo")) & (c("ex") != c("gx")), c("eo"))).alias("next_done"),
+    moments = mine.select(c("g").alias("f"), c("lo").alias("o"), c("gx").alias("x"))
+    history = around(moments, done.select("f", "o", "x"), "f", "o", "x").select(
+        c("x").alias("hx"), c("f").alias("hg"), "before", c("next_other").alias("next_done")
     )
     asked_by_others = F.when(c("u1_x") != c("gx"), c("u1")).otherwise(c("u2"))
-    holds = F.when(c("before").isNull(), c("at_start")).otherwise(c("before.ex") == c("gx"))
+    holds = F.when(c("before").isNull(), c("at_start")).otherwise(c("before.who") == c("gx"))
     counted = (
         waiting.join(history, (c("gx") == c("hx")) & (c("g") == c("hg")), "left")
         .groupBy(c("gx").alias("cx"))
