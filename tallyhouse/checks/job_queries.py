@@ -354,24 +354,32 @@ register_job(
 )
 
 # J14: one request after the other, keeping the list of accounts already deleted.
-_J14 = f"""recursive s as (select phone as sp, username as su from fx_bg_user where rights = '0'),
-    q as (select a.*, (select min(sp) from s where case when {phone_ok('a.phone')} then sp else su end = a.actor) as who,
-        row_number() over (order by req_time, req_id) as n from fx_req_account_delete a),
+def _j14(batch: str) -> str:
+    return f"""recursive s as (select phone as sp, username as su from fx_bg_user where rights = '0'),
+    q as (select a.*, case when {phone_ok('a.phone')} then (select min(sp) from s where sp = a.actor)
+            else (select case when bool_and(sp is not null) then min(sp) end from s where su = a.actor) end as who,
+        case when {phone_ok('a.phone')} then exists (select 1 from s where sp = a.actor)
+            else exists (select 1 from s where su = a.actor) end as known,
+        row_number() over (order by req_time, req_id) as n from fx_{batch} a),
     run(n, gone, req_id, ok) as (
         select cast(0 as bigint), cast([] as varchar[]), cast(null as bigint), false
         union all
-        select q.n, case when q.who is not null and not list_contains(run.gone, q.who) and not list_contains(run.gone, q.phone)
+        select q.n, case when q.known and not coalesce(list_contains(run.gone, q.who), false) and not list_contains(run.gone, q.phone)
                 then list_append(run.gone, q.phone) else run.gone end,
-            q.req_id, q.who is not null and not list_contains(run.gone, q.who)
+            q.req_id, q.known and not coalesce(list_contains(run.gone, q.who), false)
         from run join q on q.n = run.n + 1),
     r as (select q.req_id, q.phone, case when q.phone is null then 'missing phone' when not run.ok then 'not allowed' end as reason
         from q join run on q.req_id = run.req_id)"""
+
+
+_J14_ACCOUNTS = (
+    "bg_user", "select * from fx_bg_user where phone is null or phone not in (select phone from r where reason is null)",
+)
+register_job("j14", company_jobs.delete_admin_accounts, "req_account_delete", _j14("req_account_delete"), accounts=_J14_ACCOUNTS)
+# Actors that sign in by name, some of them accounts without a phone.
 register_job(
-    "j14", company_jobs.delete_admin_accounts, "req_account_delete", _J14,
-    accounts=(
-        "bg_user",
-        "select * from fx_bg_user where phone not in (select phone from r where reason is null)",
-    ),
+    "j14_no_phone", company_jobs.delete_admin_accounts, "req_account_delete_by_name", _j14("req_account_delete_by_name"),
+    accounts=_J14_ACCOUNTS,
 )
 
 # J15

@@ -198,8 +198,8 @@ STATE: dict[str, str] = {
         cast(n_nationkey % 2 as string) as state, cast(1550073600 + n_regionkey as bigint) as time from nation
     """,
     "bg_user": """
-        select concat('u', cast(c_custkey as string)) as username, concat('138', lpad(cast(c_custkey as string), 8,
-        '0')) as phone, c_name as name, case when c_custkey % 50 = 0 then '0' else '1' end as rights, cast(1550073600
+        select concat('u', cast(c_custkey as string)) as username, case when c_custkey % 250 <> 0 then concat('138',
+        lpad(cast(c_custkey as string), 8, '0')) end as phone, c_name as name, case when c_custkey % 50 = 0 then '0' else '1' end as rights, cast(1550073600
         + (c_custkey * 1368787) % 6000000 as bigint) as time from customer
     """,
     "base_clients_pool": """
@@ -337,6 +337,12 @@ REQUESTS |= {
             case when c_custkey % 17 = 0 then 'u50' else {_phone('c_custkey * 7 % 40 * 25')} end as phone, {_CUSTOMER_TIME}
         from customer where c_custkey % 5 <> 0
     """,
+    "req_account_delete_by_name": f"""
+        select c_custkey as req_id, concat('u', cast(c_custkey % 40 * 25 as string)) as actor,
+            case when c_custkey % 11 = 0 then null when c_custkey % 3 = 0 then {_phone('c_custkey % 20 * 50')} else 'u50' end as phone,
+            {_CUSTOMER_TIME}
+        from customer
+    """,
     "req_account_rename": f"""
         select c_custkey as req_id, {_phone('c_custkey % 90 * 25')} as phone,
             case when c_custkey % 8 = 0 then null else concat('renamed ', cast(c_custkey as string)) end as new_name, {_CUSTOMER_TIME}

@@ -73,25 +73,28 @@ def delete_admin_accounts(t: Tables, requests: DataFrame) -> JobResult:
     by phone, anything else by user name.
 
     A deleted super account cannot act any more, so deletions of super accounts decide later requests of those accounts.
+    Accounts are deleted by phone: a super account without one acts by its name and stays. Of several super accounts of one
+    name one without a phone acts, else the one with the smallest phone.
     """
     c = F.col
-    supers = _super_accounts(t).where(c("phone").isNotNull()).select(
-        c("phone").alias("super_phone"), c("username").alias("super_name")
+    supers = _super_accounts(t).select(c("phone").alias("super_phone"), c("username").alias("super_name"))
+    by_phone = supers.where(c("super_phone").isNotNull()).select(
+        F.lit(True).alias("_phone_key"), c("super_phone").alias("_key"), "super_phone"
     )
-    by_name = supers.where(c("super_name").isNotNull()).groupBy("super_name").agg(F.min("super_phone").alias("super_phone"))
-    keyed = (
-        supers.select(F.lit(True).alias("_phone_key"), c("super_phone").alias("_key"), "super_phone")
-        .unionByName(by_name.select(F.lit(False).alias("_phone_key"), c("super_name").alias("_key"), "super_phone"))
+    lasting = F.max(c("super_phone").isNull())
+    by_name = supers.where(c("super_name").isNotNull()).groupBy("super_name").agg(
+        F.when(~lasting, F.min("super_phone")).alias("super_phone")
     )
+    keyed = by_phone.unionByName(by_name.select(F.lit(False).alias("_phone_key"), c("super_name").alias("_key"), "super_phone"))
     asked = requests.withColumn("_by_phone", is_phone(c("phone")))
     found = asked.join(
         keyed, (asked["_by_phone"] == keyed["_phone_key"]) & (asked["actor"] == keyed["_key"]), "left"
     ).withColumn("_order", request_order())
-    able = found.where(c("super_phone").isNotNull() & c("phone").isNotNull())
+    able = found.where(c("_key").isNotNull() & c("phone").isNotNull())
 
     # Only deletions of super accounts matter to others, and of equal ones only the first.
     first_of_pair = (
-        able.join(supers.select(c("super_phone").alias("_target")), c("phone") == c("_target"), "left_semi")
+        able.join(by_phone.select(c("super_phone").alias("_target")), c("phone") == c("_target"), "left_semi")
         .groupBy(c("super_phone").alias("actor_phone"), c("phone").alias("target")).agg(F.min("_order").alias("_order"))
     )
     settled = settle(first_of_pair, "_order", blocks=["target"], blocked_by=["actor_phone"])
@@ -100,7 +103,7 @@ def delete_admin_accounts(t: Tables, requests: DataFrame) -> JobResult:
         judged(
             found.join(gone, found["super_phone"] == gone["_gone"], "left"),
             ("missing phone", c("phone").isNull()),
-            ("not allowed", c("super_phone").isNull() | F.coalesce(c("_gone_at") < c("_order"), F.lit(False))),
+            ("not allowed", c("_key").isNull() | F.coalesce(c("_gone_at") < c("_order"), F.lit(False))),
         )
     )
     ok = accepted(checked)

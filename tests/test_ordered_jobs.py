@@ -71,11 +71,14 @@ def test_delete_admin_accounts(spark, seed):
         {"username": f"u{i}", "phone": PHONES[i] if i < 6 else "short", "rights": "0" if i < 5 else "1", "name": "n", "time": 1}
         for i in range(7)
     ]
-    actors = [a["phone"] for a in accounts] + [a["username"] for a in accounts] + ["nobody"]
-    targets = [a["phone"] for a in accounts] + ["u1", "13899999999", None]
+    accounts += [
+        {"username": name, "phone": None, "rights": rights, "name": "n", "time": 1} for name, rights in (("admin", "0"), ("clerk", "1"))
+    ]
+    actors = [a["phone"] for a in accounts if a["phone"]] + [a["username"] for a in accounts] + ["nobody"]
+    targets = [a["phone"] for a in accounts if a["phone"]] + ["u1", "13899999999", None]
     rows = [(i, rnd.choice(actors), rnd.choice(targets), rnd.randrange(9)) for i in range(50)]
     t = HandTables(spark, bg_user=accounts)
-    alive, want = {a["phone"]: a for a in accounts}, set()
+    alive, want = {a["phone"] or a["username"]: a for a in accounts}, set()
     for req, actor, target, _ in in_order(rows):
         if target is None:
             continue
@@ -87,7 +90,7 @@ def test_delete_admin_accounts(spark, seed):
     result = delete_admin_accounts(t, requests(spark, "req_id long, actor string, phone string, req_time long", rows))
     ok, _ = accepted_ids(result)
     assert ok == want
-    assert {r["phone"] for r in result.table(t, "bg_user").collect()} == set(alive)
+    assert {r["phone"] or r["username"] for r in result.table(t, "bg_user").collect()} == set(alive)
 
 
 @pytest.mark.parametrize("seed", [0, 1, 5, 6, 7, 10])
