@@ -8,6 +8,7 @@ import re
 import pytest
 
 from tallyhouse.constants import PHONE_PATTERN
+from tallyhouse.operators import scratch, settle
 from tallyhouse.plans.company_changes import modify_companies
 from tallyhouse.plans.company_jobs import (
     add_companies,
@@ -64,6 +65,46 @@ def test_add_companies(spark, seed):
     assert result.table(t, "factorys").count() == 2 + len(want)
 
 
+def walked(rows):
+    taken, won = set(), set()
+    for o, *keys in sorted(rows):
+        if not taken & set(keys):
+            won.add(o)
+            taken |= set(keys) - {None}
+    return won
+
+
+def test_a_chain_of_requests_is_not_settled_round_by_round(spark, monkeypatch):
+    """Each of 2,000 requests conflicts with the one before it alone, so no two could be decided in one round."""
+    touched = []
+
+    def watched(df):
+        out = scratch.written(df)
+        touched.append(out.count())
+        return out
+
+    monkeypatch.setattr(settle, "written", watched)
+    n = 2_000
+    rows = [(i, f"a{i // 2}", f"t{(i + 1) // 2}") for i in range(n)]
+    df = spark.createDataFrame(rows, "o long, a string, t string")
+    got = settle.settle(df, "o", ["a", "t"], ["a", "t"])
+    assert {r["o"] for r in got.where("accepted").collect()} == walked(rows) == set(range(0, n, 2))
+    assert sum(touched) <= 5 * n
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_walks_and_rounds_agree(spark, monkeypatch, seed):
+    """Blocks far smaller than the chains, several chains beside free requests, null keys."""
+    monkeypatch.setattr(settle, "BLOCK", 40)
+    monkeypatch.setattr(settle, "STALLED", 0.3 if seed else 0.9)
+    rng = random.Random(seed)
+    rows = [(3 * i, f"a{i // 2}", f"t{(i + 1) // 2}") for i in range(90)]
+    rows += [(3 * i + 1, f"b{rng.randrange(60)}", rng.choice([None, f"a{rng.randrange(45)}", f"t{rng.randrange(45)}"])) for i in range(90)]
+    got = settle.settle(spark.createDataFrame(rows, "o long, a string, t string"), "o", ["a", "t"], ["a", "t"])
+    assert got.count() == len(rows)
+    assert {r["o"] for r in got.where("accepted").collect()} == walked(rows)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_delete_admin_accounts(spark, seed):
     rnd = random.Random(seed)
