@@ -98,10 +98,17 @@ def fit_tree(sample: np.ndarray, leaf: int, branches: int = BRANCHES, seed: int
 
 
 def _scores(queries: np.ndarray, docs: np.ndarray, names: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each query the names and products of its best ``k`` rows; each product is summed on its own, in one order."""
+    """For each query the names and products of its best ``k`` rows, ties to the smaller name.
+
+    Each product is summed on its own, in one order. All rows whose rough product is within rounding of the k-th are summed
+    so, however many tie there.
+    """
     rough = queries @ docs.T
+    largest = np.abs(docs).max(axis=0, initial=0)
+    slack = 4 * np.finfo(float).eps * docs.shape[1] * (np.abs(queries) @ largest)
     for q, row in enumerate(rough):
-        near = np.argpartition(-row, min(k + 8, len(row)) - 1)[: k + 8]
+        least = np.partition(row, len(row) - k)[len(row) - k] if k < len(row) else -np.inf
+        near = np.flatnonzero(row >= least - slack[q])
         exact = (docs[near] * queries[q]).sum(axis=1)
         best = np.lexsort((names[near], -exact))[:k]
         yield names[near][best], exact[best]
@@ -222,7 +229,8 @@ def _calibrated(indexed: DataFrame, tree: Tree, width: int, k: int, recall: floa
             leaf = dict(zip(names.tolist(), own["leaf"].tolist(), strict=True))
             for q, (found, scores) in enumerate(_scores(queries, docs, names, k + 1)):
                 rows = pd.DataFrame({"asked": asked[q], "name": found, "score": scores, "leaf": [leaf[n] for n in found]})
-                best[q] = pd.concat([best[q], rows]).nlargest(k + 1, "score") if q in best else rows
+                rows = pd.concat([best[q], rows]) if q in best else rows
+                best[q] = rows.sort_values(["score", "name"], ascending=[False, True]).head(k + 1)
         yield from best.values()
 
     near = indexed.select("name", "v", "leaf").mapInPandas(scan, "asked long, name long, score double, leaf long")
