@@ -46,14 +46,17 @@ def _after_scheme(url: Column) -> Column:
 
 
 def tokens(url: Column, host: Column, path: Column) -> Column:
-    """Distinct tokens of a url: ``h:`` for the host and each of its suffixes, ``p:`` path segments with letters, ``q:`` keys."""
+    """Distinct tokens of a url: ``h:`` for the host and each of its suffixes, ``p:`` path segments with a letter, ``q:`` keys.
+
+    A number, also with a file ending, names one page and is left out.
+    """
     labels = F.split(host, r"\.")
     n = F.size(labels)
     suffixes = F.transform(
         F.sequence(F.lit(1), n), lambda i: F.concat(F.lit("h:"), F.array_join(F.slice(labels, i, n), "."))
     )
     segments = F.transform(
-        F.filter(F.split(path, "/"), lambda s: s.rlike("^[^0-9]+$")), lambda s: F.concat(F.lit("p:"), s)
+        F.filter(F.split(path, "/"), lambda s: s.rlike(r"\p{L}") & ~s.rlike(r"^[0-9]+\.[^.]*$")), lambda s: F.concat(F.lit("p:"), s)
     )
     query = F.regexp_extract(_after_scheme(url), r"^[^?#]*\?([^#]*)", 1)
     keys = F.transform(
@@ -95,7 +98,8 @@ def judged_urls(pages: DataFrame, labels: DataFrame, listed=LISTED) -> DataFrame
     A listed rule fits its host and all subdomains if the path starts with the rule's; of several the longest text wins. Its
     verdict counts; elsewhere a url is blocked when a mined rule holds (``confidence`` tells how sure) and allowed otherwise.
     Labels belong to the page of the same id; a page is bad when its label's quality is 0 or it is toxic. Null and malformed
-    urls have empty host and path and no tokens and are allowed. Equal urls are judged once; repeated rows each give a row.
+    urls have empty host and path and no tokens and are allowed. Equal urls are judged once; repeated rows each give a row. An
+    empty table of pages gives no rows, one of labels no mined rules. Other columns play no part, whatever their names.
     """
     read = pages.select(F.col("page_id"), F.col("url"), url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
     read = read.withColumn("tokens", tokens(F.col("url"), F.col("host"), F.col("path")))
