@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.llm.common import written
+from tallyhouse.llm.url_rules import url_host, url_path
 
 SAMPLE = 20_000  # labelled documents that the classifier is fit on at most
 LIMIT = 12.0  # largest log-odds of the classifier, either way
@@ -76,10 +77,8 @@ def fit_evidence(shapes: np.ndarray, good: np.ndarray, penalty: float = 1.0, tur
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
-    """Lower-cased host and first path segment of a url; empty where there is none."""
-    rest = F.when(F.instr(url, "://") > 0, F.substring_index(url, "://", -1)).otherwise(F.lit(""))
-    host = F.lower(F.regexp_extract(rest, r"^([^/?#]*)", 1))
-    return host, F.regexp_extract(rest, r"^[^/?#]*/([^/?#]*)", 1)
+    """Lower-cased host and first path segment of a url, from its first ``://`` on; empty where there is none."""
+    return url_host(url), F.regexp_extract(url_path(url), r"^/([^/]*)", 1)
 
 
 def judged(documents: DataFrame, labels: DataFrame, pages: DataFrame, limit: int = SAMPLE) -> DataFrame:
@@ -88,7 +87,8 @@ def judged(documents: DataFrame, labels: DataFrame, pages: DataFrame, limit: int
     The site of a document is the url of the page with its id (the smallest, if there are several); without one, its source
     stands for the host. ``quality`` is the probability of a good document, ``kept`` whether it is at least one half. Null
     and empty texts have the shape zero and are judged like any other; null ids and sources belong to the empty site. Several
-    labels of one document count by their smallest; labels other than 0 and 1 are ignored. Other columns are ignored.
+    labels of one document count by their smallest; labels other than 0 and 1 are ignored. An empty table of documents
+    gives no rows; without labels or pages all are judged alike. Other columns are ignored.
     """
     told = labels.where("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
         F.min("quality").alias("quality")
