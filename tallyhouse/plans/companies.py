@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tallyhouse.constants import EDITABLE_RIGHTS, IMAGE_BASE, PLAIN_ADMIN, SUPER_ADMIN
 from tallyhouse.functions.arrays import array_text, capability_labels, right_labels
-from tallyhouse.functions.predicates import closed_range, contains, keep
+from tallyhouse.functions.days import within
+from tallyhouse.functions.predicates import contains, keep
 from tallyhouse.functions.values import blank, image_url
 from tallyhouse.operators.listing import ListReport, Lookup
 from tallyhouse.operators.paging import first_page_rows, newest_first, number_rows, page_bounds
@@ -30,7 +31,7 @@ def company_applications(
     applicants = keep(
         t["user_info"], contains(c("name"), username, always=True), contains(c("phone"), id, always=True)
     ).select(c("phone").alias("applicant_phone"))
-    asked = keep(t["bg_examine"], contains(c("name"), name, always=True), closed_range(c("time"), stime, etime))
+    asked = keep(t["bg_examine"], contains(c("name"), name, always=True), within(t["bg_examine"], "time", stime, etime))
     return ListReport(
         base=asked.join(applicants, c("id") == c("applicant_phone"), "left_semi"),
         lookups=[user(t, "id")],

@@ -13,7 +13,7 @@ from tallyhouse.constants import (
     TIME_ZONE,
 )
 from tallyhouse.functions.arrays import array_text
-from tallyhouse.functions.days import DAY, daily_counts, day_start
+from tallyhouse.functions.days import DAY, daily_counts, day_start, within
 from tallyhouse.functions.predicates import all_of, closed_range, contains, equals, keep
 from tallyhouse.functions.values import blank, image_url, image_urls, percent, zero_as_null
 from tallyhouse.operators.listing import ListReport, Lookup
@@ -35,7 +35,7 @@ def identity_reviews(
         t["user_auth"],
         contains(c("phone"), id, always=True),
         contains(c("name"), name, always=True),
-        closed_range(c("time"), start, endt),
+        within(t["user_auth"], "time", start, endt),
         equals(c("country"), country),
     )
     return ListReport(
@@ -74,7 +74,7 @@ def users(
         t["user_info"],
         contains(c("phone"), id, always=True),
         contains(c("name"), name, always=True),
-        closed_range(c("time"), stime, etime),
+        within(t["user_info"], "time", stime, etime),
         closed_range(c("coin"), sdsd, edsd),
     )
     return ListReport(
@@ -101,7 +101,9 @@ def user_figures(t: Tables, as_of: int, tz: str = TIME_ZONE) -> DataFrame:
     people = t["user_info"].agg(
         F.count("phone").alias("total_users"), F.count(F.when(is_new, c("phone"))).alias("new_users")
     )
-    log = t["user_activity_log"].where(c("time") > day_start(as_of, 6, tz)).agg(F.count("phone").alias("active_users"))
+    since = day_start(as_of, 6, tz)
+    log = t["user_activity_log"]
+    log = log.where((c("time") > since) & within(log, "time", since, None, tz)).agg(F.count("phone").alias("active_users"))
     # One pass over each table, the two single rows laid over each other.
     figures = people.unionByName(log, allowMissingColumns=True)
     names = ("total_users", "new_users", "active_users")
@@ -186,7 +188,7 @@ def feedback(
 ) -> ListReport:
     c = F.col
     base = keep(
-        t["user_feedback"], contains(c("phone"), id, always=True), closed_range(c("time"), stime, etime)
+        t["user_feedback"], contains(c("phone"), id, always=True), within(t["user_feedback"], "time", stime, etime)
     )
     return ListReport(
         base=base,

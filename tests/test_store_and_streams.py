@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from decimal import Decimal
 
 import pytest
@@ -16,7 +17,7 @@ from tallyhouse.plans.content_jobs import decode_image_payloads, write_images
 from tallyhouse.plans.jobs import commit
 from tallyhouse.sources import sinks
 from tallyhouse.sources.store import CHANGE_MESSAGES, REQUEST_LOG, StaleSnapshot, TableStore, partition_by_day
-from tallyhouse.sources.tables import range_predicates
+from tallyhouse.sources.tables import ParquetTables, range_predicates
 from tallyhouse.streaming import messages
 from tallyhouse.streaming.apply import apply_requests, apply_stream
 
@@ -186,6 +187,37 @@ def test_day_folders_prune(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(day" in text
 
 
+def test_time_windows_read_only_their_days(spark, tmp_path):
+    """Reports over tables in day folders: the same rows, and a partition filter in every scan with a time window."""
+    t, as_of = StandIns(spark, SF), 1706500000
+    names = ("user_activity_log", "user_feedback", "user_auth", "bg_examine", "user_info")
+    for name in names:
+        odd = t[name].limit(3).withColumn("time", F.lit(None).cast("long")).unionByName(t[name].limit(2).withColumn("time", F.lit(-5).cast("long")))
+        partition_by_day(t[name].unionByName(odd), "time", f"{tmp_path}/{name}", TIME_ZONE)
+    tables = {name: t[name] for name in t}
+    stored = {**tables, **{name: ParquetTables(spark, str(tmp_path))[name] for name in names}}
+    flat = {**stored, **{name: stored[name].drop("day") for name in names}}
+    low, high = 1704100000, 1706000000
+    spread = t["bg_examine"].agg(F.expr("percentile(time, array(0.3, 0.6))").alias("p")).first()["p"]
+    reports = {
+        "user_activity_log": lambda x: people.active_users_daily(x, as_of),
+        "user_info": lambda x: people.users(x, stime=int(spread[0]), etime=int(spread[1])).rows(),
+        "user_feedback": lambda x: people.feedback(x, stime=low, etime=high).rows(),
+        "user_auth": lambda x: people.identity_reviews(x, start=low, endt=high).rows(),
+        "bg_examine": lambda x: companies.company_applications(x, stime=int(spread[0]), etime=int(spread[1])).rows(),
+    }
+    for name, report in reports.items():
+        assert sorted(map(repr, report(stored).collect())) == sorted(map(repr, report(flat).collect())), name
+        text = report(stored)._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"PartitionFilters: \[[^]]*day#\d+ >=", text), name
+    figures = people.user_figures(stored, as_of)
+    assert figures.collect() == people.user_figures(flat, as_of).collect()
+    assert re.search(r"PartitionFilters: \[[^]]*day#\d+ >=", figures._jdf.queryExecution().executedPlan().toString())
+    # Limits that are no dates, and none at all, prune nothing and lose nothing.
+    for stime, etime in ((0, None), (-10, 10**15)):
+        assert people.feedback(stored, stime=stime, etime=etime).rows().count() == people.feedback(flat, stime=stime, etime=etime).rows().count()
+
+
 def test_images_are_written_by_environment(spark, tmp_path):
     t = StandIns(spark, SF)
     images = decode_image_payloads(t["req_upload"], "req_id", "payload")
