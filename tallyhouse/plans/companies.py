@@ -12,7 +12,7 @@ from tallyhouse.functions.predicates import contains, keep
 from tallyhouse.functions.values import blank, image_url
 from tallyhouse.operators.listing import ListReport, Lookup
 from tallyhouse.operators.paging import first_page_rows, newest_first, number_rows, page_bounds
-from tallyhouse.plans.lookups import Tables, company, picked, user
+from tallyhouse.plans.lookups import Tables, company, picked, searched, user
 
 
 def company_names(t: Tables) -> DataFrame:
@@ -74,7 +74,7 @@ def companies(
     """Companies with the application of their only administrator and the number of ordinary admins."""
     c = F.col
     base = keep(
-        t["factorys"].withColumn("admin_text", array_text(c("administrators"))),
+        searched(t, "factorys", title=company_name).withColumn("admin_text", array_text(c("administrators"))),
         contains(c("title"), company_name),
         contains(c("admin_text"), administrators),
     )

@@ -42,3 +42,9 @@ def kept_counters(t: Tables, table: str, *keys: str) -> Callable[[int], Mapping[
 
 def named(t: Tables, table: str, left_on: str, prefix: str, *columns: str) -> Lookup:
     return Lookup(picked(t[table], prefix, "id", *columns), left_on, f"{prefix}id", unique=True)
+
+
+def searched(t: Tables, table: str, **texts: str | None) -> DataFrame:
+    """A table about to be filtered by substrings of columns: by its postings, where ``t`` keeps any that help, cut first."""
+    cut = getattr(t, "cut_by_text", None)
+    return cut(table, texts) if cut and any(texts.values()) else t[table]

@@ -18,7 +18,7 @@ from tallyhouse.functions.predicates import all_of, closed_range, contains, equa
 from tallyhouse.functions.values import blank, image_url, image_urls, percent, zero_as_null
 from tallyhouse.operators.listing import ListReport, Lookup
 from tallyhouse.operators.paging import newest_first
-from tallyhouse.plans.lookups import Tables, company, membership, picked, user
+from tallyhouse.plans.lookups import Tables, company, membership, picked, searched, user
 
 REVIEW_STATES = ("1", "2", "3")
 
@@ -31,11 +31,12 @@ def identity_reviews(
     if state and state not in REVIEW_STATES:
         raise ValueError("state must be 1, 2 or 3")
     c = F.col
+    papers = searched(t, "user_auth", phone=id, name=name)
     base = keep(
-        t["user_auth"],
+        papers,
         contains(c("phone"), id, always=True),
         contains(c("name"), name, always=True),
-        within(t["user_auth"], "time", start, endt),
+        within(papers, "time", start, endt),
         equals(c("country"), country),
     )
     return ListReport(
@@ -70,11 +71,12 @@ def users(
 ) -> ListReport:
     """Users with their balance and companies; one row per membership."""
     c = F.col
+    found = searched(t, "user_info", phone=id, name=name)
     base = keep(
-        t["user_info"],
+        found,
         contains(c("phone"), id, always=True),
         contains(c("name"), name, always=True),
-        within(t["user_info"], "time", stime, etime),
+        within(found, "time", stime, etime),
         closed_range(c("coin"), sdsd, edsd),
     )
     return ListReport(

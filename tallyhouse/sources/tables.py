@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.operators.hotkeys import combined, hot_keys, key_sketch
 from tallyhouse.schema import TABLES
+from tallyhouse.sources.textindex import TextIndex
 
 
 class ParquetTables(Mapping[str, DataFrame]):
@@ -37,6 +38,17 @@ class ParquetTables(Mapping[str, DataFrame]):
             return None
         return hot_keys(combined(self._spark.read.parquet(folder)), rows)
 
+    def _text_index(self, name: str) -> TextIndex:
+        return TextIndex(self._spark, f"{self._root}/_text_index/{name}")
+
+    def index_text(self, name: str, key: str, columns: Sequence[str], buckets: int = 64) -> None:
+        """Makes the table's postings for substring filters on ``columns``; to be made again when the table has changed."""
+        self._text_index(name).build(self[name], key, columns, buckets)
+
+    def cut_by_text(self, name: str, texts: Mapping[str, str | None]) -> DataFrame:
+        """The table, or what postings leave of it for substring filters; the filters themselves are still to be applied."""
+        return self._text_index(name).cut(self[name], texts)
+
     def __iter__(self) -> Iterator[str]:
         return iter(TABLES)
 
