@@ -89,8 +89,10 @@ def fit_severity(documents: DataFrame, labels: DataFrame, limit: int = SAMPLE) -
 
     The labels say yes or no. Severity has three grades: 0 not toxic; of the toxic documents, 2 are those with at least the
     median number of telling features, 1 the others. Without both kinds of label, or without telling features, nothing is
-    held toxic.
+    held toxic, as with empty tables. Of repeated labels of one document a toxic one counts, ties in the choice of features go
+    to the first in order; the threshold between 1 and 2 follows from that count, not from labels of its own.
     """
+    spark = documents.sparkSession
     told = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     told = told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
@@ -115,28 +117,31 @@ def fit_severity(documents: DataFrame, labels: DataFrame, limit: int = SAMPLE) -
     error = F.sqrt(overall * (1 - overall) * (1 / toxic + 1 / (n - toxic)))
     counts = counts.where(F.col("docs").between(LEAST, n - 1)).withColumn("z", (bad - good) / error)
     kept = counts.where(F.abs("z") >= TELLING).orderBy(F.abs("z").desc(), "feature").limit(FEATURES)
-    chosen = {r["feature"]: (i, r["z"]) for i, r in enumerate(kept.select("feature", "z").collect())}
+    chosen = kept.select("feature", "z").collect()  # bounded by FEATURES
     if not chosen:
         return Severity({}, np.array([np.inf, np.inf]))
-    wanted = F.broadcast(kept.select("feature", "z"))  # bounded by FEATURES
-    hits = sample.select("row", "toxic", F.explode("features").alias("feature")).join(wanted, "feature")
-    found = hits.groupBy("row").agg(F.collect_list("feature").alias("features"))
-    ones = sample.select("row", "toxic").join(found, "row", "left").orderBy("row").toPandas()  # bounded by the limit
-    own = [[chosen[f] for f in (x if x is not None else [])] for x in ones["features"]]
-    telling = np.array([sum(z > 0 for _, z in x) for x in own])
-    is_toxic = ones["toxic"].to_numpy() == 1
+    numbered = spark.createDataFrame([(r["feature"], at) for at, r in enumerate(chosen)], "feature string, at int")
+    hits = sample.select("row", F.explode("features").alias("feature")).join(F.broadcast(numbered), "feature")
+    # Numbers only come to the driver: two for each telling feature of a row of the bounded sample.
+    ones = hits.select("row", "at").toArrow()
+    told = sample.select("row", "toxic").toArrow().sort_by("row")
+    columns = ones["at"].to_numpy()
+    rows = np.searchsorted(told["row"].to_numpy(), ones["row"].to_numpy())
+    order = np.lexsort((columns, rows))
+    rows, columns = rows[order], columns[order]
+    is_toxic = told["toxic"].to_numpy() == 1
+    telling = np.bincount(rows, np.array([r["z"] > 0 for r in chosen], float)[columns], len(is_toxic))
     grades = is_toxic.astype(int) + (is_toxic & (telling >= np.median(telling[is_toxic])))
-    rows = np.repeat(np.arange(len(own)), [len(x) for x in own])
-    columns = np.array([i for x in own for i, _ in x], int)
     weights, thresholds = fit_ordinal(rows, columns, len(chosen), grades, 3)
-    return Severity({f: float(weights[i]) for f, (i, _) in chosen.items()}, thresholds)
+    return Severity({r["feature"]: float(w) for r, w in zip(chosen, weights, strict=True)}, thresholds)
 
 
 def graded(documents: DataFrame, model: Severity) -> DataFrame:
     """All rows and columns of ``documents`` with ``severity`` (expected grade), ``grade`` (likeliest) and ``toxic``.
 
     A document is toxic when grade 0 is less likely than not. Null and empty texts have no features and are not toxic unless
-    most labelled documents are. Columns of these three names are replaced.
+    most labelled documents are. Repeated rows are graded alike; an empty table gives no rows. Columns of these three names are
+    replaced.
     """
 
     @F.pandas_udf("severity double, grade int, toxic boolean")
