@@ -19,7 +19,7 @@ from tallyhouse.sources import sinks
 from tallyhouse.sources.store import CHANGE_MESSAGES, REQUEST_LOG, StaleSnapshot, TableStore, partition_by_day
 from tallyhouse.sources.tables import ParquetTables, range_predicates
 from tallyhouse.streaming import messages
-from tallyhouse.streaming.apply import apply_requests, apply_stream
+from tallyhouse.streaming.apply import OTHER_REQUEST, apply_requests, apply_stream
 
 from conftest import SF
 from tables import HandTables, requests
@@ -78,6 +78,23 @@ def test_repeated_requests_change_nothing(spark, tmp_path):
     assert {n: rows_of(store.snapshot()[n]) for n in once} == once
 
 
+def test_different_requests_of_one_id(spark, tmp_path):
+    """The earliest counts however they arrive, the others are logged; deliveries of one request are one."""
+    t = HandTables(spark, user_info=[{"phone": "13800000001", "name": "n", "coin": 0, "time": 1}])
+    ddl = "req_id long, phone string, dsd_val decimal(18,2), req_time long"
+    rows = [(1, "13800000001", Decimal(9), 5), (1, "13800000001", Decimal(7), 3), (1, "13800000001", Decimal(8), 3)]
+    rows += [(2, "13800000001", Decimal(100), 4)] * 3
+    for i, arriving in enumerate((rows, rows[::-1])):
+        store = TableStore(spark, f"{tmp_path}/{i}")
+        store.commit(store.snapshot(), replaced={"user_info": t["user_info"]})
+        apply_requests(store, requests(spark, ddl, arriving), review_jobs.grant_coins)
+        after = store.snapshot()
+        assert sorted(r["val"] for r in after["coin_records"].collect()) == [7, 100]
+        assert after["user_info"].first()["coin"] == 107
+        log = sorted((r["req_id"], r["reason"] or "") for r in after[REQUEST_LOG].collect())
+        assert log == [("1", ""), ("1", OTHER_REQUEST), ("1", OTHER_REQUEST), ("2", "")]
+
+
 @pytest.mark.parametrize(
     ("job", "batch", "tables"),
     [
