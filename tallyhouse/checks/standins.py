@@ -95,7 +95,7 @@ STATE: dict[str, str] = {
         cast(o_totalprice as decimal(18, 2)) as total_price, concat('Customer#', lpad(cast(o_custkey as string), 9,
         '0')) as buyer, EPOCH(o_orderdate) as buy_time, EPOCH(o_orderdate) + 86400 as putin_time, EPOCH(o_orderdate) +
         3600 as time, concat('138', lpad(cast(o_custkey as string), 8, '0')) as creator, concat('F', cast(o_orderkey %
-        120 as string)) as factory from orders where o_orderkey % 2 = 0
+        120 as string)) as factory from orders
     """,
     "finance_output": """
         select s_suppkey * 10 + 2 as id, cast(1550073600 + s_suppkey * 7919 as bigint) as time, concat('138',
@@ -240,7 +240,7 @@ REQUESTS: dict[str, str] = {
         cast(c_nationkey as string)) as company_area, c_mktsegment as company_category, cast(1550073600 + (c_custkey *
         1368787) % 6000000 as bigint) as req_time,
         case c_custkey % 3 when 0 then '' when 1 then 'no,!!' else {_upload('c_name')} end as auth_file,
-        case when c_custkey % 4 = 1 then null else {_upload('c_mktsegment')} end as business_licence from customer where c_custkey % 2 = 1
+        case when c_custkey % 4 = 1 then null else {_upload('c_mktsegment')} end as business_licence from customer
     """,
     "req_company_delete": """
         select s_suppkey as req_id, concat('F', cast(s_suppkey * 2 as string)) as id from supplier where s_suppkey % 3
@@ -293,7 +293,7 @@ REQUESTS |= {
             LIST({_upload('p_brand')}, '', concat('keep', cast(p_partkey as string))) as images,
             case when p_partkey % 50 = 0 then null else cast(p_retailprice as decimal(18, 2)) end as dsd_val,
             'https://example.com/m' as url, cast(1550073600 + (p_partkey * 7919) % 100000 as bigint) as req_time
-        from part where p_partkey % 2 = 0
+        from part
     """,
     "req_app_state": """
         select p_partkey as req_id, case when p_partkey % 41 = 0 then '' else concat('app', cast(p_partkey * 3 % 2500 as string)) end as id,
@@ -335,7 +335,7 @@ REQUESTS |= {
         select c_custkey as req_id,
             case when c_custkey % 6 = 0 then concat('u', cast(c_custkey % 20 * 50 as string)) else {_phone('c_custkey % 20 * 50')} end as actor,
             case when c_custkey % 17 = 0 then 'u50' else {_phone('c_custkey * 7 % 40 * 25')} end as phone, {_CUSTOMER_TIME}
-        from customer where c_custkey % 5 <> 0
+        from customer
     """,
     "req_account_delete_by_name": f"""
         select c_custkey as req_id, concat('u', cast(c_custkey % 40 * 25 as string)) as actor,
