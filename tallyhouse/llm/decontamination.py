@@ -5,13 +5,15 @@ consecutive words of an item, or the whole item where it has fewer. The distinct
 set; every window of every document is hashed and looked up, and the words of a hit are compared before it counts.
 
 All of it is built-in functions. Windows are generated, hashed and looked up inside one code-generated stage: no row of a
-window that misses is ever built, and nothing but hits and one row per document is shuffled. The set is broadcast only while
-its measured size is within ``SET_BYTES``; beyond that Spark joins by the hash, where a hot window is split as a skewed key.
+window that misses is ever built, and nothing but hits and one row per document is shuffled. The set is measured first; one of
+more than ``SET_BYTES`` is dealt into parts of about that size and the documents are scanned once for each, so no broadcast
+grows with the benchmark and windows of documents never travel.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,7 +23,7 @@ from tallyhouse.llm.common import written
 # Characters that end a word: ASCII but digits and letters.
 BREAKS = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-SET_BYTES = 64 << 20  # of windows that may be broadcast, with 64 bytes for each besides its words
+SET_BYTES = 64 << 20  # of the windows in one broadcast, with 64 bytes for each besides its words
 
 _BLANK = "\x1f"  # stands between the words of a window; no word holds it
 
@@ -40,7 +42,7 @@ def _hash(tokens: Column, at: Column, length: int) -> Column:
     return F.xxhash64(F.lit(length), *_window(tokens, at, length))
 
 
-def _by_length(size: Column, lengths: Sequence[int], value) -> Column:
+def _by_length(size: Column, lengths: Sequence[int], value: Callable[[int], Column]) -> Column:
     """``value(length)`` for the length that ``size`` holds."""
     chosen = F.when(size == lengths[0], value(lengths[0]))
     for length in lengths[1:]:
@@ -67,17 +69,8 @@ def _beside(base: DataFrame, more: DataFrame, row: Sequence[str]) -> DataFrame:
     return base.join(more, same, "left").drop(*[more[c] for c in row])
 
 
-def scanned(docs: DataFrame, items: DataFrame, n: int = 10, breaks: str = BREAKS, set_bytes: int = SET_BYTES) -> tuple:
-    """(hits, windows): a row per document and one per hit in it, and the items' windows with their number ``gram_id``.
-
-    Hits have doc_id, mark (128 bits of the text's hash), n_words, and at, size, gram_id of a window that occurs (null in
-    the document's own row).
-    """
-    windows = written(item_windows(items, n, breaks))
-    grams = windows.select("hash", "size", "gram").distinct()
-    grams = written(grams.withColumn("gram_id", F.monotonically_increasing_id()))
-    bounds = grams.agg(F.sum(F.octet_length("gram") + 64), F.sort_array(F.collect_set("size"))).first()
-    lengths = bounds[1] or [n]
+def _scan(docs: DataFrame, grams: DataFrame, lengths: Sequence[int], breaks: str, documents: bool) -> DataFrame:
+    """Hits of a part of the set that may be broadcast; with ``documents`` also a row for every document."""
     marks = F.struct(F.xxhash64("text"), F.xxhash64(F.lit(1), "text"))
     tokens = docs.select("doc_id", marks.alias("mark"), words(F.col("text"), breaks).alias("tokens"))
     # The row of position -1 stands for the document itself. The sequence reads the words, so they are made before it runs.
@@ -93,17 +86,34 @@ def scanned(docs: DataFrame, items: DataFrame, n: int = 10, breaks: str = BREAKS
     value = _by_length(F.col("size"), lengths, lambda k: _hash(F.col("tokens"), F.col("at"), k))
     placed = placed.withColumn("_hash", F.when(fits, value))
     own = F.array_join(F.slice("tokens", F.col("at") + 1, F.col("size")), _BLANK)
-    side = grams.select(F.col("hash"), F.col("size").alias("_size"), "gram", "gram_id")
-    if (bounds[0] or 0) <= set_bytes:
-        side = F.broadcast(side)
+    side = F.broadcast(grams.select(F.col("hash"), F.col("size").alias("_size"), "gram", "gram_id"))
     same = (F.col("_hash") == F.col("hash")) & (F.col("size") == F.col("_size"))
     looked = placed.join(side, same, "left")
-    first = (F.col("at") == -1) & (F.col("size") == lengths[0])
+    first = F.lit(documents) & (F.col("at") == -1) & (F.col("size") == lengths[0])
     hit = F.col("gram").isNotNull() & (F.when(F.col("gram").isNotNull(), own) == F.col("gram"))
-    kept = looked.where(first | hit).select(
+    return looked.where(first | hit).select(
         "doc_id", "mark", "n_words", F.when(~first, F.col("at")).alias("at"), F.when(~first, F.col("size")).alias("size"),
         "gram_id",
     )
+
+
+def scanned(docs: DataFrame, items: DataFrame, n: int = 10, breaks: str = BREAKS, set_bytes: int = SET_BYTES) -> tuple:
+    """(hits, windows): a row per document and one per hit in it, and the items' windows with their number ``gram_id``.
+
+    Hits have doc_id, mark (128 bits of the text's hash), n_words, and at, size, gram_id of a window that occurs (null in
+    the document's own row).
+    """
+    windows = written(item_windows(items, n, breaks))
+    grams = windows.select("hash", "size", "gram").distinct()
+    grams = written(grams.withColumn("gram_id", F.monotonically_increasing_id()))
+    bounds = grams.agg(F.sum(F.octet_length("gram") + 64), F.sort_array(F.collect_set("size"))).first()
+    parts = max(1, -(-(bounds[0] or 0) // set_bytes))
+    lengths = bounds[1] or [n]
+    scans = []
+    for part in range(parts):
+        side = grams if parts == 1 else grams.where(F.pmod(F.xxhash64("gram_id"), F.lit(parts)) == part)
+        scans.append(_scan(docs, side, lengths, breaks, part == 0))
+    kept = reduce(DataFrame.unionByName, scans)
     return kept, windows.join(grams.select("gram", "gram_id"), "gram").select("gram_id", "item_id")
 
 

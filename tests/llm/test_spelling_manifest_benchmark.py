@@ -265,9 +265,9 @@ def contaminated(df):
 
 
 @pytest.mark.parametrize("n", [1, 3, 10])
-@pytest.mark.parametrize("set_bytes", [0, 1 << 20])
+@pytest.mark.parametrize("set_bytes", [300, 1 << 20])
 def test_contamination(spark, odd, n, set_bytes):
-    """With and without a broadcast set; short items; items that share windows; repeated ids and rows."""
+    """With the set in one part and in several; short items; items that share windows; repeated ids and rows."""
     assert contaminated(contamination(odd, item_rows(spark, ITEMS), n, set_bytes=set_bytes)) == hits_brute(ODD, ITEMS, n)
 
 
@@ -285,15 +285,15 @@ def test_windows_that_overlap_and_repeat(spark):
     assert contaminated(contamination(df, item_rows(spark, items), 5)) == hits_brute(docs, items, 5)
 
 
-def test_set_is_broadcast_only_while_small(spark, odd):
-    def plan(limit):
-        from tallyhouse.llm.decontamination import scanned
+def test_no_broadcast_grows_with_the_set(spark, odd):
+    """A set beyond the limit is dealt into parts, each broadcast on its own; documents are counted once."""
+    from tallyhouse.llm.decontamination import scanned
 
+    for limit, parts in ((1 << 20, 1), (500, 2)):
         hits, _ = scanned(odd, item_rows(spark, ITEMS), set_bytes=limit)
-        return hits._jdf.queryExecution().optimizedPlan().toString()
-
-    assert "rightHint=(strategy=broadcast)" in plan(1 << 20)
-    assert "strategy=broadcast" not in plan(0)
+        text = hits._jdf.queryExecution().optimizedPlan().toString()
+        assert text.count("rightHint=(strategy=broadcast)") >= parts and (parts > 1 or "Union" not in text)
+        assert hits.where("at is null").count() == len(ODD)
 
 
 def test_decontaminated(spark):
