@@ -7,21 +7,27 @@ What follows from the rules, per phone:
 
 * memberships only ever grow, by at most one per company. With two at the start, everything is refused. Otherwise every
   accepted request is for the phone's *home* (its one company, or the first accepted one), and the first accepted
-  request elsewhere is the last one accepted;
+  request elsewhere is the last one accepted: the phone's *end*;
 * the administrator count can only reach two if the phone administers a company other than its home. For all other
   phones the outcome is therefore known from the first request off the home, in one pass and without looking at
   anybody else's requests;
-* the remaining phones go through rounds. A round takes the first undecided request of every phone whose companies no
-  earlier undecided request of somebody else touches, and decides with it all following requests of the phone for which
-  nothing changes in between. Rounds are as many as there are real alternations, however many requests one phone sends.
+* the remaining phones, the *bound* ones, lose companies off their home, each when somebody else is first accepted there
+  (the company is *taken*), and never win one back before their end. With two or more left everything is refused; with
+  one, a request is accepted unless the phone leads its home; with none it is accepted. With one or none left a request
+  for the home leaves the phone leading it, accepted or not, so who leads a company follows without knowing which of these
+  requests were accepted.
+
+So all outcomes follow from two moments: the end of each bound phone and when each company is taken. They are computed in
+passes over all bound requests, each from the moments of the pass before, until none changes. What a moment depends on is
+earlier, so moments that reproduce themselves are the right ones. Passes are as many as moments depend on one another in a
+chain, however many requests there are and however often phones take turns at a company.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tallyhouse.functions.predicates import given, is_phone
 from tallyhouse.functions.values import blank, message, uploaded_id, uploads
@@ -41,11 +47,9 @@ from tallyhouse.operators.scratch import written
 from tallyhouse.plans.jobs import JobResult, request_order
 from tallyhouse.plans.lookups import Tables
 
-_COMPACT_EVERY = 16
-
 
 def _one_pass(asked: DataFrame, members: DataFrame, admins: DataFrame) -> DataFrame:
-    """Requests (o, f, x) with ``ok``: True / False where it follows from the phone alone, NULL where rounds decide."""
+    """Requests (o, f, x) with ``ok``: True / False where it follows from the phone alone, NULL where others' requests matter."""
     c = F.col
     held = members.groupBy("x").agg(F.count(F.lit(1)).alias("m0"), F.min("f").alias("old_home"))
     led = admins.groupBy("x").agg(F.count(F.lit(1)).alias("a0"), F.min("f").alias("led"))
@@ -66,105 +70,124 @@ def _one_pass(asked: DataFrame, members: DataFrame, admins: DataFrame) -> DataFr
     )
 
 
-def _first_of_others(undecided: DataFrame) -> DataFrame:
-    """Per company the earliest undecided request and the earliest one of a different phone."""
-    c = F.col
-    first = undecided.groupBy(c("f").alias("uf")).agg(F.min(F.struct("o", "x")).alias("u1"))
-    second = (
-        undecided.join(first, c("f") == c("uf")).where(c("x") != c("u1.x")).groupBy("f").agg(F.min("o").alias("u2"))
-    )
-    return first.join(second, c("uf") == c("f"), "left").select("uf", c("u1.o").alias("u1"), c("u1.x").alias("u1_x"), "u2")
-
+def _placed(bound: DataFrame, phones: DataFrame, led: DataFrame, taken: DataFrame, ends: DataFrame) -> DataFrame:
+    """The bound requests (o, f, x) with their phone's home and what the moments say of them:
 
-def _round(undecided: DataFrame, done: DataFrame, members: DataFrame, admins: DataFrame) -> DataFrame:
-    """``undecided`` with ``ok``: decided in this round, or NULL."""
+    ``may`` the phone has at most one company left off its home, ``free`` it has none; ``led_home`` it administers its home
+    at the start; ``end`` (o, f) is the last request accepted of it.
+    """
     c = F.col
-    taken = done.join(undecided.select(c("x").alias("ux")).distinct(), c("x") == c("ux"), "left_semi").select("x", "f").distinct()
-    lead = undecided.groupBy(c("x").alias("lx")).agg(F.min(F.struct("o", "f")).alias("l")).select(
-        "lx", c("l.o").alias("lo"), c("l.f").alias("lf")
-    )
-    # Companies the phone administers or has administered, and the one it asks for: what happens there does not bear on
-    # this request unless it is one of the former, but it does on the requests that follow.
-    touched = (
-        admins.select("x", "f", F.lit(True).alias("at_start"), F.lit(True).alias("in_play"))
-        .unionByName(taken.select("x", "f", F.lit(False).alias("at_start"), F.lit(True).alias("in_play")))
-        .unionByName(
-            lead.select(c("lx").alias("x"), c("lf").alias("f"), F.lit(False).alias("at_start"), F.lit(False).alias("in_play"))
-        )
-        .groupBy(c("x").alias("gx"), c("f").alias("g"))
-        .agg(F.max("at_start").alias("at_start"), F.max("in_play").alias("in_play"))
+    # The companies a phone keeps longest decide: two, and its home may be one more of them.
+    longest = Window.partitionBy("lx").orderBy(F.desc_nulls_first("taken"), "g")
+    kept = (
+        led.join(taken, c("g") == c("tg"), "left").withColumn("_n", F.row_number().over(longest)).where("_n <= 3")
+        .groupBy("lx").agg(F.array_sort(F.collect_list(F.struct("_n", "g", "taken"))).alias("kept"))
     )
-    other_company = (
-        undecided.join(lead, c("x") == c("lx")).where(c("f") != c("lf")).groupBy(c("x").alias("dx")).agg(F.min("o").alias("elsewhere"))
+    known = phones.join(kept, c("px") == c("lx"), "left").select(
+        "px", "m0", "old_home", F.coalesce("kept", F.array().cast(kept.schema["kept"].dataType)).alias("kept")
     )
 
-    # What others have asked (undecided) or achieved (done) on those companies.
-    mine = touched.join(lead, c("gx") == c("lx"))
-    waiting = mine.join(_first_of_others(undecided), c("g") == c("uf"), "left")
-    moments = mine.select(c("g").alias("f"), c("lo").alias("o"), c("gx").alias("x"))
-    history = around(moments, done.select("f", "o", "x"), "f", "o", "x").select(
-        c("x").alias("hx"), c("f").alias("hg"), "before", c("next_other").alias("next_done")
-    )
-    asked_by_others = F.when(c("u1_x") != c("gx"), c("u1")).otherwise(c("u2"))
-    holds = F.when(c("before").isNull(), c("at_start")).otherwise(c("before.who") == c("gx"))
-    counted = (
-        waiting.join(history, (c("gx") == c("hx")) & (c("g") == c("hg")), "left")
-        .groupBy(c("gx").alias("cx"))
-        .agg(
-            F.sum(F.when(holds, 1).otherwise(0)).alias("led_now"),
-            F.max(F.when(holds & (c("g") == c("lf")), True).otherwise(False)).alias("leads_it"),
-            F.min(F.when(c("in_play"), asked_by_others)).alias("in_the_way"),
-            F.min(asked_by_others).alias("next_asked"),
-            F.min("next_done").alias("next_done"),
-        )
-    )
-    homes = members.unionByName(taken).distinct()
-    joined_since = taken.join(members, ["x", "f"], "left_anti").groupBy(c("x").alias("jx")).agg(F.count(F.lit(1)).alias("joined"))
-    at_home = homes.select(c("x").alias("ax"), c("f").alias("af"), F.lit(True).alias("is_home"))
+    def gone(companies: Column, left: int) -> Column:
+        """At most ``left`` of the companies are still held just before the request."""
+        return (F.size(companies) <= left) | F.coalesce(c("o") > F.get(companies, F.lit(left))["taken"], F.lit(False))
 
+    # Without a membership the first request that meets at most one company makes the home.
+    joins = bound.join(known.where("m0 = 0"), c("x") == c("px")).where(gone(c("kept"), 1))
+    begins = joins.groupBy(c("x").alias("bx")).agg(F.min(F.struct("o", "f")).alias("begin"))
+    settled = known.join(begins, c("px") == c("bx"), "left").select(
+        "px", "m0", "begin.o", "kept", F.when(c("m0") == 0, c("begin.f")).otherwise(c("old_home")).alias("home")
+    ).withColumnRenamed("o", "begin")
+    off_home = F.filter("kept", lambda company: ~F.coalesce(company["g"] == c("home"), F.lit(False)))
     facts = (
-        lead.join(counted, c("lx") == c("cx"), "left")
-        .join(other_company, c("lx") == c("dx"), "left")
-        .join(joined_since, c("lx") == c("jx"), "left")
-        .join(at_home, (c("lx") == c("ax")) & (c("lf") == c("af")), "left")
-        .select(
-            "lx", "lo", "lf", "elsewhere", "in_the_way", "next_asked", "next_done",
-            F.coalesce("led_now", F.lit(0)).alias("led_now"), F.coalesce("leads_it", F.lit(False)).alias("leads_it"),
-            F.coalesce("joined", F.lit(0)).alias("joined"), F.coalesce("is_home", F.lit(False)).alias("is_home"),
-        )
+        settled.withColumn("off_home", off_home)
+        .join(led.select(c("lx").alias("hx"), c("g").alias("hg")), (c("px") == c("hx")) & (c("home") == c("hg")), "left")
+        .join(ends, c("px") == c("ex"), "left")
+        .select("px", "m0", "begin", "home", "off_home", c("hx").isNotNull().alias("led_home"), "end")
+    )
+    begun = (c("m0") > 0) | F.coalesce(c("o") >= c("begin"), F.lit(False))
+    return bound.join(facts, c("x") == c("px")).select(
+        "o", "f", "x", "home", "led_home", "end", (begun & gone(c("off_home"), 1)).alias("may"),
+        (begun & gone(c("off_home"), 0)).alias("free"), F.coalesce(c("f") == c("home"), F.lit(False)).alias("at_home"),
     )
-    held = c("m0") + c("joined")
-    wins = (c("led_now") <= 1) & (held <= 1)
-    held_after = held + F.when(wins & ~c("is_home"), 1).otherwise(0)
-    led_after = c("led_now") + F.when(wins & ~c("leads_it"), 1).otherwise(0)
-    waits = F.coalesce(c("in_the_way") < c("lo"), F.lit(False))
-    unchanged = (c("next_asked").isNull() | (c("o") < c("next_asked"))) & (
-        c("next_done").isNull() | (c("o") < c("next_done"))
+
+
+def _before_end() -> Column:
+    return F.col("end").isNull() | (F.col("o") < F.col("end.o"))
+
+
+def _leads(moments: DataFrame, placed: DataFrame, alone: DataFrame, ends: DataFrame) -> DataFrame:
+    """``moments`` (placed requests) with ``leads``: the phone leads its home just before."""
+    c = F.col
+    sets = (
+        placed.where(c("at_home") & c("may") & _before_end()).select("f", "o", "x")
+        .unionByName(alone).unionByName(ends.select("end.f", "end.o", c("ex").alias("x")))
     )
-    same_company = (c("f") == c("lf")) & (c("elsewhere").isNull() | (c("o") < c("elsewhere")))
-    outcome = (
-        F.when(waits, None)
-        .when(c("o") == c("lo"), wins)
-        .when(held_after >= 2, False)
-        .when((led_after >= 2) & unchanged, False)
-        .when(wins & (led_after <= 1) & unchanged & same_company, True)
+    homes = moments.select(c("home").alias("mh")).distinct()
+    found = around(
+        moments.select(c("home").alias("at"), "o", "x", "f", "led_home"),
+        sets.join(homes, c("f") == c("mh"), "left_semi").select(c("f").alias("at"), "o", "x"), "at", "o", "x",
     )
-    return undecided.join(facts, c("x") == c("lx")).select("o", "f", "x", "m0", outcome.cast("boolean").alias("ok"))
+    leads = F.when(c("before").isNull(), c("led_home")).otherwise(c("before.who") == c("x"))
+    return found.select("o", "f", "x", leads.alias("leads"))
+
+
+def _changed(old: DataFrame, new: DataFrame, key: str, moment: str) -> DataFrame:
+    c = F.col
+    other = old.select(c(key).alias("_key"), c(moment).alias("_moment"))
+    return new.join(other, c(key) == c("_key"), "full").where(~c(moment).eqNullSafe(c("_moment"))).select(F.lit(1))
 
 
 def _decide(requests: DataFrame, members: DataFrame, admins: DataFrame) -> DataFrame:
     """(o, ok) of every request (o, f, x)."""
+    c = F.col
     first = written(_one_pass(requests, members, admins))
-    parts = [first.where(F.col("ok").isNotNull())]
-    undecided = first.where(F.col("ok").isNull()).drop("ok")
-    while not undecided.isEmpty():
-        done = reduce(DataFrame.unionByName, parts).where("ok").select("o", "f", "x")
-        step = written(_round(undecided, done, members, admins))
-        parts.append(step.where(F.col("ok").isNotNull()))
-        if len(parts) == _COMPACT_EVERY:
-            parts = [written(reduce(DataFrame.unionByName, parts))]
-        undecided = step.where(F.col("ok").isNull()).drop("ok")
-    return reduce(DataFrame.unionByName, parts).select("o", "ok")
+    bound = first.where(c("ok").isNull()).select("o", "f", "x", "m0")
+    if bound.isEmpty():
+        return first.select("o", "ok")
+    phones = bound.groupBy(c("x").alias("px")).agg(F.first("m0").alias("m0"))
+    held = members.groupBy(c("x").alias("mx")).agg(F.min("f").alias("old_home"))
+    phones = written(phones.join(held, c("px") == c("mx"), "left").select("px", "m0", "old_home"))
+    led = written(cut_to(admins, "x", phones, "px").select(c("x").alias("lx"), c("f").alias("g")).distinct())
+    bound = bound.drop("m0")
+    alone = first.where("ok").select("f", "o", "x")
+    asked_of = led.select("g").distinct()
+
+    def when_taken(events: DataFrame) -> DataFrame:
+        return events.groupBy(c("f").alias("tg")).agg(F.min("o").alias("taken")).join(asked_of, c("tg") == c("g"), "left_semi")
+
+    by_alone = written(when_taken(alone))
+    taken = by_alone
+    ends = bound.select(c("x").alias("ex"), F.struct("o", "f").alias("end")).where(F.lit(False))
+    while True:
+        placed = written(_placed(bound, phones, led, taken, ends))
+        elsewhere = placed.where(~c("at_home") & c("may"))
+        at_once = c("free") | c("home").isNull()
+        watched = _leads(elsewhere.where(~at_once), placed, alone, ends).where(~c("leads"))
+        last = elsewhere.where(at_once).select("o", "f", "x").unionByName(watched.select("o", "f", "x"))
+        new_ends = written(last.groupBy(c("x").alias("ex")).agg(F.min(F.struct("o", "f")).alias("end")))
+        # A request for a home led from the start, with one more company left, is refused while nobody else had it.
+        genuine = placed.where(c("at_home") & c("may") & _before_end() & (c("free") | ~c("led_home"))).select("f", "o")
+        new_taken = written(
+            when_taken(
+                genuine.unionByName(new_ends.select("end.f", "end.o")).unionByName(by_alone.select(c("tg").alias("f"), c("taken").alias("o")))
+            )
+        )
+        changed = _changed(ends, new_ends, "ex", "end").unionByName(_changed(taken, new_taken, "tg", "taken"))
+        if changed.isEmpty():
+            break
+        ends, taken = new_ends, new_taken
+
+    home = placed.where(c("at_home") & c("may") & _before_end())
+    watched = _leads(home.where(~c("free")), placed, alone, ends).where(~c("leads")).select("o", "f", "x")
+    won = (
+        home.where("free").select("o", "f", "x").unionByName(watched)
+        .unionByName(ends.select("end.o", "end.f", c("ex").alias("x"))).distinct()
+    )
+    won = won.select(c("o").alias("wo"), c("f").alias("wf"), c("x").alias("wx"))
+    outcome = bound.join(won, (c("o") == c("wo")) & (c("f") == c("wf")) & (c("x") == c("wx")), "left").select(
+        "o", c("wo").isNotNull().alias("ok")
+    )
+    return first.where(c("ok").isNotNull()).select("o", "ok").unionByName(outcome)
 
 
 def _file_id(column: str) -> Column:
