@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import random
 from collections import Counter
+from pathlib import Path
 
 import corpus_pipeline
 import pytest
 
 from llm.conftest import ODD, SF, documents
 from llm.test_texts import near_brute, repeats_brute, words
+from tallyhouse.llm.common import handing_back
 
 
 @pytest.fixture(scope="module")
@@ -90,3 +92,22 @@ def test_passages_of_over_fifty_words_go(spark):
         for i, (before, after) in ((1, own[:2]), (2, own[2:])):
             assert got[i].startswith(before[:-1]) and got[i].endswith(after)
             assert len(got[i]) <= len(before) + len(after) + 3
+
+
+def test_workers_hand_back_what_they_have_freed():
+    """Freed blocks below a kept one stay with a process until they are handed back."""
+
+    def resident() -> int:
+        return int(Path("/proc/self/statm").read_text().split()[1]) * 4096
+
+    sizes = []
+
+    def run(batches):
+        blocks = [b"x" * 100_000 for _ in range(2_000)]
+        kept.append(blocks.pop())
+        sizes.append(resident())
+        yield from batches
+
+    kept = []
+    assert list(handing_back(run)(iter([1, 2]))) == [1, 2]
+    assert resident() < sizes[0] - 100_000_000
