@@ -15,9 +15,11 @@ from pyspark.sql.window import Window
 from tallyhouse.operators.scratch import written
 
 
-def around(moments: DataFrame, events: DataFrame, group: str, at: str, who: str, partitions: int | None = None) -> DataFrame:
+def around(
+    moments: DataFrame, events: DataFrame, group: str, at: str, who: str, partitions: int | None = None, ahead: bool = True
+) -> DataFrame:
     """``moments`` with ``before``, the struct (at, who) of the last event earlier than the moment, and ``next_other``, the
-    place of the first later event of somebody else.
+    place of the first later event of somebody else. Without ``ahead`` only ``before`` is worked out.
 
     Both sides have ``group``, ``at`` (comparable) and ``who``; moments may have further columns. Events of one group have
     different places; one at the moment itself counts as later. Where there is no such event the results are null. A group
@@ -39,24 +41,31 @@ def around(moments: DataFrame, events: DataFrame, group: str, at: str, who: str,
     is_event = c("_moment").isNull()
     inside = Window.partitionBy("_range", "_g")
     earlier = inside.orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = Window.partitionBy("_g")
+    up = ranges.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    event = F.struct(c("_at").alias("at"), c("_who").alias("who"))
+    rows = ranged.withColumn("_last", F.last(F.when(is_event, event), ignorenulls=True).over(earlier))
+    if not ahead:
+        spans = ranged.groupBy("_g", "_range").agg(F.max_by(event, F.when(is_event, c("_pos"))).alias("last"))
+        carried = spans.select(
+            c("_g").alias("_cg"), c("_range").alias("_cr"), F.last("last", ignorenulls=True).over(up).alias("c_last")
+        ).where("c_last is not null")
+        found = rows.where(~is_event).join(carried, c("_g").eqNullSafe(c("_cg")) & (c("_range") == c("_cr")), "left")
+        return found.select("_moment.*", F.coalesce("_last", "c_last").alias("before"))
     later = inside.orderBy(F.desc("_pos")).rowsBetween(Window.unboundedPreceding, -1)
 
     # A turn is an event of somebody else than the event before it.
-    event = F.struct(c("_at").alias("at"), c("_who").alias("who"))
-    rows = ranged.withColumn("_last", F.last(F.when(is_event, event), ignorenulls=True).over(earlier))
     turn = is_event & (c("_last").isNull() | ~c("_last.who").eqNullSafe(c("_who")))
     rows = rows.withColumn("_turn", F.last(F.when(turn, F.struct("_at")), ignorenulls=True).over(later))
-    ahead = F.struct(c("_at").alias("at"), c("_who").alias("who"), c("_turn._at").alias("turn"))
-    rows = rows.withColumn("_next", F.last(F.when(is_event, ahead), ignorenulls=True).over(later))
+    coming = F.struct(c("_at").alias("at"), c("_who").alias("who"), c("_turn._at").alias("turn"))
+    rows = rows.withColumn("_next", F.last(F.when(is_event, coming), ignorenulls=True).over(later))
 
     # Groups that go on in other ranges: what those hold of them.
     parts = rows.where(is_event).groupBy("_g", "_range").agg(
-        F.min_by(ahead, "_pos").alias("first"), F.max_by(event, "_pos").alias("last")
+        F.min_by(coming, "_pos").alias("first"), F.max_by(event, "_pos").alias("last")
     )
     spans = ranged.groupBy("_g", "_range").agg(F.lit(1).alias("_one")).join(parts.withColumnsRenamed({"_g": "_pg", "_range": "_pr"}),
         c("_g").eqNullSafe(c("_pg")) & (c("_range") == c("_pr")), "left")
-    ranges = Window.partitionBy("_g")
-    up = ranges.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     down = ranges.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
     spans = spans.withColumn("c_last", F.last("last", ignorenulls=True).over(up))
     begins = c("first").isNotNull() & (c("c_last").isNull() | ~c("c_last.who").eqNullSafe(c("first.who")))
@@ -70,8 +79,8 @@ def around(moments: DataFrame, events: DataFrame, group: str, at: str, who: str,
 
     found = rows.where(~is_event).join(carried, c("_g").eqNullSafe(c("_cg")) & (c("_range") == c("_cr")), "left")
     in_range = F.struct(c("_next.at").alias("at"), c("_next.who").alias("who"), F.coalesce("_next.turn", "c_turn").alias("turn"))
-    ahead = F.when(c("_next").isNotNull(), in_range).otherwise(c("c_next"))
-    other = F.when(~ahead["who"].eqNullSafe(c("_who")), ahead["at"]).otherwise(ahead["turn"])
+    coming = F.when(c("_next").isNotNull(), in_range).otherwise(c("c_next"))
+    other = F.when(~coming["who"].eqNullSafe(c("_who")), coming["at"]).otherwise(coming["turn"])
     return found.select(
-        "_moment.*", F.coalesce("_last", "c_last").alias("before"), F.when(ahead.isNotNull(), other).alias("next_other")
+        "_moment.*", F.coalesce("_last", "c_last").alias("before"), F.when(coming.isNotNull(), other).alias("next_other")
     )

@@ -54,18 +54,21 @@ def _one_pass(asked: DataFrame, members: DataFrame, admins: DataFrame) -> DataFr
     held = members.groupBy("x").agg(F.count(F.lit(1)).alias("m0"), F.min("f").alias("old_home"))
     led = admins.groupBy("x").agg(F.count(F.lit(1)).alias("a0"), F.min("f").alias("led"))
     first = asked.groupBy("x").agg(F.min_by("f", "o").alias("first_f"))
-    phones = first.join(held, "x", "left").join(led, "x", "left").select(
-        "x", F.coalesce("m0", F.lit(0)).alias("m0"), F.coalesce("a0", F.lit(0)).alias("a0"), "led",
-        F.coalesce("old_home", "first_f").alias("home"),
+    phones = written(
+        first.join(held, "x", "left").join(led, "x", "left").select(
+            "x", F.coalesce("m0", F.lit(0)).alias("m0"), F.coalesce("a0", F.lit(0)).alias("a0"), "led", "old_home",
+            F.coalesce("old_home", "first_f").alias("home"),
+        )
     )
     placed = asked.join(phones, "x")
     away = placed.where(c("f") != c("home")).groupBy("x").agg(F.min("o").alias("away"))
     placed = placed.join(away, "x", "left")
     upto_away = c("away").isNull() | (c("o") <= c("away"))
-    tried = placed.where(upto_away).groupBy("x").agg(F.count(F.lit(1)).alias("tried"))
+    # Only asked of phones that administer one company.
+    tried = placed.where((c("a0") == 1) & upto_away).groupBy("x").agg(F.count(F.lit(1)).alias("tried"))
     settled_alone = (c("a0") == 0) | ((c("a0") == 1) & ((c("led") == c("home")) | (c("tried") <= 1)))
     return placed.join(tried, "x", "left").select(
-        "o", "f", "x", "m0",
+        "o", "f", "x", "m0", "old_home",
         F.when(c("m0") >= 2, False).when(settled_alone, upto_away).alias("ok"),
     )
 
@@ -119,68 +122,69 @@ def _leads(moments: DataFrame, placed: DataFrame, alone: DataFrame, ends: DataFr
     """``moments`` (placed requests) with ``leads``: the phone leads its home just before."""
     c = F.col
     sets = (
-        placed.where(c("at_home") & c("may") & _before_end()).select("f", "o", "x")
-        .unionByName(alone).unionByName(ends.select("end.f", "end.o", c("ex").alias("x")))
-    )
-    homes = moments.select(c("home").alias("mh")).distinct()
-    found = around(
-        moments.select(c("home").alias("at"), "o", "x", "f", "led_home"),
-        sets.join(homes, c("f") == c("mh"), "left_semi").select(c("f").alias("at"), "o", "x"), "at", "o", "x",
+        placed.where(c("at_home") & c("may") & _before_end()).select(c("f").alias("at"), "o", "x")
+        .unionByName(alone).unionByName(ends.select(c("end.f").alias("at"), "end.o", c("ex").alias("x")))
     )
+    found = around(moments.select(c("home").alias("at"), "o", "x", "f", "led_home", "at_home"), sets, "at", "o", "x", None, False)
     leads = F.when(c("before").isNull(), c("led_home")).otherwise(c("before.who") == c("x"))
-    return found.select("o", "f", "x", leads.alias("leads"))
+    return found.select("o", "f", "x", "at_home", leads.alias("leads"))
 
 
-def _changed(old: DataFrame, new: DataFrame, key: str, moment: str) -> DataFrame:
+def _earliest(found: DataFrame, old: DataFrame, key: str, moment: str) -> DataFrame:
+    """The earliest ``moment`` of each key, and beside it what it ``was``; null where there is none."""
     c = F.col
-    other = old.select(c(key).alias("_key"), c(moment).alias("_moment"))
-    return new.join(other, c(key) == c("_key"), "full").where(~c(moment).eqNullSafe(c("_moment"))).select(F.lit(1))
+    both = found.withColumn("was", F.lit(None).cast(old.schema[moment].dataType)).unionByName(
+        old.select(key, F.lit(None).cast(old.schema[moment].dataType).alias(moment), c(moment).alias("was"))
+    )
+    return both.groupBy(key).agg(F.min(moment).alias(moment), F.min("was").alias("was"))
 
 
 def _decide(requests: DataFrame, members: DataFrame, admins: DataFrame) -> DataFrame:
     """(o, ok) of every request (o, f, x)."""
     c = F.col
     first = written(_one_pass(requests, members, admins))
-    bound = first.where(c("ok").isNull()).select("o", "f", "x", "m0")
-    if bound.isEmpty():
+    left = first.where(c("ok").isNull())
+    phones = written(left.groupBy(c("x").alias("px")).agg(F.first("m0").alias("m0"), F.first("old_home").alias("old_home")))
+    if phones.isEmpty():
         return first.select("o", "ok")
-    phones = bound.groupBy(c("x").alias("px")).agg(F.first("m0").alias("m0"))
-    held = members.groupBy(c("x").alias("mx")).agg(F.min("f").alias("old_home"))
-    phones = written(phones.join(held, c("px") == c("mx"), "left").select("px", "m0", "old_home"))
+    bound = left.select("o", "f", "x")
     led = written(cut_to(admins, "x", phones, "px").select(c("x").alias("lx"), c("f").alias("g")).distinct())
-    bound = bound.drop("m0")
-    alone = first.where("ok").select("f", "o", "x")
-    asked_of = led.select("g").distinct()
-
-    def when_taken(events: DataFrame) -> DataFrame:
-        return events.groupBy(c("f").alias("tg")).agg(F.min("o").alias("taken")).join(asked_of, c("tg") == c("g"), "left_semi")
-
-    by_alone = written(when_taken(alone))
+    alone = first.where("ok").select(c("f").alias("tg"), c("o").alias("taken"))
+    by_alone = written(alone.groupBy("tg").agg(F.min("taken").alias("taken")).join(led, c("tg") == c("g"), "left_semi"))
+    # Only of companies that a bound phone may have as its home.
+    homes = bound.select(c("f").alias("home")).unionByName(phones.select(c("old_home").alias("home"))).distinct()
+    set_alone = written(
+        first.where("ok").join(homes, c("f") == c("home"), "left_semi").select(c("f").alias("at"), "o", "x")
+    )
     taken = by_alone
     ends = bound.select(c("x").alias("ex"), F.struct("o", "f").alias("end")).where(F.lit(False))
     while True:
         placed = written(_placed(bound, phones, led, taken, ends))
-        elsewhere = placed.where(~c("at_home") & c("may"))
         at_once = c("free") | c("home").isNull()
-        watched = _leads(elsewhere.where(~at_once), placed, alone, ends).where(~c("leads"))
-        last = elsewhere.where(at_once).select("o", "f", "x").unionByName(watched.select("o", "f", "x"))
-        new_ends = written(last.groupBy(c("x").alias("ex")).agg(F.min(F.struct("o", "f")).alias("end")))
+        at_home, elsewhere = c("at_home") & c("may") & _before_end(), ~c("at_home") & c("may")
+        watched = _leads(placed.where((elsewhere & ~at_once) | (at_home & ~c("free"))), placed, set_alone, ends).where(~c("leads"))
+        last = placed.where(elsewhere & at_once).select("o", "f", "x").unionByName(
+            watched.where(~c("at_home")).select("o", "f", "x")
+        )
+        new_ends = written(_earliest(last.select(c("x").alias("ex"), F.struct("o", "f").alias("end")), ends, "ex", "end"))
+        ended = new_ends.where(c("end").isNotNull()).select("ex", "end")
         # A request for a home led from the start, with one more company left, is refused while nobody else had it.
-        genuine = placed.where(c("at_home") & c("may") & _before_end() & (c("free") | ~c("led_home"))).select("f", "o")
-        new_taken = written(
-            when_taken(
-                genuine.unionByName(new_ends.select("end.f", "end.o")).unionByName(by_alone.select(c("tg").alias("f"), c("taken").alias("o")))
-            )
+        genuine = placed.where(at_home & (c("free") | ~c("led_home")))
+        events = (
+            genuine.select(c("f").alias("tg"), c("o").alias("taken"))
+            .unionByName(ended.select(c("end.f").alias("tg"), c("end.o").alias("taken"))).unionByName(by_alone)
+        )
+        new_taken = written(_earliest(events, taken, "tg", "taken").join(led, c("tg") == c("g"), "left_semi"))
+        changed = new_ends.where(~c("end").eqNullSafe(c("was"))).select("ex").unionAll(
+            new_taken.where(~c("taken").eqNullSafe(c("was"))).select("tg")
         )
-        changed = _changed(ends, new_ends, "ex", "end").unionByName(_changed(taken, new_taken, "tg", "taken"))
         if changed.isEmpty():
             break
-        ends, taken = new_ends, new_taken
+        ends, taken = ended, new_taken.where(c("taken").isNotNull()).select("tg", "taken")
 
-    home = placed.where(c("at_home") & c("may") & _before_end())
-    watched = _leads(home.where(~c("free")), placed, alone, ends).where(~c("leads")).select("o", "f", "x")
+    # The last pass saw the moments as they are.
     won = (
-        home.where("free").select("o", "f", "x").unionByName(watched)
+        placed.where(at_home & c("free")).select("o", "f", "x").unionByName(watched.where("at_home").select("o", "f", "x"))
         .unionByName(ends.select("end.o", "end.f", c("ex").alias("x"))).distinct()
     )
     won = won.select(c("o").alias("wo"), c("f").alias("wf"), c("x").alias("wx"))
@@ -213,9 +217,7 @@ def modify_companies(t: Tables, requests: DataFrame) -> JobResult:
     asked = standing.where(c("reason").isNull()).select(
         c("_order").alias("o"), c("factory_id").alias("f"), c("administrators").alias("x")
     )
-    members = written(
-        cut_to(t["factory_users"], "phone", asked, "x").select(c("phone").alias("x"), c("factory").alias("f"))
-    )
+    members = cut_to(t["factory_users"], "phone", asked, "x").select(c("phone").alias("x"), c("factory").alias("f"))
     sole = t["factorys"].where(F.size("administrators") == 1).select(c("administrators")[0].alias("x"), c("id").alias("f"))
     admins = written(cut_to(sole, "x", asked, "x"))
     decided = _decide(asked, members, admins)

@@ -36,6 +36,20 @@ def test_around(spark, seed, groups, people):
         assert sorted(got, key=repr) == walked(moments, events)
 
 
+def test_looking_back_alone(spark):
+    """Without ``ahead`` the same last events and nothing else, over one range and over many."""
+    rng = random.Random(4)
+    events = [(rng.choice([None, "0", "1"]), o, rng.choice([None, "a", "b"])) for o in rng.sample(range(400), 150)]
+    moments = [(rng.choice([None, "0", "1", "2"]), rng.randrange(400), rng.choice([None, "a", "b"]), i) for i in range(200)]
+    m = spark.createDataFrame(moments, "g string, o int, x string, before_ int")
+    e = spark.createDataFrame(events, "g string, o int, x string")
+    for partitions in (1, 7):
+        got = around(m, e, "g", "o", "x", partitions, False)
+        assert got.columns == ["g", "o", "x", "before_", "before"]
+        rows = [(*r[:4], r["before"] and tuple(r["before"])) for r in got.collect()]
+        assert sorted(rows, key=repr) == sorted([r[:5] for r in walked(moments, events)], key=repr)
+
+
 def test_without_events_or_moments(spark):
     m = spark.createDataFrame([("g", 1, "x")], "g string, o int, x string")
     assert [tuple(r) for r in around(m, m.where("false"), "g", "o", "x").collect()] == [("g", 1, "x", None, None)]
