@@ -54,18 +54,40 @@ def ngrams(words: np.ndarray, counts: np.ndarray, order: int) -> list[np.ndarray
 
 
 def _pack(values: np.ndarray) -> bytes:
-    """Sorted values as differences in as few whole bytes as the largest needs; the first byte tells how many."""
-    steps = np.diff(values, prepend=np.uint64(0)).astype("<u8")
+    """Sorted values: how many, the first, and the differences by bytes, in as few as the largest needs.
+
+    The lower bytes of differences of hashes are random and stay as they are; the highest one is compressed.
+    """
+    steps = np.diff(values).astype("<u8")
     width = max(1, -(-int(steps.max(initial=0)).bit_length() // 8))
-    return bytes([width]) + np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+    planes = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :width].T)
+    head = np.array([len(values), values[0] if len(values) else 0], "<u8").tobytes() + bytes([width])
+    return head + planes[:-1].tobytes() + zstandard.ZstdCompressor(level=1).compress(planes[-1].tobytes())
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    width = data[0]
-    raw = np.frombuffer(data, np.uint8, offset=1).reshape(-1, width)
-    steps = np.zeros((len(raw), 8), np.uint8)
-    steps[:, :width] = raw
-    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
+    n, first = (int(x) for x in np.frombuffer(data, "<u8", 2))
+    if not n:
+        return np.zeros(0, np.uint64)
+    low, start = (data[16] - 1) * (n - 1), 17
+    steps = np.zeros((n, 8), np.uint8)
+    steps[1:, : data[16] - 1] = np.frombuffer(data, np.uint8, low, start).reshape(-1, n - 1).T if low else 0
+    steps[1:, data[16] - 1] = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[start + low :]), np.uint8)
+    values = steps.view("<u8").ravel()
+    values[0] = first
+    return np.cumsum(values, dtype=np.uint64)
+
+
+_TEXTS = pa.schema([("text", pa.string())])
+
+
+def _squeeze_texts(texts: pa.Array) -> bytes:
+    batch = pa.RecordBatch.from_arrays([pa.concat_arrays([texts.cast(pa.string())])], schema=_TEXTS)
+    return zstandard.ZstdCompressor(level=3).compress(batch.serialize())
+
+
+def _unsqueeze_texts(data: bytes) -> pa.Array:
+    return pa.ipc.read_record_batch(pa.py_buffer(zstandard.ZstdDecompressor().decompress(data)), _TEXTS).column("text")
 
 
 def _squeeze(counts: np.ndarray) -> bytes:
@@ -138,7 +160,7 @@ def scored(documents: DataFrame, order: int = 3, backoff: float = BACKOFF) -> Da
         for texts, doc_ids in _blocks(batches):
             yield pa.RecordBatch.from_arrays(
                 [pa.array([_block_name(doc_ids, texts)], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())),
-                 pa.array([texts.to_pylist()], pa.list_(pa.string()))],
+                 pa.array([_squeeze_texts(texts)], pa.binary())],
                 names=["block", "doc_ids", "texts"],
             )
 
@@ -148,12 +170,12 @@ def scored(documents: DataFrame, order: int = 3, backoff: float = BACKOFF) -> Da
         for doc_ids, texts in zip(own.column("doc_ids").to_pylist(), own.column("texts").to_pylist(), strict=True):
             found = [_unsqueeze(told[p]) for p in sorted(told)]
             sums = np.concatenate(found or [np.zeros(0, np.int64)])
-            sizes, missed, scores = _block_scores(pa.array(texts, pa.string()), sums, order, backoff, n_words)
+            sizes, missed, scores = _block_scores(_unsqueeze_texts(texts), sums, order, backoff, n_words)
             for name, values in zip(out, (doc_ids, sizes.tolist(), missed.tolist(), scores.tolist()), strict=True):
                 out[name].extend(values)
         return pa.table(out, schema=pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_backed_off", pa.int64()), ("log_score", pa.float64())]))
 
-    sent = docs.mapInArrow(send, "block long, doc_ids array<long>, texts array<string>")
+    sent = docs.mapInArrow(send, "block long, doc_ids array<long>, texts binary")
     return sent.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         score, "doc_id long, n_words long, n_backed_off long, log_score double"
     )

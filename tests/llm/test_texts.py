@@ -356,3 +356,15 @@ def test_blocks_go_on_over_batches(monkeypatch):
     blocks = [(t.to_pylist(), i) for t, i in backoff_lm._blocks(iter(batches))]
     assert [len(i) for _, i in blocks] == [6, 6, 2]
     assert sum((t for t, _ in blocks), []) == ["ab" * 5, None] * 7 and sum((i for _, i in blocks), [])[::2] == list(range(7))
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 500])
+def test_packed_ngrams_take_the_bytes_of_their_differences(n):
+    """A part of the hash range far from zero; a step over most of the range and steps of one are kept too."""
+    far = np.unique(np.random.default_rng(n).integers(0, 1 << 48, n).astype(np.uint64) + np.uint64(200 << 48))
+    assert (backoff_lm._unpack(backoff_lm._pack(far)) == far).all()
+    assert len(backoff_lm._pack(far)) <= 40 + 6 * n
+    for values in ([5, 5 + (1 << 60)], [1 << 55, (1 << 55) + 1, (1 << 55) + 2]):
+        assert backoff_lm._unpack(backoff_lm._pack(np.array(values, np.uint64))).tolist() == values
+    texts = pa.array(["a", None, "é", "", "é b"])[: n + 1]
+    assert backoff_lm._unsqueeze_texts(backoff_lm._squeeze_texts(texts)).to_pylist() == texts.to_pylist()
