@@ -8,7 +8,9 @@ join on the group would form every pair.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -16,7 +18,8 @@ from tallyhouse.operators.scratch import written
 
 
 def around(
-    moments: DataFrame, events: DataFrame, group: str, at: str, who: str, partitions: int | None = None, ahead: bool = True
+    moments: DataFrame, events: DataFrame, group: str, at: str, who: str, partitions: int | None = None, ahead: bool = True,
+    ranges: int | None = None, own: str | None = None,
 ) -> DataFrame:
     """``moments`` with ``before``, the struct (at, who) of the last event earlier than the moment, and ``next_other``, the
     place of the first later event of somebody else. Without ``ahead`` only ``before`` is worked out.
@@ -24,11 +27,26 @@ def around(
     Both sides have ``group``, ``at`` (comparable) and ``who``; moments may have further columns. Events of one group have
     different places; one at the moment itself counts as later. Where there is no such event the results are null. A group
     without moments gives no rows. A null group or who equals other nulls.
+
+    ``ranges`` tells that places were ``dealt`` out before, in so many ranges. These then serve here, each bounded in rows,
+    without laying anything into order again; only for looking back. With ``own``, a boolean column of the moments, those for
+    which it holds are events as well.
     """
     c = F.col
     kept = F.struct(*[F.col(f"`{name}`") for name in moments.columns])
     same = [c(group).alias("_g"), c(at).alias("_at"), c(who).alias("_who")]
-    both = moments.select(*same, kept.alias("_moment")).unionByName(events.select(*same), allowMissingColumns=True)
+    rows = moments.select(*same, kept.alias("_moment"))
+    if own:
+        sides = F.when(c(f"_moment.{own}"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+        rows = rows.withColumn("_own", F.explode(sides)).withColumn("_moment", F.when(~c("_own"), c("_moment"))).drop("_own")
+    both = rows.unionByName(events.select(*same), allowMissingColumns=True)
+    event = F.struct(c("_at").alias("at"), c("_who").alias("who"))
+    if ranges:
+        if ahead:
+            raise ValueError("dealt places serve for looking back only")
+        both = both.withColumn("_range", c("_at.part"))
+        # Without borders no neighbour is read.
+        return _looked_back(written(both) if ranges > 1 else both, event, [F.asc("_at"), c("_moment").isNull().asc()], ranges > 1)
     order = [F.asc("_g"), F.asc("_at"), c("_moment").isNull().asc()]
     place = F.monotonically_increasing_id()
     dealt = both.repartitionByRange(partitions, *order) if partitions else both.repartitionByRange(*order)
@@ -38,20 +56,14 @@ def around(
             "*", F.shiftright(place, 33).cast("int").alias("_range"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("_pos")
         )
     )
+    if not ahead:
+        return _looked_back(ranged, event, ["_pos"], True)
     is_event = c("_moment").isNull()
     inside = Window.partitionBy("_range", "_g")
     earlier = inside.orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
     ranges = Window.partitionBy("_g")
     up = ranges.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    event = F.struct(c("_at").alias("at"), c("_who").alias("who"))
     rows = ranged.withColumn("_last", F.last(F.when(is_event, event), ignorenulls=True).over(earlier))
-    if not ahead:
-        spans = ranged.groupBy("_g", "_range").agg(F.max_by(event, F.when(is_event, c("_pos"))).alias("last"))
-        carried = spans.select(
-            c("_g").alias("_cg"), c("_range").alias("_cr"), F.last("last", ignorenulls=True).over(up).alias("c_last")
-        ).where("c_last is not null")
-        found = rows.where(~is_event).join(carried, c("_g").eqNullSafe(c("_cg")) & (c("_range") == c("_cr")), "left")
-        return found.select("_moment.*", F.coalesce("_last", "c_last").alias("before"))
     later = inside.orderBy(F.desc("_pos")).rowsBetween(Window.unboundedPreceding, -1)
 
     # A turn is an event of somebody else than the event before it.
@@ -84,3 +96,29 @@ def around(
     return found.select(
         "_moment.*", F.coalesce("_last", "c_last").alias("before"), F.when(coming.isNotNull(), other).alias("next_other")
     )
+
+
+def dealt(rows: DataFrame, at: str) -> DataFrame:
+    """``rows`` in ranges of the place ``at``, which becomes (part, place): the number of its range and the place itself.
+
+    To be written once: ranges drawn again could have other borders.
+    """
+    place = F.struct(F.spark_partition_id().alias("part"), F.col(at).alias("place"))
+    return rows.repartitionByRange(at).withColumn(at, place)
+
+
+def _looked_back(ranged: DataFrame, event: Column, order: Sequence[str | Column], borders: bool) -> DataFrame:
+    """The moments of ``ranged`` with ``before`` alone; ``order`` is that of rows of one group in one range."""
+    c = F.col
+    is_event = c("_moment").isNull()
+    earlier = Window.partitionBy("_range", "_g").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = ranged.withColumn("_last", F.last(F.when(is_event, event), ignorenulls=True).over(earlier)).where(~is_event)
+    if not borders:
+        return rows.select("_moment.*", c("_last").alias("before"))
+    up = Window.partitionBy("_g").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    spans = ranged.groupBy("_g", "_range").agg(F.max_by(event, F.when(is_event, c("_at"))).alias("last"))
+    carried = spans.select(
+        c("_g").alias("_cg"), c("_range").alias("_cr"), F.last("last", ignorenulls=True).over(up).alias("c_last")
+    ).where("c_last is not null")
+    found = rows.join(carried, c("_g").eqNullSafe(c("_cg")) & (c("_range") == c("_cr")), "left")
+    return found.select("_moment.*", F.coalesce("_last", "c_last").alias("before"))

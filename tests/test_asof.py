@@ -8,7 +8,8 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from tallyhouse.operators.asof import around
+from tallyhouse.operators.asof import around, dealt
+from tallyhouse.operators.scratch import written
 
 
 def walked(moments, events):
@@ -50,6 +51,30 @@ def test_looking_back_alone(spark):
         assert sorted(rows, key=repr) == sorted([r[:5] for r in walked(moments, events)], key=repr)
 
 
+@pytest.mark.parametrize("ranges", [1, 4])
+def test_places_dealt_out_before(spark, ranges):
+    """The ranges of the places serve; some moments are events themselves and do not see their own."""
+    rng = random.Random(ranges)
+    rows = [
+        (rng.choice([None, "0", "1"]), o, rng.choice([None, "a", "b"]), rng.choice([True, False, None]), rng.random() < 0.4)
+        for o in rng.sample(range(400), 300)
+    ]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", str(ranges == 1).lower())
+    try:
+        df = written(dealt(spark.createDataFrame(rows, "g string, o int, x string, own boolean, event boolean"), "o"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert df.select("o.part").distinct().count() == ranges
+    moments, events = df.where("not event").drop("event"), df.where("event").select("g", "o", "x")
+    got = around(moments, events, "g", "o", "x", None, False, ranges, "own").collect()
+    known = [(g, o, x) for g, o, x, own, event in rows if event or own]
+    want = walked([r[:4] for r in rows if not r[4]], known)
+    plain = [(r["g"], r["o"]["place"], r["x"], r["own"], r["before"] and (r["before"]["at"]["place"], r["before"]["who"])) for r in got]
+    assert sorted(plain, key=repr) == sorted([r[:5] for r in want], key=repr)
+    with pytest.raises(ValueError):
+        around(moments, events, "g", "o", "x", None, True, ranges)
+
+
 def test_without_events_or_moments(spark):
     m = spark.createDataFrame([("g", 1, "x")], "g string, o int, x string")
     assert [tuple(r) for r in around(m, m.where("false"), "g", "o", "x").collect()] == [("g", 1, "x", None, None)]

@@ -8,7 +8,7 @@ import re
 import pytest
 
 from tallyhouse.constants import PHONE_PATTERN
-from tallyhouse.operators import scratch, settle
+from tallyhouse.operators import asof, scratch, settle
 from tallyhouse.plans import company_changes
 from tallyhouse.plans.company_changes import modify_companies
 from tallyhouse.plans.company_jobs import (
@@ -236,6 +236,61 @@ def test_a_pass_looks_back_once(spark, monkeypatch):
     assert calls["around"] == calls["_placed"] >= 1
 
 
+MODIFY = (
+    "req_id long, factory_id string, company_name string, contact string, administrators string, company_area string, "
+    "company_category string, auth_file string, business_licence string, req_time long"
+)
+
+
+def turns(spark, seed, n):
+    """Random requests of a few phones that lead several companies, most for one company: (job input, rows, accepted ids)."""
+    rnd = random.Random(seed)
+    names, phones = [f"F{i}" for i in range(9)], PHONES[:5]
+    led = {f: rnd.choice(phones) for f in names}
+    held = {(x, f) for x in phones[1:] for f in [rnd.choice(names[:2])]}
+    factorys = [{"id": f, "name": "n", "title": "t", "time": 1, "administrators": [x]} for f, x in led.items()]
+    members = [{"phone": x, "factory": f, "rights": ["3"], "time": 1, "name": "m"} for x, f in sorted(held)]
+    rows = [
+        (i, rnd.choice([*names[:2], *names[:2], *names[:2], rnd.choice(names)]), "C", "k", rnd.choice(phones), "R", "X", "", "", rnd.randrange(n))
+        for i in range(n)
+    ]
+    want = set()
+    for req, f, _, _, x, *_ in in_order(rows):
+        if list(led.values()).count(x) <= 1 and sum(h[0] == x for h in held) <= 1:
+            want.add(req)
+            led[f] = x
+            held.add((x, f))
+    return HandTables(spark, factorys=factorys, factory_users=members), requests(spark, MODIFY, rows), want
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_modify_companies_over_many_ranges(spark, monkeypatch, seed):
+    """Places dealt out in several ranges, so that who leads a company is carried over their borders."""
+    t, asked, want = turns(spark, seed, 150)
+    ranges, inner = [], company_changes.around
+    monkeypatch.setattr(company_changes, "around", lambda *a: ranges.append(a[7]) or inner(*a))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ok, no = accepted_ids(modify_companies(t, asked))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert ok == want and len(no) == 150 - len(want)
+    assert ranges and min(ranges) > 1
+
+
+def test_a_pass_writes_two_tables(spark, monkeypatch):
+    """What requests come to, and what that says of the phones; besides, seven tables for a batch whatever its passes."""
+    t, asked, want = turns(spark, 3, 150)
+    tables, passes = [], []
+    for owner in (company_changes, asof):
+        monkeypatch.setattr(owner, "written", lambda df: tables.append(1) or scratch.written(df))
+    inner = company_changes._placed
+    monkeypatch.setattr(company_changes, "_placed", lambda *a: passes.append(1) or inner(*a))
+    ok, _ = accepted_ids(modify_companies(t, asked))
+    assert ok == want and passes
+    assert len(tables) <= 7 + 2 * len(passes)
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_membership_jobs(spark, seed):
     rnd = random.Random(seed)
