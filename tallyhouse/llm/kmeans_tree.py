@@ -1,11 +1,13 @@
 """Approximate nearest neighbours by a hierarchical k-means tree with best-bin-first search.
 
 The tree is fit on a bounded sample (``SAMPLE`` distinct vectors, all of them if there are fewer); every row is indexed: it
-goes down the tree to the leaf of the nearest centres. A query takes nodes from a priority queue, best product with the
+is put into the ``SPILL`` leaves of the nearest centres. A query takes nodes from a priority queue, best product with the
 centre first, until it has visited ``visits`` leaves and met enough rows. ``visits`` is calibrated: exact neighbours of
-``PROBES`` queries over all rows tell how far the visits have to widen until the wanted recall is reached.
+``PROBES`` queries over all rows tell how far the visits have to widen until the wanted recall is reached. As a neighbour
+is met in any of its leaves, a query needs far fewer of them than if rows lay in one leaf each, and meets fewer rows.
 
-Leaves are joined with the queries that visit them; a large leaf and a leaf with many queries are dealt out in parts.
+Leaves are joined with the queries that visit them; a large leaf and a leaf with many queries are dealt out in parts. What
+a query finds in several leaves counts once.
 Equal vectors are one candidate during the search, and only the smallest ids of such a group can be among the nearest.
 """
 
@@ -26,6 +28,8 @@ from tallyhouse.llm.topk import best_rows, dense, usable
 SAMPLE = 20_000  # vectors that the tree is fit on at most
 BRANCHES = 16
 LEAF = 128  # distinct vectors of a leaf, about
+SPILL = 8  # leaves that a vector is put into, in a tree of enough leaves
+SPREAD = 16  # leaves that the tree has at least for each of them
 LEAF_SAMPLE = 8  # sampled vectors that a leaf needs at least
 PROBES = 256  # queries with exact neighbours at most
 RECALL = 0.97
@@ -34,34 +38,51 @@ PART = 4096  # rows or queries of a leaf that meet in one task, about
 
 @dataclass
 class Tree:
-    """Nodes by number, 0 the root: centres, and for inner nodes the first child and how many; leaves have none."""
+    """Nodes by number, 0 the root: centres, and for inner nodes the first child and how many; leaves have none.
+
+    The centre of an inner node is the mean of the leaf centres below it; ``reach`` is by how much the best of these is
+    likely to exceed it in the direction of a query of length one.
+    """
 
     centres: np.ndarray
-    children: list[tuple[int, int]] = field(default_factory=list)
-
-    def leaf_of(self, vectors: np.ndarray) -> np.ndarray:
-        node = np.zeros(len(vectors), np.int64)
-        open_ = np.arange(len(vectors)) if self.children[0][1] else np.zeros(0, np.int64)
-        while len(open_):
-            for at in np.unique(node[open_]):
-                rows = open_[node[open_] == at]
-                first, n = self.children[at]
-                node[rows] = first + _distances(vectors[rows], self.centres[first : first + n]).argmin(axis=1)
-            open_ = np.array([i for i in open_ if self.children[node[i]][1]], np.int64)
-        return node
+    children: list[tuple[int, int]]
+    leaves: np.ndarray = field(init=False)
+    reach: np.ndarray = field(init=False)
+
+    def __post_init__(self) -> None:
+        n_nodes, width = self.centres.shape
+        inner = np.array([n > 0 for _, n in self.children])
+        self.leaves = np.flatnonzero(~inner)
+        n, total, squares = (~inner).astype(float), self.centres.copy(), (self.centres**2).sum(axis=1)
+        for at in range(n_nodes - 1, -1, -1):  # children have larger numbers than their parent
+            if inner[at]:
+                own = slice(self.children[at][0], sum(self.children[at]))
+                n[at], total[at], squares[at] = n[own].sum(), total[own].sum(axis=0), squares[own].sum()
+        self.centres = total / n[:, None]
+        spread = np.maximum(squares / n - (self.centres**2).sum(axis=1), 0) / max(1, width)
+        self.reach = np.where(inner, np.sqrt(2 * np.log(n) * spread), 0.0)
+
+    def leaves_of(self, vectors: np.ndarray, n: int) -> np.ndarray:
+        """For each vector the ``n`` leaves (all, if fewer) of the nearest centres, nearest first."""
+        far = _distances(vectors, self.centres[self.leaves])
+        n = min(n, len(self.leaves))
+        near = np.argpartition(far, n - 1, axis=1)[:, :n]
+        order = np.lexsort((near, np.take_along_axis(far, near, axis=1)), axis=1)
+        return self.leaves[np.take_along_axis(near, order, axis=1)]
 
     def best_bins(self, query: np.ndarray) -> Iterator[int]:
-        """Leaves in best-bin-first order."""
-        queue = [(0.0, 0)]
+        """Leaves in best-bin-first order; an inner node comes by the best product that a centre below it is likely to have."""
+        near = -(self.centres @ query + self.reach * np.sqrt(query @ query))
+        near = near.tolist()
+        queue = [(near[0], 0)]
         while queue:
             _, at = heapq.heappop(queue)
             first, n = self.children[at]
             if not n:
                 yield at
                 continue
-            near = self.centres[first : first + n] @ query
-            for k in range(n):
-                heapq.heappush(queue, (-near[k], first + k))
+            for child in range(first, first + n):
+                heapq.heappush(queue, (near[child], child))
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -77,6 +98,15 @@ def _k_means(vectors: np.ndarray, k: int, rng: np.random.Generator, turns: int =
     return centres, _distances(vectors, centres).argmin(axis=1)
 
 
+def _stretched(centres: np.ndarray, vectors: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Centres as long as their vectors are on average: a mean is shorter, the more so the fewer vectors point its way."""
+    lengths, out = np.linalg.norm(vectors, axis=1), centres.copy()
+    for j in np.unique(own):
+        if length := np.linalg.norm(centres[j]):
+            out[j] *= lengths[own == j].mean() / length
+    return out
+
+
 def fit_tree(sample: np.ndarray, leaf: int, branches: int = BRANCHES, seed: int = 7) -> Tree:
     """Splits by k-means until a node holds at most ``leaf`` of the sampled vectors or does not split."""
     rng = np.random.default_rng(seed)
@@ -86,6 +116,8 @@ def fit_tree(sample: np.ndarray, leaf: int, branches: int = BRANCHES, seed: int
         if len(own) <= leaf:
             continue
         found, of = _k_means(own, min(branches, -(-len(own) // leaf)), rng)
+        found = _stretched(found, own, of)
+        of = _distances(own, found).argmin(axis=1)
         used = np.unique(of)
         if len(used) < 2:
             continue
@@ -146,17 +178,18 @@ def nearest(vectors: DataFrame, queries: Column, k: int, recall: float = RECALL)
         return best_rows(spark.createDataFrame([], "asked long, name long, score double"), members, asking, k)
     share = len(sample) / n_groups
     width = groups.agg(F.max(F.size("v"))).first()[0]
-    tree = fit_tree(_wide(dense(sample, float), width), max(LEAF_SAMPLE, round(LEAF * share)))
+    tree = fit_tree(_wide(dense(sample, float), width), max(LEAF_SAMPLE, round(LEAF / SPILL * share)))
+    spill = max(1, min(SPILL, len(tree.leaves) // SPREAD))
 
     def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for own in batches:
             if len(own):
-                yield own.assign(leaf=tree.leaf_of(_wide(dense(own["v"], float), width)))
+                yield own.assign(leaves=list(tree.leaves_of(_wide(dense(own["v"], float), width), spill)))
 
     indexed = written(
-        groups.mapInPandas(placed, "h1 long, h2 int, v array<double>, asks boolean, name long, leaf long")
+        groups.mapInPandas(placed, "h1 long, h2 int, v array<double>, asks boolean, name long, leaves array<long>")
     )
-    sizes = indexed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
+    sizes = indexed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
     in_leaf = {r["leaf"]: r["n"] for r in sizes.collect()}  # leaves are bounded by SAMPLE
     visits = _calibrated(indexed, tree, width, k, recall)
 
@@ -166,7 +199,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int, recall: float = RECALL)
             for name, query in zip(own["name"], _wide(dense(own["v"], float), width), strict=True):
                 seen = met = 0
                 for leaf in tree.best_bins(query):
-                    if seen >= visits and met > k:
+                    if seen >= visits and met > k * spill:  # a row is in that many leaves at most
                         break
                     seen, met = seen + 1, met + in_leaf.get(leaf, 0)
                     asked.append(name)
@@ -182,7 +215,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int, recall: float = RECALL)
     def every(n: str) -> Column:
         return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
 
-    docs = indexed.join(parts, "leaf").select(
+    docs = indexed.select("h1", "v", "name", F.explode("leaves").alias("leaf")).join(parts, "leaf").select(
         "leaf", "name", "v", F.pmod("h1", "doc_parts").alias("doc_part"), every("query_parts").alias("query_part")
     )
     asks = visit.join(asked.select("name", F.col("v").alias("asked_v"), "h1"), "name").join(parts, "leaf").select(
@@ -206,6 +239,8 @@ def nearest(vectors: DataFrame, queries: Column, k: int, recall: float = RECALL)
 
     keys = ["leaf", "doc_part", "query_part"]
     found = docs.groupBy(*keys).cogroup(asks.groupBy(*keys)).applyInPandas(search, "asked long, name long, score double")
+    best = F.dense_rank().over(Window.partitionBy("asked").orderBy(F.col("score").desc(), "name"))  # the same in any leaf
+    found = found.withColumn("nth", best).where(F.col("nth") <= k + 1).select("asked", "name", "score").distinct()
     return best_rows(found, members, asking, k)
 
 
@@ -221,27 +256,30 @@ def _calibrated(indexed: DataFrame, tree: Tree, width: int, k: int, recall: floa
     queries, asked = _wide(dense(probes["v"], float), width), probes["name"].to_numpy()
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: dict[int, pd.DataFrame] = {}
+        best: dict[int, list[np.ndarray]] = {}  # names, products and leaves of a probe's best rows
         for own in batches:
             if not len(own):
                 continue
-            docs, names = _wide(dense(own["v"], float), width), own["name"].to_numpy()
-            leaf = dict(zip(names.tolist(), own["leaf"].tolist(), strict=True))
+            docs, names, leaves = _wide(dense(own["v"], float), width), own["name"].to_numpy(), np.stack(own["leaves"])
+            order = np.argsort(names)
             for q, (found, scores) in enumerate(_scores(queries, docs, names, k + 1)):
-                rows = pd.DataFrame({"asked": asked[q], "name": found, "score": scores, "leaf": [leaf[n] for n in found]})
-                rows = pd.concat([best[q], rows]) if q in best else rows
-                best[q] = rows.sort_values(["score", "name"], ascending=[False, True]).head(k + 1)
-        yield from best.values()
-
-    near = indexed.select("name", "v", "leaf").mapInPandas(scan, "asked long, name long, score double, leaf long")
+                rows = [found, scores, leaves[order[np.searchsorted(names, found, sorter=order)]]]
+                if q in best:
+                    rows = [np.concatenate(both) for both in zip(best[q], rows, strict=True)]
+                first = np.lexsort((rows[0], -rows[1]))[: k + 1]
+                best[q] = [x[first] for x in rows]
+        for q, (found, scores, own) in best.items():
+            yield pd.DataFrame({"asked": asked[q], "name": found, "score": scores, "leaves": list(own)})
+
+    near = indexed.select("name", "v", "leaves").mapInPandas(scan, "asked long, name long, score double, leaves array<long>")
     order = Window.partitionBy("asked").orderBy(F.col("score").desc(), "name")
     near = near.where("asked <> name").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k)
-    truth = near.select("asked", "leaf").toPandas()  # PROBES times k rows at most
+    truth = near.select("asked", "leaves").toPandas()  # PROBES times k rows at most
     position = {}
     for name, query in zip(asked.tolist(), queries, strict=True):
         for at, leaf in enumerate(tree.best_bins(query), 1):
             position[name, leaf] = at
     if not len(truth):
         return 1
-    needed = np.sort([position[a, b] for a, b in zip(truth["asked"], truth["leaf"], strict=True)])
+    needed = np.sort([min(position[a, b] for b in own) for a, own in zip(truth["asked"], truth["leaves"], strict=True)])
     return int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)])

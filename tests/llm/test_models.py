@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from llm.conftest import ODD, SF, documents
+from tallyhouse.llm import kmeans_tree
 from tallyhouse.llm.kmeans_tree import nearest
 from tallyhouse.llm.site_quality import host_and_path, judged
 from tallyhouse.llm.topk import exact_top_k
@@ -99,6 +100,32 @@ def test_nearest_recall(spark, folder):
     assert hits >= 0.9 * total
 
 
+def test_nearest_visits_few_leaves(spark, monkeypatch):
+    """Vectors without any structure: rows lie in several leaves, so that a query needs a small share of the leaves."""
+    rng = np.random.default_rng(6)
+    matrix = rng.normal(size=(4000, 32))
+    matrix /= np.linalg.norm(matrix, axis=1)[:, None]
+    seen, calibrated = [], kmeans_tree._calibrated
+
+    def watched(indexed, tree, *rest):
+        seen.append((calibrated(indexed, tree, *rest), sum(not n for _, n in tree.children)))
+        return seen[-1][0]
+
+    monkeypatch.setattr(kmeans_tree, "_calibrated", watched)
+    found = defaultdict(list)
+    for r in nearest(vectors(spark, list(enumerate(matrix.tolist()))), F.col("vec_id") % 20 == 0, 20).collect():
+        found[r.query_id].append((r["rank"], r.vec_id))
+    hits = 0
+    for q in range(0, 4000, 20):
+        products = matrix @ matrix[q]
+        products[q] = -np.inf
+        assert sorted(rank for rank, _ in found[q]) == list(range(1, 21)) and len({i for _, i in found[q]}) == 20
+        hits += len({i for _, i in found[q]} & set(np.argsort(-products)[:20].tolist()))
+    assert hits >= 0.95 * 200 * 20
+    [(visits, leaves)] = seen
+    assert visits <= 0.25 * leaves
+
+
 def test_url_rules(spark):
     urls = {
         1: ("https://EXAMPLE.com/en/a?x=1", "example.com", "/en/a", "example.com/en/", "block"),
