@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by a hierarchical k-means tree with best-bin-first search.
 
 The tree is fit on a bounded sample (``SAMPLE`` distinct vectors, all of them if there are fewer); every row is indexed: it
-is put into the ``SPILL`` leaves of the nearest centres. A query takes nodes from a priority queue, best product with the
+is put into the leaves of the ``SPILL`` nearest centres. A query takes nodes from a priority queue, best product with the
 centre first, until it has visited ``visits`` leaves and met enough rows. ``visits`` is calibrated: exact neighbours of
 ``PROBES`` queries over all rows tell how far the visits have to widen until the wanted recall is reached. As a neighbour
 is met in any of its leaves, a query needs far fewer of them than if rows lay in one leaf each, and meets fewer rows.
@@ -28,7 +28,7 @@ from tallyhouse.llm.topk import best_rows, dense, usable
 SAMPLE = 20_000  # vectors that the tree is fit on at most
 BRANCHES = 16
 LEAF = 128  # distinct vectors of a leaf, about
-SPILL = 8  # leaves that a vector is put into, in a tree of enough leaves
+SPILL = 8  # leaves that a vector is put into; fewer if the table has less than LEAF * SPILL distinct vectors for each
 SPREAD = 16  # leaves that the tree has at least for each of them
 LEAF_SAMPLE = 8  # sampled vectors that a leaf needs at least
 PROBES = 256  # queries with exact neighbours at most
@@ -178,8 +178,9 @@ def nearest(vectors: DataFrame, queries: Column, k: int, recall: float = RECALL)
         return best_rows(spark.createDataFrame([], "asked long, name long, score double"), members, asking, k)
     share = len(sample) / n_groups
     width = groups.agg(F.max(F.size("v"))).first()[0]
-    tree = fit_tree(_wide(dense(sample, float), width), max(LEAF_SAMPLE, round(LEAF / SPILL * share)))
-    spill = max(1, min(SPILL, len(tree.leaves) // SPREAD))
+    spill = max(1, min(SPILL, n_groups // (LEAF * SPILL)))
+    tree = fit_tree(_wide(dense(sample, float), width), max(LEAF_SAMPLE, round(LEAF / spill * share)))
+    spill = max(1, min(spill, len(tree.leaves) // SPREAD))
 
     def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for own in batches:
